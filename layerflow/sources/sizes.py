@@ -52,7 +52,8 @@ def register_partitioned(spark: SparkSession, name: str, path: str) -> None:
 def write_day_partitioned(df: DataFrame, path: str, column: str | None) -> None:
     """Plain Parquet, one directory per day of ``column``; replaces the path."""
     if column and column in df.columns:
-        dated = df.withColumn("p_date", F.to_date(F.col(column)))
-        dated.hint("rebalance", "p_date").write.mode("overwrite").partitionBy("p_date").parquet(path)
+        dated = df.withColumn("p_date", F.to_date(F.col(column))).hint("rebalance", "p_date")
+        writer = dated.write.partitionBy("p_date")
     else:
-        df.write.mode("overwrite").parquet(path)
+        writer = df.write
+    writer.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)

@@ -40,6 +40,8 @@ class TableStore:
         return self.spark.catalog.tableExists(name)
 
     def read(self, name: str) -> DataFrame:
+        # Another session may have switched the location since the last read.
+        self.spark.catalog.refreshTable(name)
         return self.spark.table(name)
 
     def read_optional(self, name: str) -> DataFrame | None:
@@ -128,13 +130,13 @@ class TableStore:
             self._spread(df, partitions).write.insertInto(name, overwrite=False)
 
     def _overwrite_partitions(self, df: DataFrame, name: str) -> None:
-        mode = "spark.sql.sources.partitionOverwriteMode"
-        before = self.spark.conf.get(mode)
-        self.spark.conf.set(mode, "dynamic")
+        conf, mode = df.sparkSession.conf, "spark.sql.sources.partitionOverwriteMode"
+        before = conf.get(mode)
+        conf.set(mode, "dynamic")
         try:
             df.write.insertInto(name, overwrite=True)
         finally:
-            self.spark.conf.set(mode, before)
+            conf.set(mode, before)
 
     def overwrite(self, df: DataFrame, name: str, *, partition_by: str | None = None) -> None:
         """Replace all rows; the table, its grants and its name stay."""
