@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -20,6 +21,17 @@ from layerflow.sources.tables import TableStore
 
 BATCH = "_meta_micro_batch_id"
 
+# Partition column of work and quarantine tables: the run that wrote the rows.
+RUN = "_run_id"
+
+
+def new_run() -> int:
+    return int(time.time() * 1000)
+
+
+def stamp_run(df: DataFrame, run_id: int) -> DataFrame:
+    return df.withColumn(RUN, F.lit(int(run_id)).cast("long"))
+
 
 def stamp_raw(decoded: DataFrame, batch_id: int) -> DataFrame:
     return decoded.withColumns({BATCH: F.lit(int(batch_id)).cast("long"), "_meta_layer": F.lit("raw")})
@@ -92,7 +104,7 @@ class LayerRun:
     """What one layer transition did."""
 
     flow: str
-    batch_id: int
+    run_id: int
     target: str
     metrics: Mapping[str, int]
 
@@ -103,7 +115,7 @@ AUDIT_SCHEMA = "flow_name string, micro_batch_id bigint, target_table string, me
 def write_metrics(store: TableStore, registry: Registry, run: LayerRun, step: str = "") -> None:
     """Audit rows in long form; one small append per transition."""
     rows = [
-        (run.flow, run.batch_id, run.target, f"{step}_{name}" if step else name, float(value))
+        (run.flow, run.run_id, run.target, f"{step}_{name}" if step else name, float(value))
         for name, value in run.metrics.items()
     ]
     if not rows:
@@ -129,31 +141,31 @@ class LayerJobs:
         )
 
     def raw_to_work(
-        self, flow: FlowSpec, batch_id: int = 0, from_ts: str | None = None, to_ts: str | None = None,
+        self, flow: FlowSpec, run_id: int | None = None, from_ts: str | None = None, to_ts: str | None = None,
         limit: int | None = None, raw: DataFrame | None = None, audit: bool = True,
     ) -> LayerRun:
-        """Work rows of a raw window; rerunning a batch id replaces its rows."""
+        """Work rows of a raw window; repeating a run id replaces its rows."""
+        run_id = new_run() if run_id is None else run_id
         target = self.name(flow, "work")
         raw = layer_window(self.store.read(self.name(flow, "raw")), from_ts, to_ts, limit) if raw is None else raw
         work = raw_to_work(raw, flow, dimensions_of(self.store, flow, self.registry))
         watch = Observation()
-        counted = work.withColumn(BATCH, F.lit(int(batch_id)).cast("long")).observe(
-            watch, F.count(F.lit(1)).alias("work_rows")
-        )
-        self.store.append(counted, target, batch_column=BATCH, on_schema_change=flow.on_schema_change)
-        run = LayerRun(flow.name, batch_id, target, dict(watch.get))
+        counted = stamp_run(work, run_id).observe(watch, F.count(F.lit(1)).alias("work_rows"))
+        self.store.append(counted, target, batch_column=RUN, on_schema_change=flow.on_schema_change)
+        run = LayerRun(flow.name, run_id, target, dict(watch.get))
         if audit:
             write_metrics(self.store, self.registry, run, "raw_to_work")
         return run
 
     def work_to_silver(
-        self, flow: FlowSpec, batch_id: int = 0, from_ts: str | None = None, to_ts: str | None = None,
+        self, flow: FlowSpec, run_id: int | None = None, from_ts: str | None = None, to_ts: str | None = None,
         limit: int | None = None, work: DataFrame | None = None, audit: bool = True,
     ) -> LayerRun:
         """Check once, write the checked rows once, then silver and quarantine.
 
         Every count comes from the single pass that writes the checked rows.
         """
+        run_id = new_run() if run_id is None else run_id
         target = self.name(flow, "silver")
         if work is None:
             work = layer_window(self.store.read(self.name(flow, "work")), from_ts, to_ts, limit, WORK_WINDOW)
@@ -165,8 +177,9 @@ class LayerJobs:
         found = dict(watch.get)
         passed, failed = split(checked, flow.rules, style="meta", enforce=flow.enforce)
         if found["failed_rows"]:
-            quarantine = to_quarantine(failed, flow).withColumn(BATCH, F.lit(int(batch_id)).cast("long"))
-            self.store.append(quarantine, self.name(flow, "quarantine"), batch_column=BATCH)
+            self.store.append(
+                stamp_run(to_quarantine(failed, flow), run_id), self.name(flow, "quarantine"), batch_column=RUN
+            )
         if found["passed_rows"]:
             write_silver(self.store, to_silver(passed, flow), flow, self.registry)
         metrics = {
@@ -175,16 +188,17 @@ class LayerJobs:
             "quarantine_rows": found["failed_rows"],
             **{f"dq_failed_{r['rule_id']}": found[f"failed_{r['rule_id']}"] for r in flow.rules},
         }
-        run = LayerRun(flow.name, batch_id, target, metrics)
+        run = LayerRun(flow.name, run_id, target, metrics)
         if audit:
             write_metrics(self.store, self.registry, run)
         return run
 
     def raw_to_silver(
-        self, flow: FlowSpec, batch_id: int = 0, from_ts: str | None = None, to_ts: str | None = None,
+        self, flow: FlowSpec, run_id: int | None = None, from_ts: str | None = None, to_ts: str | None = None,
         limit: int | None = None, raw: DataFrame | None = None,
     ) -> tuple[LayerRun, LayerRun]:
-        """Both transitions; the second one reads the batch the first one wrote."""
-        first = self.raw_to_work(flow, batch_id, from_ts, to_ts, limit, raw)
-        written = self.store.read(first.target).filter(F.col(BATCH) == int(batch_id))
-        return first, self.work_to_silver(flow, batch_id, work=written)
+        """Both transitions; the second one reads what the first one wrote."""
+        run_id = new_run() if run_id is None else run_id
+        first = self.raw_to_work(flow, run_id, from_ts, to_ts, limit, raw)
+        written = self.store.read(first.target).filter(F.col(RUN) == int(run_id))
+        return first, self.work_to_silver(flow, run_id, work=written)
