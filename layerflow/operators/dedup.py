@@ -11,21 +11,22 @@ from layerflow.functions.hashing import joined_hash
 
 
 def latest_per_key(
-    df: DataFrame, keys: Sequence[str], order_by: Sequence[str], total_order: bool = True
+    df: DataFrame, keys: Sequence[str], order_by: Sequence[str], *, need_order: bool = True
 ) -> DataFrame:
     """One row per key: the highest ``order_by``, NULLs last.
 
+    Rows that are equal so far are told apart by content, so reruns pick the
+    same one. Without an order column the frame is returned as it is, or ranked
+    by content alone where ``need_order`` is off.
+
     ``row_number() = 1`` lets Spark keep one candidate per key and map task
     before the shuffle (``WindowGroupLimit``), so a hot key sends at most one
-    row per task. With ``total_order`` equal rows are told apart by content, so
-    reruns pick the same one.
+    row per task.
     """
     order = [c for c in order_by if c in df.columns]
-    if not keys or not order:
+    if not keys or (need_order and not order):
         return df
-    ranking = [F.col(c).desc_nulls_last() for c in order]
-    if total_order:
-        rest = [c for c in df.columns if c not in keys and c not in order and not c.startswith("_meta_")]
-        ranking.append(joined_hash(rest).desc())
+    rest = [c for c in df.columns if c not in keys and c not in order and not c.startswith("_meta_")]
+    ranking = [F.col(c).desc_nulls_last() for c in order] + [joined_hash(rest).desc()]
     window = Window.partitionBy(*[F.col(k) for k in keys]).orderBy(*ranking)
     return df.withColumn("_rank", F.row_number().over(window)).filter("_rank = 1").drop("_rank")

@@ -14,16 +14,73 @@ from layerflow.operators.history import DEFAULT_ORDER
 from layerflow.operators.neighbors import same_key
 
 DELETE_MODES = ("soft_delete", "hard_delete")
+DELETED, DELETED_AT = "_meta_is_deleted", "_meta_deleted_at"
 
 
-def latest_changes(changes: DataFrame, keys: Sequence[str], sequence: Sequence[str]) -> DataFrame:
-    """One change per key, so a hot key costs one row from here on."""
-    return latest_per_key(changes, keys, sequence)
+def change_images(
+    changes: DataFrame,
+    keys: Sequence[str],
+    *,
+    sequence: Sequence[str] = (),
+    guard: str | None = None,
+    operation: str = "_meta_source_operation",
+) -> DataFrame:
+    """One row per key: its newest live row, and whether a delete came after.
+
+    Columns: ``_s_0..`` the key, ``_row`` the live row or NULL, ``_gone``, and
+    the guard values ``_row_guard`` and ``_gone_guard``. A hot key is cut to
+    two candidates per map task before anything is shuffled.
+    """
+    columns = changes.columns
+    order = [c for c in (*sequence, *DEFAULT_ORDER) if c in columns]
+    gone = is_delete(F.col(operation)) if operation in columns else F.lit(False)
+    marked = changes.withColumn("_gone", gone)
+    newest = latest_per_key(marked, [*keys, "_gone"], order, need_order=False)
+    place = F.struct(*(order or [F.lit(0)]))
+    guard_value = F.col(guard) if guard in columns else F.lit(None).cast("timestamp")
+
+    def only(when: Column, value: Column) -> Column:
+        return F.first(F.when(when, value), ignorenulls=True)
+
+    live, dead = ~F.col("_gone"), F.col("_gone")
+    per_key = newest.groupBy(*[F.col(k).alias(f"_s_{i}") for i, k in enumerate(keys)]).agg(
+        only(live, F.struct(*columns)).alias("_row"),
+        only(live, place).alias("_live_at"),
+        only(dead, place).alias("_dead_at"),
+        only(live, guard_value).alias("_row_guard"),
+        only(dead, guard_value).alias("_gone_guard"),
+    )
+    deleted = F.col("_dead_at").isNotNull() & (
+        F.col("_live_at").isNull() | (F.col("_dead_at") >= F.col("_live_at"))
+    )
+    return per_key.withColumn("_gone", F.coalesce(deleted, F.lit(False))).drop("_live_at", "_dead_at")
+
+
+def _marked(image: dict[str, Column], deleted: Column, now: Column) -> dict[str, Column]:
+    """The row's columns with the soft-delete flag and time set where deleted."""
+    out = dict(image)
+    if DELETED in out:
+        out[DELETED] = F.when(deleted, F.lit(True)).otherwise(image[DELETED])
+    if DELETED_AT in out:
+        already = F.coalesce(image[DELETED], F.lit(False)) & image[DELETED_AT].isNotNull() if DELETED in out else F.lit(False)
+        out[DELETED_AT] = F.when(deleted & ~already, now).otherwise(image[DELETED_AT])
+    return out
+
 
+def _new_rows(images: DataFrame, columns: Sequence[str], hard: bool, now: Column) -> DataFrame:
+    """Rows of keys that are not stored yet; a bare delete leaves nothing."""
+    live = images.filter(F.col("_row").isNotNull())
+    if hard:
+        return live.filter(~F.col("_gone")).select("_row.*")
+    image = _marked({c: F.col(f"_row.{c}") for c in columns}, F.col("_gone"), now)
+    return live.select(*[value.alias(name) for name, value in image.items()])
 
-def _renamed_keys(df: DataFrame, keys: Sequence[str], prefix: str) -> tuple[DataFrame, list[str]]:
-    names = [f"_{prefix}_{i}" for i in range(len(keys))]
-    return df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)]), names
+
+def _present(df: DataFrame, names: Sequence[str]) -> Column:
+    condition = F.lit(True)
+    for name in names:
+        condition = condition & df[name].isNotNull()
+    return condition
 
 
 def upsert(
@@ -40,73 +97,48 @@ def upsert(
 ) -> DataFrame:
     """Target after the changes: updated, inserted and deleted rows applied.
 
-    The latest change of a key wins. With ``guard`` (a sequence column) a change
-    older than the stored row is ignored. Keys match null-safely unless
-    ``null_safe`` is off, where a NULL key never matches. A delete of an unknown
-    key leaves nothing behind. Catalyst broadcasts the change side where its
-    known size allows; the target is then neither sorted nor shuffled.
+    The newest live change of a key wins, and a delete after it marks or drops
+    the row, so the outcome does not depend on how events fall into batches.
+    With ``guard`` (a sequence column) changes older than the stored row are
+    ignored. Keys match null-safely unless ``null_safe`` is off, where a NULL
+    key never matches and its rows are added. Catalyst broadcasts the change
+    side where its known size allows; the target is then not shuffled.
     """
     if delete_mode not in DELETE_MODES:
         raise ValueError(f"unknown delete mode: {delete_mode}")
+    hard = delete_mode == "hard_delete"
     now = F.current_timestamp() if now is None else now
-    order = [c for c in (*sequence, *DEFAULT_ORDER) if c in changes.columns]
-    if null_safe:
-        latest = latest_changes(changes, keys, order)
-    else:
-        has_key = F.lit(True)
-        for key in keys:
-            has_key = has_key & F.col(key).isNotNull()
-        latest = latest_changes(changes.filter(has_key), keys, order).unionByName(changes.filter(~has_key))
-    latest, schema = evolve(latest, target.schema)
+    changes, schema = evolve(changes, target.schema)
     target = align_to(target, schema)
     columns = schema.fieldNames()
-
-    gone = is_delete(F.col(operation)) if operation in columns else F.lit(False)
-    image = latest.select(
-        *[F.col(k).alias(f"_s_{i}") for i, k in enumerate(keys)],
-        gone.alias("_s_gone"),
-        F.struct(*columns).alias("_s_row"),
-    )
-    key_names = [f"_s_{i}" for i in range(len(keys))]
-    match = same_key(target, image, keys, key_names)
+    keyless = None
     if not null_safe:
-        for key in keys:
-            match = match & target[key].isNotNull()
+        keyless = changes.filter(~_present(changes, keys))
+        changes = changes.filter(_present(changes, keys))
 
-    joined = target.join(image, match, "left")
-    hit = F.col("_s_row").isNotNull()
-    if guard and guard in columns:
-        newer = F.col(f"_s_row.{guard}") >= F.col(guard)
-        hit = hit & F.coalesce(newer, F.lit(True))
-    remove = hit & F.col("_s_gone")
-    replace = hit & ~F.col("_s_gone")
-    kept = []
-    for name in columns:
-        value = F.when(replace, F.col(f"_s_row.{name}"))
-        if delete_mode == "soft_delete" and name == "_meta_is_deleted":
-            value = value.when(remove, F.lit(True))
-        if delete_mode == "soft_delete" and name == "_meta_deleted_at":
-            already = F.col("_meta_is_deleted") & F.col(name).isNotNull()
-            value = value.when(remove, F.when(already, F.col(name)).otherwise(now))
-        kept.append(value.otherwise(F.col(name)).alias(name))
-    if delete_mode == "hard_delete":
-        joined = joined.filter(~F.coalesce(remove, F.lit(False)))
-    updated = joined.select(*kept)
+    images = change_images(changes, keys, sequence=sequence, guard=guard, operation=operation)
+    key_names = [f"_s_{i}" for i in range(len(keys))]
+    joined = target.join(images, same_key(target, images, keys, key_names), "left")
+    stored_guard = F.col(guard) if guard in columns else F.lit(None).cast("timestamp")
+    fresh = F.coalesce(F.col("_row_guard") >= stored_guard, F.lit(True))
+    fresh_delete = F.coalesce(F.col("_gone_guard") >= stored_guard, F.lit(True))
+    replaced = F.coalesce(F.col("_row").isNotNull() & fresh, F.lit(False))
+    removed = F.coalesce(F.col("_gone") & fresh_delete, F.lit(False))
+    image = {c: F.when(replaced, F.col(f"_row.{c}")).otherwise(F.col(c)) for c in columns}
+    if hard:
+        joined = joined.filter(~removed)
+    else:
+        image = _marked(image, removed, now)
+    updated = joined.select(*[value.alias(name) for name, value in image.items()])
 
     # Keys already stored. The semi join reads only the target's key columns and
     # leaves at most one row per change, so nothing target-sized is shuffled.
-    stored, stored_names = _renamed_keys(target, keys, "t")
-    known_match = same_key(stored, image, stored_names, key_names)
-    if not null_safe:
-        for name in stored_names:
-            known_match = known_match & stored[name].isNotNull()
-    known = stored.join(image, known_match, "left_semi")
-    inserted = (
-        image.filter(~F.col("_s_gone"))
-        .join(known, same_key(image, known, key_names, stored_names), "left_anti")
-        .select("_s_row.*")
-    )
-    return updated.unionByName(inserted)
+    stored_names = [f"_t_{i}" for i in range(len(keys))]
+    stored = target.select(*[F.col(k).alias(n) for k, n in zip(keys, stored_names)])
+    known = stored.join(images, same_key(stored, images, stored_names, key_names), "left_semi")
+    unseen = images.join(known, same_key(images, known, key_names, stored_names), "left_anti")
+    result = updated.unionByName(_new_rows(unseen, columns, hard, now))
+    return result if keyless is None else result.unionByName(keyless)
 
 
 def initial_rows(
@@ -115,11 +147,13 @@ def initial_rows(
     *,
     sequence: Sequence[str] = (),
     operation: str = "_meta_source_operation",
+    delete_mode: str = "soft_delete",
+    now: Column | None = None,
 ) -> DataFrame:
-    """First write: the latest row of every key that is not deleted."""
-    order = [c for c in (*sequence, *DEFAULT_ORDER) if c in changes.columns]
-    latest = latest_changes(changes, keys, order)
-    return latest.filter(~is_delete(F.col(operation))) if operation in changes.columns else latest
+    """First write: what ``upsert`` into an empty table would give."""
+    now = F.current_timestamp() if now is None else now
+    images = change_images(changes, keys, sequence=sequence, operation=operation)
+    return _new_rows(images, changes.columns, delete_mode == "hard_delete", now)
 
 
 def update_columns(

@@ -251,7 +251,7 @@ class TableStore:
         whether they may be broadcast."""
         changes = materialize(with_day(changes, partition_by), "changes")
         if not self.exists(name):
-            rows = initial_rows(changes, keys, sequence=sequence)
+            rows = initial_rows(changes, keys, sequence=sequence, delete_mode=delete_mode)
             self.create(self._spread(rows, [DAY] if DAY in rows.columns else []), name, [DAY] if DAY in rows.columns else [])
             return
         changes = self._evolve(changes, name, "add_columns")
