@@ -18,8 +18,10 @@ from layerflow.operators.neighbors import (
     PIECES,
     add_neighbors,
     cut_hot_keys,
+    find_hot_keys,
     same_key,
 )
+from layerflow.session import materialize
 
 DEFAULT_ORDER = ("_meta_source_ts_ms", "_meta_kafka_partition", "_meta_kafka_offset")
 
@@ -45,12 +47,14 @@ def _chain(events: DataFrame, c: HistoryColumns, now: Column) -> DataFrame:
     """Version rows of events that are unique per key and start.
 
     ``_gone`` marks delete events. A repeat of the state before it opens no
-    version; a delete only ends the version it meets.
+    version; a delete only ends the version it meets. Counting the keys is a
+    job of its own; only if it finds hot ones are the events written and cut.
     """
-    cut = cut_hot_keys(
-        events, c.keys, c.start, hot_rows=c.hot_rows, hot_share=c.hot_share, pieces=c.pieces
-    )
-    seen = add_neighbors(cut, c.keys, c.start, previous={"_prev_hash": c.content, "_prev_gone": "_gone"})
+    hot = find_hot_keys(events.select(*c.keys), c.keys, hot_rows=c.hot_rows, hot_share=c.hot_share)
+    if hot is not None:
+        stored = materialize(events, "events")
+        events = materialize(cut_hot_keys(stored, c.keys, c.start, hot, pieces=c.pieces), "events")
+    seen = add_neighbors(events, c.keys, c.start, previous={"_prev_hash": c.content, "_prev_gone": "_gone"})
     alive_before = F.coalesce(~F.col("_prev_gone"), F.lit(False))
     unchanged = alive_before & F.col(c.content).eqNullSafe(F.col("_prev_hash"))
     changed = seen.filter(F.when(F.col("_gone"), alive_before).otherwise(~unchanged))

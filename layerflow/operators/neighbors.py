@@ -1,8 +1,9 @@
 """Previous and next row of a key, also where one key holds most of the rows.
 
-``lag``/``lead`` over ``partitionBy(key)`` sorts a whole key in one task. Here
-hot keys are first cut into chunks of their order column; windows run per
-(key, chunk) and the chunk edges, a small table, supply the values across cuts.
+``lag``/``lead`` over ``partitionBy(key)`` sorts a whole key in one task. That
+is fine for ordinary keys. Hot keys are first cut into chunks of their order
+column; windows then run per (key, chunk), and the chunk edges, a small table,
+supply the values across cuts.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from layerflow.session import materialize
+
 CHUNK = "_chunk"
 COLD = -1
 
@@ -30,44 +33,58 @@ def same_key(left: DataFrame, right: DataFrame, keys: Sequence[str], names: Sequ
     return match
 
 
+def _hot_names(keys: Sequence[str]) -> list[str]:
+    return [f"_hot_{i}" for i in range(len(keys))]
+
+
+def find_hot_keys(
+    df: DataFrame, keys: Sequence[str], *, hot_rows: int = HOT_ROWS, hot_share: float = HOT_SHARE
+) -> DataFrame | None:
+    """Hot keys as a small stored frame, or None: the usual case.
+
+    One job that reads the key columns only, counted map-side.
+    """
+    large = materialize(
+        df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, _hot_names(keys))])
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") > hot_rows),
+        "large-keys",
+    )
+    if large.isEmpty():
+        return None
+    floor = df.count() * hot_share
+    hot = large.filter(F.col("_n") > floor).drop("_n")
+    return None if hot.isEmpty() else hot
+
+
 def _position(column: str, df: DataFrame) -> Column:
     is_time = df.schema[column].dataType.typeName() in ("timestamp", "timestamp_ntz")
     return F.unix_micros(F.col(column).cast("timestamp")) if is_time else F.col(column).cast("long")
 
 
 def cut_hot_keys(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    *,
-    hot_rows: int = HOT_ROWS,
-    hot_share: float = HOT_SHARE,
-    pieces: int = PIECES,
+    df: DataFrame, keys: Sequence[str], order: str, hot: DataFrame, *, pieces: int = PIECES
 ) -> DataFrame:
     """Add the chunk number: -1 for ordinary keys, else a run of ``order``.
 
-    Rows with the same key and order value always get the same chunk. Counting
-    and cutting only read the key and order columns, combined map-side.
+    Rows with the same key and order value always get the same chunk. The cuts
+    are quantiles of each hot key, sketched map-side. Both broadcasts are bound
+    by the number of hot keys, which ``find_hot_keys`` limits.
     """
+    names = _hot_names(keys)
     slim = df.select(*keys, _position(order, df).alias("_pos"))
-    sizes = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = sizes.agg((F.sum("_n") * hot_share).alias("_floor")).scalar()
-    aliases = [f"_hot_{i}" for i in range(len(keys))]
-    hot = sizes.filter((F.col("_n") > hot_rows) & (F.col("_n") > total)).select(
-        *[F.col(k).alias(a) for k, a in zip(keys, aliases)]
-    )
-    fractions = [i / pieces for i in range(1, pieces)]
-    cuts = (
-        slim.join(F.broadcast(hot), same_key(slim, hot, keys, aliases), "inner")
-        .groupBy(*aliases)
-        .agg(F.percentile_approx("_pos", fractions).alias("_cuts"))
+    cuts = materialize(
+        slim.join(F.broadcast(hot), same_key(slim, hot, keys, names), "inner")
+        .groupBy(*names)
+        .agg(F.percentile_approx("_pos", [i / pieces for i in range(1, pieces)]).alias("_cuts")),
+        "cuts",
     )
-    passed = F.size(F.filter("_cuts", lambda cut: cut <= F.col("_pos")))
     wide = df.withColumn("_pos", _position(order, df))
+    passed = F.size(F.filter("_cuts", lambda cut: cut <= F.col("_pos")))
     return (
-        wide.join(F.broadcast(cuts), same_key(wide, cuts, keys, aliases), "left")
+        wide.join(F.broadcast(cuts), same_key(wide, cuts, keys, names), "left")
         .withColumn(CHUNK, F.when(F.col("_cuts").isNull(), F.lit(COLD)).otherwise(passed))
-        .drop("_cuts", "_pos", *aliases)
+        .drop("_cuts", "_pos", *names)
     )
 
 
@@ -81,37 +98,40 @@ def add_neighbors(
 ) -> DataFrame:
     """Add values of the row before (``previous``) and after (``following``).
 
-    Both map a new column to the column it is read from. ``df`` carries the
-    chunk column of ``cut_hot_keys`` and is unique per key and ``order``.
+    Both map a new column to the column it is read from. Rows are unique per
+    key and ``order``. A frame from ``cut_hot_keys`` is windowed per chunk.
     """
     previous, following = dict(previous or {}), dict(following or {})
-    local = Window.partitionBy(*keys, CHUNK).orderBy(order)
+    chunked = CHUNK in df.columns
+    local = Window.partitionBy(*keys, *([CHUNK] if chunked else [])).orderBy(order)
+    near = {
+        **{new: F.lag(col).over(local) for new, col in previous.items()},
+        **{new: F.lead(col).over(local) for new, col in following.items()},
+    }
+    if not chunked:
+        return df.withColumns(near)
     step = df.withColumns(
         {
-            **{new: F.lag(col).over(local) for new, col in previous.items()},
-            **{new: F.lead(col).over(local) for new, col in following.items()},
-            "_first": F.lag(F.lit(True), 1, False).over(local) == F.lit(False),
-            "_last": F.lead(F.lit(True), 1, False).over(local) == F.lit(False),
+            **near,
+            "_first": F.lag(F.lit(1)).over(local).isNull(),
+            "_last": F.lead(F.lit(1)).over(local).isNull(),
         }
     )
-    carried = list(dict.fromkeys([*previous.values(), *following.values()]))
-    aliases = [f"_edge_{i}" for i in range(len(keys))]
-    image = F.struct(*carried)
-    by_key = Window.partitionBy(*aliases).orderBy("_edge_chunk")
+    image = F.struct(*dict.fromkeys([*previous.values(), *following.values()]))
+    names = [f"_edge_{i}" for i in range(len(keys))]
+    by_key = Window.partitionBy(*names).orderBy("_edge_chunk")
     edges = (
         df.filter(F.col(CHUNK) != COLD)
-        .groupBy(*[F.col(k).alias(a) for k, a in zip(keys, aliases)], F.col(CHUNK).alias("_edge_chunk"))
+        .groupBy(*[F.col(k).alias(a) for k, a in zip(keys, names)], F.col(CHUNK).alias("_edge_chunk"))
         .agg(F.min_by(image, order).alias("_head"), F.max_by(image, order).alias("_tail"))
         .select(
-            *aliases,
+            *names,
             "_edge_chunk",
             F.lag("_tail").over(by_key).alias("_before"),
             F.lead("_head").over(by_key).alias("_after"),
         )
     )
-    joined = step.join(
-        edges, same_key(step, edges, keys, aliases) & (step[CHUNK] == edges["_edge_chunk"]), "left"
-    )
+    joined = step.join(edges, same_key(step, edges, keys, names) & (step[CHUNK] == edges["_edge_chunk"]), "left")
     filled = {
         **{
             new: F.when(F.col("_first"), F.col("_before").getField(col)).otherwise(F.col(new))
@@ -122,4 +142,4 @@ def add_neighbors(
             for new, col in following.items()
         },
     }
-    return joined.withColumns(filled).drop("_first", "_last", "_before", "_after", "_edge_chunk", *aliases)
+    return joined.withColumns(filled).drop("_first", "_last", "_before", "_after", "_edge_chunk", *names)

@@ -12,6 +12,7 @@ from layerflow.operators.dedup import latest_per_key
 from layerflow.operators.envelope import is_delete
 from layerflow.operators.history import DEFAULT_ORDER
 from layerflow.operators.neighbors import same_key
+from layerflow.session import materialize
 
 DELETE_MODES = ("soft_delete", "hard_delete")
 DELETED, DELETED_AT = "_meta_is_deleted", "_meta_deleted_at"
@@ -83,40 +84,24 @@ def _present(df: DataFrame, names: Sequence[str]) -> Column:
     return condition
 
 
-def upsert(
+def apply_images(
     target: DataFrame,
-    changes: DataFrame,
+    images: DataFrame,
     keys: Sequence[str],
     *,
-    sequence: Sequence[str] = (),
     guard: str | None = None,
-    operation: str = "_meta_source_operation",
     delete_mode: str = "soft_delete",
-    null_safe: bool = True,
     now: Column | None = None,
 ) -> DataFrame:
-    """Target after the changes: updated, inserted and deleted rows applied.
+    """Target after the change images, which are read three times: store them.
 
-    The newest live change of a key wins, and a delete after it marks or drops
-    the row, so the outcome does not depend on how events fall into batches.
-    With ``guard`` (a sequence column) changes older than the stored row are
-    ignored. Keys match null-safely unless ``null_safe`` is off, where a NULL
-    key never matches and its rows are added. Catalyst broadcasts the change
-    side where its known size allows; the target is then not shuffled.
+    ``target`` already has every column of the images' rows.
     """
     if delete_mode not in DELETE_MODES:
         raise ValueError(f"unknown delete mode: {delete_mode}")
     hard = delete_mode == "hard_delete"
     now = F.current_timestamp() if now is None else now
-    changes, schema = evolve(changes, target.schema)
-    target = align_to(target, schema)
-    columns = schema.fieldNames()
-    keyless = None
-    if not null_safe:
-        keyless = changes.filter(~_present(changes, keys))
-        changes = changes.filter(_present(changes, keys))
-
-    images = change_images(changes, keys, sequence=sequence, guard=guard, operation=operation)
+    columns = target.columns
     key_names = [f"_s_{i}" for i in range(len(keys))]
     joined = target.join(images, same_key(target, images, keys, key_names), "left")
     stored_guard = F.col(guard) if guard in columns else F.lit(None).cast("timestamp")
@@ -137,7 +122,41 @@ def upsert(
     stored = target.select(*[F.col(k).alias(n) for k, n in zip(keys, stored_names)])
     known = stored.join(images, same_key(stored, images, stored_names, key_names), "left_semi")
     unseen = images.join(known, same_key(images, known, key_names, stored_names), "left_anti")
-    result = updated.unionByName(_new_rows(unseen, columns, hard, now))
+    return updated.unionByName(_new_rows(unseen, columns, hard, now))
+
+
+def upsert(
+    target: DataFrame,
+    changes: DataFrame,
+    keys: Sequence[str],
+    *,
+    sequence: Sequence[str] = (),
+    guard: str | None = None,
+    operation: str = "_meta_source_operation",
+    delete_mode: str = "soft_delete",
+    null_safe: bool = True,
+    now: Column | None = None,
+) -> DataFrame:
+    """Target after the changes: updated, inserted and deleted rows applied.
+
+    The newest live change of a key wins, and a delete after it marks or drops
+    the row, so the outcome does not depend on how events fall into batches.
+    With ``guard`` (a sequence column) changes older than the stored row are
+    ignored. Keys match null-safely unless ``null_safe`` is off, where a NULL
+    key never matches and its rows are added. Catalyst broadcasts the change
+    side where its known size allows; the target is then not shuffled.
+    """
+    changes, schema = evolve(changes, target.schema)
+    target = align_to(target, schema)
+    keyless = None
+    if not null_safe:
+        keyless = changes.filter(~_present(changes, keys))
+        changes = changes.filter(_present(changes, keys))
+
+    images = materialize(
+        change_images(changes, keys, sequence=sequence, guard=guard, operation=operation), "images"
+    )
+    result = apply_images(target, images, keys, guard=guard, delete_mode=delete_mode, now=now)
     return result if keyless is None else result.unionByName(keyless)
 
 

@@ -81,11 +81,13 @@ def write_silver(store: TableStore, silver: DataFrame, flow: FlowSpec, registry:
     name = registry.runtime.ident(flow.table("silver"))
     sequence = [flow.sequence_column] if flow.sequence_column else []
     if flow.entity_type == "dimension" and flow.is_scd2:
-        store.merge_history(silver, name, history_of(flow), partition_by=flow.partition_by)
+        store.merge_history(
+            silver, name, history_of(flow), partition_by=flow.partition_by, on_schema_change=flow.on_schema_change
+        )
     elif flow.entity_type in ("dimension", "fact"):
         store.merge_rows(
             silver, name, flow.merge_keys, partition_by=flow.partition_by, sequence=sequence,
-            guard=flow.sequence_column, delete_mode=flow.delete_mode,
+            guard=flow.sequence_column, delete_mode=flow.delete_mode, on_schema_change=flow.on_schema_change,
         )
     else:
         store.write(

@@ -12,6 +12,7 @@ from layerflow.config import FlowSpec
 from layerflow.operators.envelope import build_events, decode_events
 from layerflow.sales.specs import sales_registry
 from layerflow.sales.views import SalesSource, as_ansi, view_chain
+from layerflow.session import materialize
 
 REGISTRY = sales_registry()
 
@@ -117,4 +118,6 @@ def decoded_orders(src: SalesSource, **options) -> DataFrame:
 
 
 def decoded_changes(src: SalesSource, **options) -> DataFrame:
-    return decode_events(change_log(src), flow("dim_customer"), REGISTRY.runtime, at=moment(), **options)
+    """Customer changes as work starts from them: decoded from a stored log."""
+    log = materialize(change_log(src), "log")
+    return decode_events(log, flow("dim_customer"), REGISTRY.runtime, at=moment(), **options)

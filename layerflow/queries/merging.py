@@ -78,11 +78,17 @@ def _customer_state(df):
     )
 
 
-def _upserted(src, delete_mode: str, steps=("op IN ('r')", "op = 'u' AND seq < 3", "seq >= 3")):
-    changes = decoded_changes(src).withColumn("op", F.col("_meta_source_operation"))
-    bounds = {"op IN ('r')": "_meta_kafka_offset < 1000000", "op = 'u' AND seq < 3":
-              "_meta_kafka_offset BETWEEN 1000000 AND 2999999", "seq >= 3": "_meta_kafka_offset >= 3000000"}
-    parts = [changes.filter(bounds[s]).drop("op") for s in steps]
+# The change log in three batches: snapshot, changes, late replays with deletes.
+BATCHES = (
+    "_meta_kafka_offset < 1000000",
+    "_meta_kafka_offset BETWEEN 1000000 AND 2999999",
+    "_meta_kafka_offset >= 3000000",
+)
+
+
+def _upserted(src, delete_mode: str):
+    changes = decoded_changes(src)
+    parts = [changes.filter(batch) for batch in BATCHES]
     options = {"sequence": ["updated_at"], "delete_mode": delete_mode}
     target = upsert.initial_rows(parts[0], ["customer_id"], **options)
     for part in parts[1:]:
@@ -156,17 +162,6 @@ def _versions(df):
     )
 
 
-def _history_events(src):
-    """Work rows of the change log, as the silver step gets them, with the
-    province as the source wrote it."""
-    raw = decoded_changes(src)
-    work = raw_to_work(raw, flow("dim_customer"), now=moment())
-    spelled = raw.select("_meta_event_id", F.col("province").alias("_p"), F.col("customer_segment").alias("_s"))
-    return work.join(spelled, "_meta_event_id").withColumns(
-        {"province": F.col("_p"), "customer_segment": F.col("_s")}
-    ).drop("_p", "_s")
-
-
 @query(SCD2_SQL, ("customer_changes",), SCD2_CTES)
 def scd2_history(src):
     return _versions(history.build_history(_plain_events(src), history_of(flow("dim_customer")), moment()))

@@ -152,7 +152,7 @@ def kpi_daily_revenue_all(src):
 
 @query(
     "SELECT order_ds, order_status, order_count, total_amount, success_amount, "
-    "CASE WHEN total_amount = 0 THEN 0 ELSE round(success_amount / total_amount, 6) END AS success_ratio FROM gold",
+    "CASE WHEN total_amount = 0 THEN 0 ELSE round(success_amount / total_amount, 6) + 0.0 END AS success_ratio FROM gold",
     ("src_order",),
     (_FACT, ("gold", _GOLD.format(keep="WHERE NOT gone"))),
 )

@@ -179,9 +179,6 @@ def model_quality(src):
     return quality.model_quality(model, _MODEL_RULES, model="revenue", target="gold.revenue")
 
 
-_LAST4 = "right({0}, 4)"
-
-
 @query(
     "SELECT customer_id, sha256(full_name) AS full_name, CASE WHEN email IS NOT NULL THEN "
     "concat(substr(string_split(email, '@')[1], 1, 1), '***@', string_split(email, '@')[-1]) END AS email, "
@@ -211,7 +208,7 @@ _CHECKS = (
 )
 _HALF_MASKED = (
     "SELECT CASE WHEN customer_id % 4 = 0 THEN full_name ELSE sha256(full_name) END AS full_name, "
-    "CASE WHEN customer_id % 3 = 0 THEN email ELSE concat('U***@', string_split(email, '@')[-1]) END AS email, "
+    "CASE WHEN customer_id % 3 = 0 THEN email ELSE 'U***@' || string_split(email, '@')[-1] END AS email, "
     "concat('***', right(telephone, 4)) AS telephone, CASE WHEN customer_id % 10 = 0 THEN address END AS address "
     "FROM src_customer"
 )

@@ -53,17 +53,17 @@ def incremental_load(src):
 
 
 @query(
-    "SELECT channel, count(*) AS order_count, CAST(sum(total_amount) AS DOUBLE) AS revenue FROM src_order "
-    "WHERE order_date >= TIMESTAMP '2000-01-01 00:00:00' GROUP BY channel",
-    ("src_order",),
+    "SELECT category, count(*) AS products, CAST(sum(unit_price) AS DOUBLE) AS total_price FROM src_product "
+    "WHERE updated_at >= TIMESTAMP '2023-08-15 00:00:00' GROUP BY category",
+    ("src_product",),
 )
 def parquet_partitioned_scan(src):
     """Written per day once, then a scan that opens only the days it needs."""
-    path = f"{scratch_dir(src.spark)}/orders-by-day-{uuid.uuid4().hex}"
-    sizes.write_day_partitioned(src["src_order"], path, "order_date")
-    recent = src.spark.read.parquet(path).filter(F.col("p_date") >= F.lit("2000-01-01").cast("date"))
-    return recent.groupBy("channel").agg(
-        F.count(F.lit(1)).alias("order_count"), F.sum("total_amount").cast("double").alias("revenue")
+    path = f"{scratch_dir(src.spark)}/products-by-day-{uuid.uuid4().hex}"
+    sizes.write_day_partitioned(src["src_product"], path, "updated_at")
+    recent = src.spark.read.parquet(path).filter(F.col("p_date") >= F.lit("2023-08-15").cast("date"))
+    return recent.groupBy("category").agg(
+        F.count(F.lit(1)).alias("products"), F.sum("unit_price").cast("double").alias("total_price")
     )
 
 

@@ -22,7 +22,7 @@ def _isolated(src, log):
     flows = []
     for item in DOCUMENT["flows"]:
         target = {
-            k: f"{mark}_{v}" if k.endswith("_table") else v for k, v in item["target"].items()
+            k: f"{mark}_{v}" if k.endswith("_table") else v for k, v in item["target"].items() if k != "partition_by"
         }
         flows.append({**item, "target": target, "foreign_keys": []})
     registry = sales_registry(

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from layerflow.operators.contract import align_to, evolve, new_columns
 from layerflow.operators.history import HistoryColumns, build_history, merge_history
 from layerflow.operators.neighbors import same_key
-from layerflow.operators.upsert import initial_rows, update_columns, upsert
+from layerflow.operators.upsert import apply_images, change_images, initial_rows, update_columns
 from layerflow.session import materialize
 
 DAY = "p_date"
@@ -191,23 +193,26 @@ class TableStore:
         if mode == "overwrite":
             self.overwrite(df, name, partition_by=partition_by)
         elif mode == "merge" and primary_key and self.exists(name):
-            self.merge_rows(df, name, primary_key, partition_by=partition_by, null_safe=False)
+            self.merge_rows(
+                df, name, primary_key, partition_by=partition_by, null_safe=False, on_schema_change=on_schema_change
+            )
         else:
             self.append(df, name, partition_by=partition_by, on_schema_change=on_schema_change)
 
     # -- merging -------------------------------------------------------------
-    def _touched_days(self, name: str, changes: DataFrame, keys: Sequence[str]) -> list:
+    def _touched_days(
+        self, name: str, changes: DataFrame, keys: Sequence[str], slots: Sequence[str], own: DataFrame
+    ) -> list:
         """Days of the stored rows with a changed key, and of the changes.
 
         Only partition values reach the driver: one per day, whatever the rows.
         """
         target = self.read(name)
-        slim = changes.select(*[F.col(k).alias(f"_c_{i}") for i, k in enumerate(keys)])
+        slim = changes.select(*[F.col(s).alias(f"_c_{i}") for i, s in enumerate(slots)])
         hit = target.select(*keys, DAY).join(
             slim, same_key(target, slim, keys, [f"_c_{i}" for i in range(len(keys))]), "left_semi"
         )
-        days = hit.select(DAY).union(changes.select(DAY)).distinct()
-        return [row[0] for row in days.collect()]
+        return [row[0] for row in hit.select(DAY).union(own.select(DAY)).distinct().collect()]
 
     def _of_days(self, df: DataFrame, days: Sequence) -> DataFrame:
         dated = [d for d in days if d is not None]
@@ -231,7 +236,7 @@ class TableStore:
     def _merge_scope(self, name: str, changes: DataFrame, keys: Sequence[str]):
         if DAY not in self.partition_columns(name):
             return self.read(name), None
-        days = self._touched_days(name, changes, keys)
+        days = self._touched_days(name, changes, keys, keys, changes)
         return self._of_days(self.read(name), days), days
 
     def merge_rows(
@@ -245,24 +250,40 @@ class TableStore:
         guard: str | None = None,
         delete_mode: str = "soft_delete",
         null_safe: bool = True,
+        on_schema_change: str = "add_columns",
     ) -> None:
-        """Upsert with deletes. The changes are written to the scratch folder
-        first: they are read several times, and their file size tells Catalyst
-        whether they may be broadcast."""
-        changes = materialize(with_day(changes, partition_by), "changes")
+        """Upsert with deletes. One image per changed key is written to the
+        scratch folder: it is read several times, and its file size tells
+        Catalyst whether it may be broadcast."""
+        changes = with_day(changes, partition_by)
         if not self.exists(name):
             rows = initial_rows(changes, keys, sequence=sequence, delete_mode=delete_mode)
             self.create(self._spread(rows, [DAY] if DAY in rows.columns else []), name, [DAY] if DAY in rows.columns else [])
             return
-        changes = self._evolve(changes, name, "add_columns")
-        target, days = self._merge_scope(name, changes, keys)
-        merged = upsert(
-            target, changes, keys, sequence=sequence, guard=guard, delete_mode=delete_mode, null_safe=null_safe
-        )
-        self._rewrite(name, merged, days)
+        changes = self._evolve(changes, name, on_schema_change)
+        keyless = None
+        if not null_safe:
+            changes = materialize(changes, "changes")
+            has_key = reduce(and_, [F.col(k).isNotNull() for k in keys])
+            keyless, changes = changes.filter(~has_key), changes.filter(has_key)
+        images = materialize(change_images(changes, keys, sequence=sequence, guard=guard), "images")
+        if keyless is not None and not keyless.isEmpty():
+            self.append(keyless, name)
+        slots = [f"_s_{i}" for i in range(len(keys))]
+        days = None
+        if DAY in self.partition_columns(name):
+            days = self._touched_days(name, images, keys, slots, images.select(f"_row.{DAY}").filter(F.col("_row").isNotNull()))
+        target = self.read(name) if days is None else self._of_days(self.read(name), days)
+        self._rewrite(name, apply_images(target, images, keys, guard=guard, delete_mode=delete_mode), days)
 
     def merge_history(
-        self, events: DataFrame, name: str, columns: HistoryColumns, *, partition_by: str | None = None
+        self,
+        events: DataFrame,
+        name: str,
+        columns: HistoryColumns,
+        *,
+        partition_by: str | None = None,
+        on_schema_change: str = "add_columns",
     ) -> None:
         """Type-2 merge: the chains of the changed keys are rebuilt."""
         events = materialize(with_day(events, partition_by), "changes")
@@ -270,7 +291,7 @@ class TableStore:
             rows = build_history(events, columns)
             self.create(self._spread(rows, [DAY] if DAY in rows.columns else []), name, [DAY] if DAY in rows.columns else [])
             return
-        events = self._evolve(events, name, "add_columns")
+        events = self._evolve(events, name, on_schema_change)
         target, days = self._merge_scope(name, events, columns.keys)
         rebuilt, untouched = merge_history(target, events, columns)
         self._rewrite(name, rebuilt.unionByName(untouched), days)
