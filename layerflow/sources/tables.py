@@ -127,21 +127,23 @@ class TableStore:
         df = self._evolve(df, name, on_schema_change)
         partitions = self.partition_columns(name)
         if batch_column:
-            self._overwrite_partitions(df, name)
+            self._insert_over(df, name)
         else:
             self._spread(df, partitions).write.insertInto(name, overwrite=False)
 
-    def _overwrite_partitions(self, df: DataFrame, name: str) -> None:
-        conf, mode = df.sparkSession.conf, "spark.sql.sources.partitionOverwriteMode"
-        before = conf.get(mode)
-        conf.set(mode, "dynamic")
+    def _insert_over(self, df: DataFrame, name: str, mode: str = "dynamic") -> None:
+        """Replace the partitions the frame brings, or (static) all of them."""
+        conf, key = df.sparkSession.conf, "spark.sql.sources.partitionOverwriteMode"
+        before = conf.get(key)
+        conf.set(key, mode)
         try:
             df.write.insertInto(name, overwrite=True)
         finally:
-            conf.set(mode, before)
+            conf.set(key, before)
 
     def overwrite(self, df: DataFrame, name: str, *, partition_by: str | None = None) -> None:
-        """Replace all rows; the table, its grants and its name stay."""
+        """Replace all rows; the table, its grants and its name stay. A frame
+        that reads a partitioned table cannot overwrite that same table."""
         df = with_day(df, partition_by)
         if not self.exists(name):
             self.create(self._spread(df, [DAY] if DAY in df.columns else []), name, [DAY] if DAY in df.columns else [])
@@ -164,16 +166,12 @@ class TableStore:
     def _replace_all(self, df: DataFrame, name: str) -> None:
         df = self._evolve(df, name, "add_columns")
         partitions = self.partition_columns(name)
-        path = self._version_path(name)
-        writer = self._spread(df, partitions).write
-        (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
-        if not partitions:
-            self.spark.sql(f"ALTER TABLE {name} SET LOCATION '{path}'")
+        if partitions:
+            self._insert_over(self._spread(df, partitions), name, "static")
         else:
-            schema = self.read(name).schema
-            self.spark.sql(f"DROP TABLE {name}")
-            self.spark.catalog.createTable(name, path=path, source="parquet", schema=schema)
-            self.spark.catalog.recoverPartitions(name)
+            path = self._version_path(name)
+            df.write.parquet(path)
+            self.spark.sql(f"ALTER TABLE {name} SET LOCATION '{path}'")
         self.spark.catalog.refreshTable(name)
 
     def write(
@@ -226,7 +224,7 @@ class TableStore:
             return
         result = materialize(align_to(result, self.read(name).schema), "merge")
         left = {row[0] for row in result.select(DAY).distinct().collect()}
-        self._overwrite_partitions(self._spread(result, [DAY]), name)
+        self._insert_over(self._spread(result, [DAY]), name)
         for day in days:
             if day not in left:
                 value = "__HIVE_DEFAULT_PARTITION__" if day is None else str(day)
