@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from layerflow.functions.hashing import joined_hash
-
 
 def latest_per_key(
     df: DataFrame, keys: Sequence[str], order_by: Sequence[str], *, need_order: bool = True
@@ -27,6 +25,8 @@ def latest_per_key(
     if not keys or (need_order and not order):
         return df
     rest = [c for c in df.columns if c not in keys and c not in order and not c.startswith("_meta_")]
-    ranking = [F.col(c).desc_nulls_last() for c in order] + [joined_hash(rest).desc()]
+    ranking = [F.col(c).desc_nulls_last() for c in order]
+    if rest:
+        ranking.append(F.xxhash64(*rest).desc())
     window = Window.partitionBy(*[F.col(k) for k in keys]).orderBy(*ranking)
     return df.withColumn("_rank", F.row_number().over(window)).filter("_rank = 1").drop("_rank")

@@ -43,14 +43,15 @@ class HistoryColumns:
     pieces: int = PIECES
 
 
-def _chain(events: DataFrame, c: HistoryColumns, now: Column) -> DataFrame:
+def _chain(events: DataFrame, counted: DataFrame, c: HistoryColumns, now: Column) -> DataFrame:
     """Version rows of events that are unique per key and start.
 
     ``_gone`` marks delete events. A repeat of the state before it opens no
-    version; a delete only ends the version it meets. Counting the keys is a
-    job of its own; only if it finds hot ones are the events written and cut.
+    version; a delete only ends the version it meets. The keys of ``counted``,
+    the events before they were made unique, are counted in a job of its own;
+    only if it finds hot ones are the events written and cut.
     """
-    hot = find_hot_keys(events.select(*c.keys), c.keys, hot_rows=c.hot_rows, hot_share=c.hot_share)
+    hot = find_hot_keys(counted, c.keys, hot_rows=c.hot_rows, hot_share=c.hot_share)
     if hot is not None:
         stored = materialize(events, "events")
         events = materialize(cut_hot_keys(stored, c.keys, c.start, hot, pieces=c.pieces), "events")
@@ -114,7 +115,7 @@ def build_history(events: DataFrame, c: HistoryColumns, now: Column | None = Non
     """Version table from events alone (first load)."""
     now = F.current_timestamp() if now is None else now
     marked = _prepare(events, c).withColumn("_gone", is_delete(F.col(c.operation)))
-    return _chain(_latest(marked, c), c, now)
+    return _chain(_latest(marked, c), events.select(*c.keys), c, now)
 
 
 def _as_events(versions: DataFrame, c: HistoryColumns) -> DataFrame:
@@ -161,7 +162,8 @@ def merge_history(
         & ~incoming["_gone"]
     )
     fresh = align_to(incoming.join(known, replayed, "left_anti"), stored.schema)
-    rebuilt = _chain(_latest(stored.unionByName(fresh), c), c, now)
+    counted = touched.select(*c.keys).unionAll(events.select(*c.keys))
+    rebuilt = _chain(_latest(stored.unionByName(fresh), c), counted, c, now)
     return align_to(rebuilt, schema), untouched
 
 

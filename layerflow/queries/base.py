@@ -114,10 +114,12 @@ def change_log(src: SalesSource) -> DataFrame:
 
 
 def decoded_orders(src: SalesSource, **options) -> DataFrame:
-    return decode_events(order_log(src), flow("fact_order"), REGISTRY.runtime, at=moment(), **options)
+    """Orders as work starts from them: decoded from a stored log."""
+    log = materialize(order_log(src), "log")
+    return decode_events(log, flow("fact_order"), REGISTRY.runtime, at=moment(), **options)
 
 
 def decoded_changes(src: SalesSource, **options) -> DataFrame:
-    """Customer changes as work starts from them: decoded from a stored log."""
+    """Customer changes, decoded from a stored log likewise."""
     log = materialize(change_log(src), "log")
     return decode_events(log, flow("dim_customer"), REGISTRY.runtime, at=moment(), **options)
