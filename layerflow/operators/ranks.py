@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PIECES = 256
-_ALL = "_all"
 
 
 def cumulative_histogram(df: DataFrame, value: str, groups: Sequence[str] = (), pieces: int = PIECES) -> DataFrame:
@@ -20,25 +19,28 @@ def cumulative_histogram(df: DataFrame, value: str, groups: Sequence[str] = (),
     sums are taken inside a run and shifted by the counts of the runs before.
     """
     groups = list(groups)
-    rows = df.filter(F.col(value).isNotNull()).select(*groups, F.col(value).alias("_value"))
-    if not groups:
-        groups, rows = [_ALL], rows.withColumn(_ALL, F.lit(1))
-    counts = rows.groupBy(*groups, "_value").agg(F.count(F.lit(1)).alias("_n"))
+    counts = (
+        df.filter(F.col(value).isNotNull())
+        .groupBy(*groups, F.col(value).alias("_value"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
     cuts = counts.groupBy(*groups).agg(
         F.percentile_approx("_value", [i / pieces for i in range(1, pieces)]).alias("_cuts")
     )
+    if groups:
+        cut_counts = counts.join(cuts, groups)
+    else:
+        cut_counts = counts.withColumn("_cuts", cuts.scalar())
     run = F.size(F.filter("_cuts", lambda cut: cut < F.col("_value")))
-    placed = counts.join(cuts, groups).select(*groups, "_value", "_n", run.alias("_run"))
-    ordered = Window.partitionBy(*groups).orderBy("_run")
-    runs = (
-        placed.groupBy(*groups, "_run")
-        .agg(F.sum("_n").alias("_in_run"))
-        .select(
-            *groups,
-            "_run",
-            (F.sum("_in_run").over(ordered) - F.col("_in_run")).alias("_before"),
-            F.sum("_in_run").over(Window.partitionBy(*groups)).alias("_total"),
-        )
+    placed = cut_counts.select(*groups, "_value", "_n", run.alias("_run"))
+    per_run = placed.groupBy(*groups, "_run").agg(F.sum("_n").alias("_in_run"))
+    # At most ``pieces`` rows per group are left here.
+    scope = [F.col(g) for g in groups] or [F.lit(0)]
+    runs = per_run.select(
+        *groups,
+        "_run",
+        (F.sum("_in_run").over(Window.partitionBy(*scope).orderBy("_run")) - F.col("_in_run")).alias("_before"),
+        F.sum("_in_run").over(Window.partitionBy(*scope)).alias("_total"),
     )
     inside = Window.partitionBy(*groups, "_run").orderBy("_value")
     return placed.join(runs, [*groups, "_run"]).select(

@@ -1,8 +1,11 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMALL, rows
-from layerflow.config import ConfigError, chosen, expand_env, load_registry, registry_from
+from layerflow.__main__ import arguments, run
+from layerflow.config import ConfigError, chosen, expand_env, load_registry, registry_from, summary
 from layerflow.plans.layers import LayerJobs
 from layerflow.plans.models import run_models
 from layerflow.plans.publish import enabled_sources, publish
@@ -244,3 +247,33 @@ def test_config_loading(tmp_path):
     ):
         with pytest.raises(ConfigError):
             registry_from(broken)
+
+
+def test_compact_tables_and_summary(spark, store, space):
+    SalesSource(spark, SMALL)["src_payment"].createOrReplaceTempView(f"pay_{space}")
+    document = {
+        "tables": {
+            f"payments_{space}": {
+                "source_table": f"pay_{space}", "primary_key": ["payment_id"], "watermark_column": "updated_at",
+                "columns": [{"name": "payment_id", "dataType": "BIGINT"}, {"name": "updated_at", "dataType": "TIMESTAMP"},
+                            {"name": "card_number", "dataType": "TEXT", "pii": "PII.Financial"}],
+                "pii_columns": {"card_number": {"method": "last4"}},
+                "dq_rules": [{"rule_id": "CARD", "column": "card_number", "type": "pii_present"},
+                             {"rule_id": "UNIQUE", "column": "payment_id", "type": "unique"}],
+            }
+        },
+        "runtime": {"audit_namespace": f"{space}_audit", "quarantine_namespace": f"{space}_q"},
+    }
+    registry = registry_from(document)
+    table = registry.tables[f"payments_{space}"]
+    assert TableJobs(store, registry).run_tables([table]) == {table.name: "SUCCESS"}
+    silver = store.read(f"silver.payments_{space}")
+    assert silver.count() == 1425 and silver.filter("card_number LIKE '4%'").count() == 0
+    assert summary(registry)[0]["dq_rules"] == 2 and len(summary(sales_registry())) == 8
+
+
+def test_command_line(tmp_path, capsys):
+    path = tmp_path / "c.json"
+    path.write_text(json.dumps(DOCUMENT))
+    got = run(arguments().parse_args(["summary", "--config", str(path)]))
+    assert [g["name"] for g in got][:3] == ["dim_customer", "dim_product", "fact_order"]
