@@ -48,6 +48,12 @@ def cumulative_histogram(df: DataFrame, value: str, groups: Sequence[str] = (),
     )
 
 
+def trailing(df: DataFrame, column: str, minutes: int = 5) -> DataFrame:
+    """Rows of the last ``minutes`` before the newest value of ``column``."""
+    newest = df.agg(F.max(column).alias("_newest")).scalar()
+    return df.filter(F.col(column) >= newest - F.make_dt_interval(mins=F.lit(minutes)))
+
+
 def _at_rank(rank: Column) -> Column:
     return F.min(F.when(F.col("_upto") > rank, F.col("_value")))
 

@@ -15,7 +15,7 @@ from layerflow.operators.keys import add_surrogate_key, add_version_columns, res
 from layerflow.operators.privacy import apply_masks
 from layerflow.operators.quality import annotate, metric_columns, split
 from layerflow.operators.shaping import LOG_COLUMNS, derive, final_projection, keep_where, standardize
-from layerflow.session import materialize
+from layerflow.session import materialize, observed
 from layerflow.sources.readers import WORK_WINDOW, layer_window
 from layerflow.sources.tables import TableStore
 
@@ -154,7 +154,7 @@ class LayerJobs:
         watch = Observation()
         counted = stamp_run(work, run_id).observe(watch, F.count(F.lit(1)).alias("work_rows"))
         self.store.append(counted, target, batch_column=RUN, on_schema_change=flow.on_schema_change)
-        run = LayerRun(flow.name, run_id, target, dict(watch.get))
+        run = LayerRun(flow.name, run_id, target, observed(watch, ["work_rows"]))
         if audit:
             write_metrics(self.store, self.registry, run, "raw_to_work")
         return run
@@ -176,7 +176,7 @@ class LayerJobs:
         checked = materialize(
             check_work(work, flow).observe(watch, *[c.alias(n) for n, c in counts.items()]), "checked"
         )
-        found = dict(watch.get)
+        found = observed(watch, counts)
         passed, failed = split(checked, flow.rules, style="meta", enforce=flow.enforce)
         if found["failed_rows"]:
             self.store.append(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from layerflow.config import ConfigError, Registry
 from layerflow.operators.envelope import build_events, new_run_id
+from layerflow.session import observed
 from layerflow.sources.readers import jdbc_options, snapshot_query
 
 
@@ -80,4 +81,4 @@ def publish(
         counted.write.mode("append").format(sink.get("format", "parquet")).save(sink["path"])
     else:
         raise ConfigError("the sink needs a kafka connection or a path")
-    return {**result, "rows_published": watch.get["rows"], "elapsed_seconds": round(time.time() - started, 3)}
+    return {**result, "rows_published": observed(watch, ["rows"])["rows"], "elapsed_seconds": round(time.time() - started, 3)}

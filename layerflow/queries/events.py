@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from layerflow.functions.hashing import JSON_OPTIONS
 from layerflow.operators import envelope
-from layerflow.operators.ranks import nearest_rank
+from layerflow.operators.ranks import nearest_rank, trailing
 from layerflow.queries.base import (
     MOMENT,
     change_log,
@@ -239,8 +239,6 @@ def latency_percentiles(src):
 )
 def latency_trailing_window(src):
     """Percentiles of the last stretch before the newest load time."""
-    events = src["src_app_event"]
-    newest = events.agg(F.max("ingest_ts").alias("m")).scalar()
-    recent = events.filter(F.col("ingest_ts") >= newest - F.expr("INTERVAL 2 DAYS"))
+    recent = trailing(src["src_app_event"], "ingest_ts", minutes=2 * 24 * 60)
     return nearest_rank(envelope.add_latencies(recent, ingest="ingest_ts"), "_event_latency_ms", QUANTILES)
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 # Settings the operators count on. AQE is what turns an un-hinted join into a
 # broadcast once the real size is known, and what splits a hot join key.
@@ -53,3 +56,15 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def observed(watch: Observation, names: Iterable[str], empty: Any = 0) -> dict[str, Any]:
+    """Metrics of an observed write that has run.
+
+    Where AQE finds the result empty it may cut the observed node out of the
+    final plan. The observation then has no values: nothing was counted.
+    """
+    try:
+        return dict(watch.get)
+    except Py4JJavaError:
+        return {name: empty for name in names}

@@ -17,6 +17,7 @@ from layerflow.operators.upsert import apply_images, change_images, initial_rows
 from layerflow.session import materialize
 
 DAY = "p_date"
+NO_DAY = "__HIVE_DEFAULT_PARTITION__"
 WRITE_MODES = ("append", "overwrite", "merge")
 
 
@@ -30,11 +31,12 @@ class TableStore:
 
     A merge rewrites only the day partitions it touches, by dynamic partition
     overwrite. A table without partitions is written to a new directory and its
-    location is switched, so a running reader keeps the files it opened.
+    location is switched, so a running reader keeps the files it opened; the
+    newest ``retain`` directories are kept.
     """
 
-    def __init__(self, spark: SparkSession, location: str | None = None):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, location: str | None = None, retain: int = 3):
+        self.spark, self.retain = spark, retain
         self.location = location.rstrip("/") if location else None
 
     # -- reading -------------------------------------------------------------
@@ -172,8 +174,19 @@ class TableStore:
             path = self._version_path(name)
             df.write.parquet(path)
             self.spark.sql(f"ALTER TABLE {name} SET LOCATION '{path}'")
+            self._drop_old_versions(path)
         self.spark.catalog.refreshTable(name)
 
+    def _drop_old_versions(self, current: str) -> None:
+        """Remove all but the newest version directories of a table."""
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(current)
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        versions = sorted(files.listStatus(path.getParent()), key=lambda s: s.getModificationTime(), reverse=True)
+        for status in versions[self.retain :]:
+            if status.getPath().getName() != path.getName():
+                files.delete(status.getPath(), True)
+
     def write(
         self,
         df: DataFrame,
@@ -222,13 +235,17 @@ class TableStore:
         if days is None:
             self._replace_all(result, name)
             return
-        result = materialize(align_to(result, self.read(name).schema), "merge")
+        if not days:
+            return
+        # Files are replaced when the job commits, so it may read this table. A
+        # day that lost all its rows is not among those written: drop it. The
+        # days left are found before, reading only keys and days.
+        result = align_to(result, self.read(name).schema)
         left = {row[0] for row in result.select(DAY).distinct().collect()}
         self._insert_over(self._spread(result, [DAY]), name)
-        for day in days:
-            if day not in left:
-                value = "__HIVE_DEFAULT_PARTITION__" if day is None else str(day)
-                self.spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({DAY}='{value}')")
+        for day in set(days) - left:
+            value = NO_DAY if day is None else str(day)
+            self.spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({DAY}='{value}')")
         self.spark.catalog.refreshTable(name)
 
     def _merge_scope(self, name: str, changes: DataFrame, keys: Sequence[str]):

@@ -39,6 +39,8 @@ def project(spark, tmp_path, space):
     document = moved(DOCUMENT, space)
     for flow in document["flows"]:
         flow["target"].pop("partition_by", None)
+    for model in document["models"]:
+        model.pop("partition_by", None)
     registry = registry_from(
         {
             **document,

@@ -147,3 +147,41 @@ def test_layer_sizes_add_up(spark, tmp_path):
         spark.range(n).write.parquet(str(tmp_path / layer / "t"))
     got = {r.layer: r.bytes for r in sizes.layer_sizes(spark, {n: str(tmp_path / n) for n in ("raw", "silver")}).collect()}
     assert got["total"] == got["raw"] + got["silver"] > 0
+
+
+def test_emptied_table_and_empty_changes(spark, store, space):
+    """Deleting every row of a day drops it; merging nothing changes nothing."""
+    name = f"{space}_silver.gone"
+    schema = "k int, t string, _meta_source_operation string"
+    store.merge_rows(frame(spark, [(1, "2024-01-01 00:00:00", "c"), (2, "2024-01-02 00:00:00", "c")], schema), name, ["k"], partition_by="t")
+    store.merge_rows(frame(spark, [], schema), name, ["k"], partition_by="t")
+    assert store.read(name).count() == 2
+    gone = frame(spark, [(1, "2024-01-01 00:00:00", "d"), (2, "2024-01-02 00:00:00", "d"), (9, "2024-01-01 00:00:00", "d")], schema)
+    store.merge_rows(gone, name, ["k"], partition_by="t", delete_mode="hard_delete")
+    assert store.read(name).count() == 0 and days(store, name) == []
+
+
+def test_old_versions_of_a_table_are_dropped(spark, store, space, tmp_path):
+    name = f"{space}_silver.versions"
+    for i in range(6):
+        store.merge_rows(spark.createDataFrame([(1, i)], "k int, v int"), name, ["k"], sequence=["v"])
+    assert rows(store.read(name)) == [(1, 5)]
+    folders = [p for p in (tmp_path / "tables" / f"{space}_silver" / "versions").iterdir()]
+    assert len(folders) == 3
+
+
+def test_history_moves_between_days(spark, store, space):
+    from layerflow.operators.history import history_columns
+
+    name = f"{space}_silver.history"
+    schema = "k int, t string, _meta_record_hash string, _meta_source_operation string"
+    columns = history_columns(["k"], start="t", sequence=())
+    load = lambda data: store.merge_history(frame(spark, data, schema), name, columns, partition_by="t")
+    load([(1, "2024-01-01 00:00:00", "a", "c"), (2, "2024-01-01 00:00:00", "x", "c")])
+    load([(1, "2024-01-03 00:00:00", "b", "u"), (3, "2024-01-02 00:00:00", "n", "c")])
+    load([(1, "2024-01-02 00:00:00", "late", "u"), (2, "2024-01-05 00:00:00", "x", "d")])
+    got = rows(store.read(name).selectExpr("k", "day(t) d", "day(effective_to) e", "is_current", "_meta_is_deleted"))
+    assert got == [
+        (1, 1, 2, False, False), (1, 2, 3, False, False), (1, 3, None, True, False),
+        (2, 1, 5, False, True), (3, 2, None, True, False),
+    ]
