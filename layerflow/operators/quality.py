@@ -49,11 +49,14 @@ def annotate(df: DataFrame, rules: Sequence[Rule], *, style: str = "audit", as_o
             flag = f"_unique_{len(flags)}"
             flags[rule_keys(rule)] = flag
             df = mark_repeated(df, rule_keys(rule), flag)
-    failed = []
+    nothing = F.array().cast("array<string>")
+    failed = [nothing]
     for rule in rules:
         unique_flag = F.col(flags[rule_keys(rule)]) if rule["type"] == "unique" else None
-        failed.append(F.when(~rule_condition(rule, as_of, unique_flag), F.lit(rule["rule_id"])))
-    errors = F.array_compact(F.array(*failed)) if failed else F.array().cast("array<string>")
+        fails = ~rule_condition(rule, as_of, unique_flag)
+        failed.append(F.when(fails, F.array(F.lit(rule["rule_id"]))).otherwise(nothing))
+    # Flattening generates code; a filter over the array would be interpreted.
+    errors = F.flatten(F.array(*failed))
     return (
         df.withColumn(f"{prefix}_errors", errors)
         .withColumn(f"{prefix}_passed", F.size(f"{prefix}_errors") == 0)

@@ -46,6 +46,7 @@ def test_unique_fails_every_copy_and_groups_nulls(spark):
 def test_unique_join_of_a_hot_key_is_split(spark):
     """One key holds most rows: the join back is cut by AQE."""
     names = {
+        "spark.sql.shuffle.partitions": "8",
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
@@ -77,6 +78,16 @@ def test_metrics_take_one_pass(frame):
     assert rows(metrics) == [("A", "critical", 4, 1, 2, 3), ("B", "warning", 4, 1, 2, 3)]
 
 
+def test_checks_stay_in_generated_code(spark, frame):
+    spark.conf.set("spark.sql.codegen.wholeStage", "true")
+    try:
+        stored = spark.range(10).selectExpr("CAST(id AS STRING) AS v", "id AS n")
+        text = plan(quality.annotate(stored, RULES))
+        assert all("*(1)" in line for line in text.strip().split("\n"))
+    finally:
+        spark.conf.set("spark.sql.codegen.wholeStage", "false")
+
+
 def test_model_quality_of_an_empty_model(frame):
     rules = [{"rule_id": "N", "type": "row_count_positive"}, {"rule_id": "V", "type": "not_null", "column": "v"}]
     got = quality.model_quality(frame.filter("k > 9"), rules, model="m", target="t")
