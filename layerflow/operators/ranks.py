@@ -31,7 +31,8 @@ def cumulative_histogram(df: DataFrame, value: str, groups: Sequence[str] = (),
         cut_counts = counts.join(cuts, groups)
     else:
         cut_counts = counts.withColumn("_cuts", cuts.scalar())
-    run = F.size(F.filter("_cuts", lambda cut: cut < F.col("_value")))
+    # Never NULL, so no null check of it is pushed down to the uncounted rows.
+    run = F.coalesce(F.size(F.filter("_cuts", lambda cut: cut < F.col("_value"))), F.lit(0))
     placed = cut_counts.select(*groups, "_value", "_n", run.alias("_run"))
     per_run = placed.groupBy(*groups, "_run").agg(F.sum("_n").alias("_in_run"))
     # At most ``pieces`` rows per group are left here.

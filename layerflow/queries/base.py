@@ -71,7 +71,11 @@ CUSTOMER_ROW = [
 ]
 
 
-def as_log(events: DataFrame, offset: Column, partitions: int = 4) -> DataFrame:
+# Partitions of each topic; readers get one task per partition.
+PARTITIONS = 4
+
+
+def as_log(events: DataFrame, offset: Column, partitions: int = PARTITIONS) -> DataFrame:
     """Events as log records with a given offset."""
     return events.select(
         "key",
@@ -113,13 +117,18 @@ def change_log(src: SalesSource) -> DataFrame:
     return as_log(events, F.col("log_offset") + F.when(F.col("log_offset") == 0, F.col("customer_id")).otherwise(0))
 
 
+def by_partition(log: DataFrame) -> DataFrame:
+    """Records grouped by topic partition, the way a log stores them."""
+    return log.repartitionByRange(PARTITIONS, "partition")
+
+
 def decoded_orders(src: SalesSource, **options) -> DataFrame:
     """Orders as work starts from them: decoded from a stored log."""
-    log = materialize(order_log(src), "log")
+    log = materialize(by_partition(order_log(src)), "log")
     return decode_events(log, flow("fact_order"), REGISTRY.runtime, at=moment(), **options)
 
 
 def decoded_changes(src: SalesSource, **options) -> DataFrame:
     """Customer changes, decoded from a stored log likewise."""
-    log = materialize(change_log(src), "log")
+    log = materialize(by_partition(change_log(src)), "log")
     return decode_events(log, flow("dim_customer"), REGISTRY.runtime, at=moment(), **options)
