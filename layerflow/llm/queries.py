@@ -4,17 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from layerflow.llm import sketches
+from layerflow.llm import language, sketches, suffixes
 
 
 def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def op4_language_id(spark: SparkSession, directory: str) -> DataFrame:
+    return language.predictions(_table(spark, directory, "documents"))
+
+
+def op6_suffix_array_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    cut = suffixes.without_repeats(_table(spark, directory, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_minhash_near_dedup(spark: SparkSession, directory: str) -> DataFrame:
     return sketches.near_duplicates(_table(spark, directory, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op10_minhash_near_dedup,)}
+QUERIES = {f.__name__: f for f in (op4_language_id, op6_suffix_array_dedup, op10_minhash_near_dedup)}
 
 SQL: dict[str, str] = {}
