@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from layerflow.llm import language, sketches, suffixes
+import corpus_pipeline
+from layerflow.llm import buckets, language, mixture, sketches, suffixes
 
 
 def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -20,10 +21,29 @@ def op6_suffix_array_dedup(spark: SparkSession, directory: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op7_packing(spark: SparkSession, directory: str) -> DataFrame:
+    return buckets.pack(_table(spark, directory, "documents"))
+
+
+def op8_source_mixing(spark: SparkSession, directory: str) -> DataFrame:
+    docs = mixture.with_domain(_table(spark, directory, "documents"))
+    mixed = mixture.select(docs, mixture.WEIGHTS, share=0.6, epochs=2)
+    return mixed.select("doc_id", "domain", "lang", "source", "n_tokens", "copies", "tokens_taken")
+
+
 def op10_minhash_near_dedup(spark: SparkSession, directory: str) -> DataFrame:
     return sketches.near_duplicates(_table(spark, directory, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_language_id, op6_suffix_array_dedup, op10_minhash_near_dedup)}
+def pipeline(spark: SparkSession, directory: str) -> DataFrame:
+    return corpus_pipeline.run(spark, directory)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op4_language_id, op6_suffix_array_dedup, op7_packing, op8_source_mixing, op10_minhash_near_dedup, pipeline,
+    )
+}
 
 SQL: dict[str, str] = {}
