@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from layerflow.llm import buckets, language, mixture, sketches, suffixes
+from layerflow.llm import buckets, language, mixture, sketches, suffixes, toxicity
 
 
 def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, directory: str) -> DataFrame:
+    return toxicity.predictions(_table(spark, directory, "documents"), _table(spark, directory, "labels"))
+
+
 def op4_language_id(spark: SparkSession, directory: str) -> DataFrame:
     return language.predictions(_table(spark, directory, "documents"))
 
@@ -42,7 +46,7 @@ def pipeline(spark: SparkSession, directory: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op4_language_id, op6_suffix_array_dedup, op7_packing, op8_source_mixing, op10_minhash_near_dedup, pipeline,
+        op1_toxicity, op4_language_id, op6_suffix_array_dedup, op7_packing, op8_source_mixing, op10_minhash_near_dedup, pipeline,
     )
 }
 
