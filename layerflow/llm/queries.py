@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from layerflow.llm import buckets, language, mixture, sketches, suffixes, toxicity
+from layerflow.llm import buckets, language, mixture, repetition, sketches, suffixes, toxicity
 
 
 def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_toxicity(spark: SparkSession, directory: str) -> DataFrame:
     return toxicity.predictions(_table(spark, directory, "documents"), _table(spark, directory, "labels"))
 
 
+def op2_repetition_rules(spark: SparkSession, directory: str) -> DataFrame:
+    return repetition.judged(_table(spark, directory, "documents"))
+
+
 def op4_language_id(spark: SparkSession, directory: str) -> DataFrame:
     return language.predictions(_table(spark, directory, "documents"))
 
@@ -46,7 +50,7 @@ def pipeline(spark: SparkSession, directory: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_toxicity, op4_language_id, op6_suffix_array_dedup, op7_packing, op8_source_mixing, op10_minhash_near_dedup, pipeline,
+        op1_toxicity, op2_repetition_rules, op4_language_id, op6_suffix_array_dedup, op7_packing, op8_source_mixing, op10_minhash_near_dedup, pipeline,
     )
 }
 
