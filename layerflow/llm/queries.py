@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from layerflow.llm import buckets, language, mixture, repetition, sketches, suffixes, toxicity
+from layerflow.llm import buckets, language, mixture, repetition, sketches, suffixes, toxicity, warc
 
 
 def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op4_language_id(spark: SparkSession, directory: str) -> DataFrame:
     return language.predictions(_table(spark, directory, "documents"))
 
 
+def op5_warc_salvage(spark: SparkSession, directory: str) -> DataFrame:
+    return warc.round_trip(_table(spark, directory, "pages"))
+
+
 def op6_suffix_array_dedup(spark: SparkSession, directory: str) -> DataFrame:
     cut = suffixes.without_repeats(_table(spark, directory, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -50,7 +54,7 @@ def pipeline(spark: SparkSession, directory: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_toxicity, op2_repetition_rules, op4_language_id, op6_suffix_array_dedup, op7_packing, op8_source_mixing, op10_minhash_near_dedup, pipeline,
+        op1_toxicity, op2_repetition_rules, op4_language_id, op5_warc_salvage, op6_suffix_array_dedup, op7_packing, op8_source_mixing, op10_minhash_near_dedup, pipeline,
     )
 }
 
