@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from layerflow.llm import buckets, language, mixture, repetition, sketches, suffixes, toxicity, warc
+from layerflow.llm import buckets, language, mixture, repetition, sketches, suffixes, toxicity, vectors, warc
 
 
 def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_repetition_rules(spark: SparkSession, directory: str) -> DataFrame:
     return repetition.judged(_table(spark, directory, "documents"))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    return vectors.near_vectors(_table(spark, directory, "embeddings"))
+
+
 def op4_language_id(spark: SparkSession, directory: str) -> DataFrame:
     return language.predictions(_table(spark, directory, "documents"))
 
@@ -54,7 +58,7 @@ def pipeline(spark: SparkSession, directory: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_toxicity, op2_repetition_rules, op4_language_id, op5_warc_salvage, op6_suffix_array_dedup, op7_packing, op8_source_mixing, op10_minhash_near_dedup, pipeline,
+        op1_toxicity, op2_repetition_rules, op3_embedding_near_dedup, op4_language_id, op5_warc_salvage, op6_suffix_array_dedup, op7_packing, op8_source_mixing, op10_minhash_near_dedup, pipeline,
     )
 }
 

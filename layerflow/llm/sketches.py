@@ -221,13 +221,14 @@ def _exact_stars(percent: int):
 
 def block_pairs(df: DataFrame, key: str, count: str, block: int) -> DataFrame:
     """Give each row a group ``g``: its key, or one for each pair of its block
-    with a block of the same key, where the key has more than ``block`` rows."""
+    with a block of the same key, where the key has more than ``block`` rows.
+    ``own`` is the row's block."""
     blocks = F.ceil(F.col(count) / block)
     own = F.pmod(F.xxhash64("doc_id"), blocks)
     other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
     return df.withColumn("own", own).withColumn("other", other).withColumn(
         "g", F.xxhash64(key, F.least("own", "other"), F.greatest("own", "other"))
-    ).drop("own", "other")
+    ).drop("other")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
