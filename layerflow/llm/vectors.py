@@ -192,6 +192,9 @@ def build(x: np.ndarray, seed: int = 0) -> Graph:
 
 
 def _insertion(graph: Graph, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    if k + 1 < len(graph.layers) and graph.sizes[k] < graph.sizes[k + 1]:
+        # The layer above leads to nodes that are not in this one yet.
+        return graph._beam(queries, np.zeros((len(queries), 1), np.int64), BUILD_BEAM, k, np.inf)
     return graph.search(queries, BUILD_BEAM, low=k)
 
 
