@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from layerflow.llm import buckets, language, mixture, repetition, sketches, suffixes, toxicity, vectors, warc
+from layerflow.llm import buckets, language, mixture, repetition, sketches, suffixes, tokens, toxicity, vectors, warc
 
 
 def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op8_source_mixing(spark: SparkSession, directory: str) -> DataFrame:
     return mixed.select("doc_id", "domain", "lang", "source", "n_tokens", "copies", "tokens_taken")
 
 
+def op9_token_packing(spark: SparkSession, directory: str) -> DataFrame:
+    return tokens.round_trip(_table(spark, directory, "documents"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, directory: str) -> DataFrame:
     return sketches.near_duplicates(_table(spark, directory, "documents"))
 
@@ -58,7 +62,7 @@ def pipeline(spark: SparkSession, directory: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_toxicity, op2_repetition_rules, op3_embedding_near_dedup, op4_language_id, op5_warc_salvage, op6_suffix_array_dedup, op7_packing, op8_source_mixing, op10_minhash_near_dedup, pipeline,
+        op1_toxicity, op2_repetition_rules, op3_embedding_near_dedup, op4_language_id, op5_warc_salvage, op6_suffix_array_dedup, op7_packing, op8_source_mixing, op9_token_packing, op10_minhash_near_dedup, pipeline,
     )
 }
 
