@@ -24,6 +24,8 @@ __all__ = [
 ]
 
 CHUNK_BYTES = 1 << 20
+BATCH_BYTES, UNSET_BATCH = 8 << 20, "67108864b"  # ours, and the one that Spark comes with
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -91,9 +93,13 @@ def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     """``mapInArrow`` whose tasks find this package wherever they run.
 
     The package is sent to the executors once per application, so that no
-    other installation is needed there.
+    other installation is needed there. Arrow batches of the session are bound
+    by ``BATCH_BYTES`` where the session has no bound of its own, so that long texts don't fill a task.
     """
-    context = df.sparkSession.sparkContext
+    session = df.sparkSession
+    if session.conf.get(_BATCH) == UNSET_BATCH:
+        session.conf.set(_BATCH, f"{BATCH_BYTES}b")
+    context = session.sparkContext
     if not getattr(context, "_layerflow_sent", False):
         top = Path(__file__).resolve().parents[2]
         archive = Path(tempfile.mkdtemp(prefix="layerflow-code-")) / "layerflow.zip"
