@@ -178,7 +178,13 @@ def initial_rows(
 def update_columns(
     target: DataFrame, updates: DataFrame, keys: Sequence[str], columns: Sequence[str]
 ) -> DataFrame:
-    """Set only ``columns`` of the rows whose null-safe key is in ``updates``."""
+    """Set only ``columns`` of the rows whose null-safe key is in ``updates``.
+
+    Of several updates of one key the latest counts (by the event order, where
+    the updates have its columns), so no row is ever multiplied.
+    """
+    order = [c for c in DEFAULT_ORDER if c in updates.columns]
+    updates = latest_per_key(updates, keys, order, need_order=False)
     added = [f for f in updates.schema.fields if f.name in columns and f.name not in target.columns]
     target = target.withColumns({f.name: F.lit(None).cast(f.dataType) for f in added}) if added else target
     image = updates.select(

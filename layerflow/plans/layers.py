@@ -76,8 +76,9 @@ def history_of(flow: FlowSpec) -> HistoryColumns:
     )
 
 
-def write_silver(store: TableStore, silver: DataFrame, flow: FlowSpec, registry: Registry) -> None:
-    """Type-2 dimensions get a history merge, other entities an upsert."""
+def write_silver(store: TableStore, silver: DataFrame, flow: FlowSpec, registry: Registry, run_id: int) -> None:
+    """Type-2 dimensions get a history merge, other entities an upsert. Rows that
+    are only appended are kept by run, so that a repeated run replaces its own."""
     name = registry.runtime.ident(flow.table("silver"))
     sequence = [flow.sequence_column] if flow.sequence_column else []
     if flow.entity_type == "dimension" and flow.is_scd2:
@@ -89,9 +90,11 @@ def write_silver(store: TableStore, silver: DataFrame, flow: FlowSpec, registry:
             silver, name, flow.merge_keys, partition_by=flow.partition_by, sequence=sequence,
             guard=flow.sequence_column, delete_mode=flow.delete_mode, on_schema_change=flow.on_schema_change,
         )
+    elif (flow.target.get("write_mode") or "append").lower() == "append":
+        store.append(stamp_run(silver, run_id), name, batch_column=RUN, on_schema_change=flow.on_schema_change)
     else:
         store.write(
-            silver, name, write_mode=flow.target.get("write_mode", "append"), partition_by=flow.partition_by,
+            silver, name, write_mode=flow.target["write_mode"], partition_by=flow.partition_by,
             primary_key=flow.merge_keys, on_schema_change=flow.on_schema_change,
         )
 
@@ -155,6 +158,8 @@ class LayerJobs:
         counted = stamp_run(work, run_id).observe(watch, F.count(F.lit(1)).alias("work_rows"))
         self.store.append(counted, target, batch_column=RUN, on_schema_change=flow.on_schema_change)
         run = LayerRun(flow.name, run_id, target, observed(watch, ["work_rows"]))
+        if not run.metrics["work_rows"]:
+            self.store.drop_batch(target, RUN, run_id)  # what an earlier try left
         if audit:
             write_metrics(self.store, self.registry, run, "raw_to_work")
         return run
@@ -182,8 +187,10 @@ class LayerJobs:
             self.store.append(
                 stamp_run(to_quarantine(failed, flow), run_id), self.name(flow, "quarantine"), batch_column=RUN
             )
+        else:
+            self.store.drop_batch(self.name(flow, "quarantine"), RUN, run_id)
         if found["passed_rows"]:
-            write_silver(self.store, to_silver(passed, flow), flow, self.registry)
+            write_silver(self.store, to_silver(passed, flow), flow, self.registry, run_id)
         metrics = {
             "input_rows": found["total_rows"],
             "silver_rows": found["passed_rows"],

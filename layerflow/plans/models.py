@@ -166,7 +166,7 @@ def run_models(
             run = run_model(store, model, registry)
             edges += [(registry.runtime.ident(up), target, f"model-{model.name}", batch_id) for up in model.upstream]
         except Exception as error:  # recorded below, raised when asked to
-            run = ModelRun(model.name, target, "failed", error=str(error)[:2000])
+            run = ModelRun(model.name, target, "failed", error=str(error))
             failure = error
         runs.append(run)
         speed = run.rows / run.elapsed_seconds if run.elapsed_seconds else None

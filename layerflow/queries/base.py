@@ -12,7 +12,6 @@ from layerflow.config import FlowSpec
 from layerflow.operators.envelope import build_events, decode_events
 from layerflow.sales.specs import sales_registry
 from layerflow.sales.views import SalesSource, as_ansi, view_chain
-from layerflow.session import materialize
 
 REGISTRY = sales_registry()
 
@@ -71,7 +70,7 @@ CUSTOMER_ROW = [
 ]
 
 
-# Partitions of each topic; readers get one task per partition.
+# Partitions of each topic.
 PARTITIONS = 4
 
 
@@ -117,18 +116,11 @@ def change_log(src: SalesSource) -> DataFrame:
     return as_log(events, F.col("log_offset") + F.when(F.col("log_offset") == 0, F.col("customer_id")).otherwise(0))
 
 
-def by_partition(log: DataFrame) -> DataFrame:
-    """Records grouped by topic partition, the way a log stores them."""
-    return log.repartitionByRange(PARTITIONS, "partition")
-
-
 def decoded_orders(src: SalesSource, **options) -> DataFrame:
-    """Orders as work starts from them: decoded from a stored log."""
-    log = materialize(by_partition(order_log(src)), "log")
-    return decode_events(log, flow("fact_order"), REGISTRY.runtime, at=moment(), **options)
+    """Orders as work starts from them: decoded from their log."""
+    return decode_events(order_log(src), flow("fact_order"), REGISTRY.runtime, at=moment(), **options)
 
 
 def decoded_changes(src: SalesSource, **options) -> DataFrame:
-    """Customer changes, decoded from a stored log likewise."""
-    log = materialize(by_partition(change_log(src)), "log")
-    return decode_events(log, flow("dim_customer"), REGISTRY.runtime, at=moment(), **options)
+    """Customer changes, decoded from their log likewise."""
+    return decode_events(change_log(src), flow("dim_customer"), REGISTRY.runtime, at=moment(), **options)

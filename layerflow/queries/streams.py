@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from layerflow.plans.layers import LayerJobs
-from layerflow.queries.base import by_partition, order_log, query, text
+from layerflow.queries.base import order_log, query, text
 from layerflow.sales.specs import DOCUMENT, sales_registry
 from layerflow.session import scratch_dir
 from layerflow.sources.tables import TableStore
@@ -18,7 +18,7 @@ def _isolated(src, log):
     """A registry whose tables and log live apart from every other run."""
     mark = f"s{uuid.uuid4().hex[:12]}"
     base = f"{scratch_dir(src.spark)}/{mark}"
-    by_partition(log).write.parquet(f"{base}/log")
+    log.write.partitionBy("partition").parquet(f"{base}/log")
     flows = []
     for item in DOCUMENT["flows"]:
         target = {

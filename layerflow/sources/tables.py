@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
 from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +20,8 @@ from layerflow.operators.upsert import apply_images, change_images, initial_rows
 from layerflow.session import materialize
 
 DAY = "p_date"
+VERSIONS = "table-versions"  # holds the directories of one table and nothing else
+RETIRED = "layerflow.retired"
 NO_DAY = "__HIVE_DEFAULT_PARTITION__"
 WRITE_MODES = ("append", "overwrite", "merge")
 
@@ -31,12 +36,13 @@ class TableStore:
 
     A merge rewrites only the day partitions it touches, by dynamic partition
     overwrite. A table without partitions is written to a new directory and its
-    location is switched, so a running reader keeps the files it opened; the
-    newest ``retain`` directories are kept.
+    location is switched, so a running reader keeps the files it opened. The
+    table's properties record which directories it left and when; these go at a
+    later write, ``keep_hours`` after they were left, and no other ever does.
     """
 
-    def __init__(self, spark: SparkSession, location: str | None = None, retain: int = 3):
-        self.spark, self.retain = spark, retain
+    def __init__(self, spark: SparkSession, location: str | None = None, keep_hours: float = 24.0):
+        self.spark, self.keep_hours = spark, keep_hours
         self.location = location.rstrip("/") if location else None
 
     # -- reading -------------------------------------------------------------
@@ -80,7 +86,7 @@ class TableStore:
 
     def _version_path(self, name: str) -> str:
         root = self.location or self.spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-        return f"{root}/{name.replace('.', '/')}/{uuid.uuid4().hex}"
+        return f"{root}/{name.replace('.', '/')}/{VERSIONS}/{uuid.uuid4().hex}"
 
     def create(self, df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> None:
         self._ensure_namespace(name)
@@ -124,8 +130,12 @@ class TableStore:
         df = df if batch_column else with_day(df, partition_by)
         if not self.exists(name):
             partitions = [batch_column] if batch_column else [DAY] if DAY in df.columns else []
-            self.create(self._spread(df, [] if batch_column else partitions), name, partitions)
-            return
+            try:
+                self.create(self._spread(df, [] if batch_column else partitions), name, partitions)
+                return
+            except AnalysisException as error:
+                if error.getCondition() != "TABLE_OR_VIEW_ALREADY_EXISTS":
+                    raise  # else another flow was first
         df = self._evolve(df, name, on_schema_change)
         partitions = self.partition_columns(name)
         if batch_column:
@@ -133,6 +143,12 @@ class TableStore:
         else:
             self._spread(df, partitions).write.insertInto(name, overwrite=False)
 
+    def drop_batch(self, name: str, column: str, batch: int | str) -> None:
+        """Remove the partition of a batch, where the table has it."""
+        if self.exists(name) and column in self.partition_columns(name):
+            value = str(batch).replace("'", "''")
+            self.spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION (`{column}`='{value}')")
+
     def _insert_over(self, df: DataFrame, name: str, mode: str = "dynamic") -> None:
         """Replace the partitions the frame brings, or (static) all of them."""
         conf, key = df.sparkSession.conf, "spark.sql.sources.partitionOverwriteMode"
@@ -153,17 +169,24 @@ class TableStore:
         self._replace_all(df, name)
 
     def replace(self, df: DataFrame, name: str, *, partition_by: str | None = None) -> None:
-        """Create or replace: columns may change too."""
+        """Create or replace: columns may change too.
+
+        The new table is complete under a name of its own before the old one
+        gives up the name; its files are recorded and go later.
+        """
         df = with_day(df, partition_by)
         partitions = [DAY] if DAY in df.columns else []
         self._ensure_namespace(name)
-        path = self._version_path(name)
+        path, fresh = self._version_path(name), f"{name}__{uuid.uuid4().hex}"
         writer = self._spread(df, partitions).write.format("parquet")
         (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
-        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        self.spark.catalog.createTable(name, path=path, source="parquet")
+        self.spark.catalog.createTable(fresh, path=path, source="parquet")
         if partitions:
-            self.spark.catalog.recoverPartitions(name)
+            self.spark.catalog.recoverPartitions(fresh)
+        if self.exists(name):
+            self._record_retired(fresh, self._retired(name), self._location_of(name))
+            self.spark.sql(f"DROP TABLE {name}")
+        self.spark.sql(f"ALTER TABLE {fresh} RENAME TO {name}")
 
     def _replace_all(self, df: DataFrame, name: str) -> None:
         df = self._evolve(df, name, "add_columns")
@@ -171,21 +194,34 @@ class TableStore:
         if partitions:
             self._insert_over(self._spread(df, partitions), name, "static")
         else:
-            path = self._version_path(name)
+            path, left = self._version_path(name), self._location_of(name)
             df.write.parquet(path)
             self.spark.sql(f"ALTER TABLE {name} SET LOCATION '{path}'")
-            self._drop_old_versions(path)
+            self._record_retired(name, self._retired(name), left)
         self.spark.catalog.refreshTable(name)
 
-    def _drop_old_versions(self, current: str) -> None:
-        """Remove all but the newest version directories of a table."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(current)
-        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        versions = sorted(files.listStatus(path.getParent()), key=lambda s: s.getModificationTime(), reverse=True)
-        for status in versions[self.retain :]:
-            if status.getPath().getName() != path.getName():
-                files.delete(status.getPath(), True)
+    def _location_of(self, name: str) -> str:
+        rows = self.spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Location'").collect()
+        return rows[0]["data_type"] if rows else ""
+
+    def _retired(self, name: str) -> list[tuple[str, float]]:
+        """Directories that the table has left, and when."""
+        found = {r["key"]: r["value"] for r in self.spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}
+        return [(path, float(at)) for path, at in json.loads(found.get(RETIRED, "[]"))]
+
+    def _record_retired(self, name: str, before: list[tuple[str, float]], left: str) -> None:
+        """Note the directory left just now; delete those left long ago.
+
+        Only directories of this table's own versions are deleted.
+        """
+        now = time.time()
+        every = [*before, (left, now)] if f"/{VERSIONS}/" in left else before
+        old = [path for path, at in every if now - at >= 3600 * self.keep_hours]
+        kept = json.dumps([x for x in every if x[0] not in old]).replace("'", "\\'")
+        self.spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('{RETIRED}'='{kept}')")
+        for place in old:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def write(
         self,
@@ -282,8 +318,13 @@ class TableStore:
             has_key = reduce(and_, [F.col(k).isNotNull() for k in keys])
             keyless, changes = changes.filter(~has_key), changes.filter(has_key)
         images = materialize(change_images(changes, keys, sequence=sequence, guard=guard), "images")
-        if keyless is not None and not keyless.isEmpty():
-            self.append(keyless, name)
+        if keyless is not None:
+            # Rows without a key are told apart by all columns, so that a
+            # repeated batch adds none of them again.
+            stored = self.read(name).filter(~has_key)
+            keyless = materialize(keyless.exceptAll(stored.select(*keyless.columns)), "keyless")
+            if not keyless.isEmpty():
+                self.append(keyless, name)
         slots = [f"_s_{i}" for i in range(len(keys))]
         days = None
         if DAY in self.partition_columns(name):

@@ -58,9 +58,18 @@ class FlowStreams:
         return writer.start()
 
     def start_all(self, flows: Iterable[FlowSpec], *, style: str = "raw_only", once: bool = False) -> None:
-        """Run the flows side by side and wait for all of them."""
-        for query in [self.start(flow, style=style, once=once) for flow in flows]:
-            query.awaitTermination()
+        """Run the flows side by side and wait for all of them. Where one fails,
+        the others are stopped and its error is raised."""
+        queries = [self.start(flow, style=style, once=once) for flow in flows]
+        try:
+            while running := [q for q in queries if q.isActive]:
+                for query in running:
+                    query.awaitTermination(1)
+            for query in queries:
+                query.awaitTermination()  # raises what ended it
+        finally:
+            for query in queries:
+                query.stop()
 
 
 def append_stream(stream: DataFrame, table: str, checkpoint: str, *, once: bool = False) -> StreamingQuery:

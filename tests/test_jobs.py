@@ -136,6 +136,45 @@ def test_stream_restart_neither_loses_nor_repeats(spark, project):
     assert silver.count() == silver.select("product_id").distinct().count() == 195
 
 
+def test_two_fresh_flows_run_side_by_side(spark, project):
+    """Both create the audit table; neither may fail on it."""
+    registry, store, log = project
+    publish_to_log(spark, registry, store, log, ["product_snapshot"])
+    publish_to_log(spark, registry, store, log, ["customer_snapshot"], start=1_000_000)
+    flows = [registry.flows["dim_product"], registry.flows["dim_customer"]]
+    FlowStreams(spark, registry, store.location).start_all(flows, style="full", once=True)
+    jobs = LayerJobs(store, registry)
+    assert store.read(jobs.name(flows[0], "silver")).count() == 195
+    assert store.read(jobs.name(flows[1], "silver")).count() > 0
+    audit = store.read(f"{registry.runtime.audit_namespace}.batch_metrics")
+    assert audit.select("flow_name").distinct().count() == 2
+
+
+def test_failing_flow_stops_the_others(spark, project, monkeypatch):
+    registry, store, log = project
+    publish_to_log(spark, registry, store, log, ["product_snapshot"])
+    flows = [registry.flows["dim_product"], registry.flows["dim_customer"]]
+
+    def process(self, batch, batch_id, flow, style):
+        raise ValueError("broken flow")
+
+    monkeypatch.setattr(FlowStreams, "process", process)
+    with pytest.raises(Exception, match="broken flow"):
+        FlowStreams(spark, registry, store.location).start_all(flows, style="full", once=False)
+    assert not spark.streams.active
+
+
+def test_empty_rerun_of_a_run_removes_its_rows(spark, project):
+    registry, store, log = project
+    jobs, fact = LayerJobs(store, registry), registry.flows["fact_order"]
+    publish_to_log(spark, registry, store, log, ["order_snapshot"])
+    FlowStreams(spark, registry, store.location).start_all([fact], style="raw_only", once=True)
+    raw = store.read(jobs.name(fact, "raw"))
+    jobs.raw_to_work(fact, run_id=1, raw=raw)
+    jobs.raw_to_work(fact, run_id=1, raw=raw.where("false"))
+    assert store.read(jobs.name(fact, "work")).count() == 0
+
+
 def test_dry_run_publishes_nothing(spark, project, tmp_path):
     registry, store, _ = project
     SalesSource(spark, SMALL)["src_product"].createOrReplaceTempView("src_product")

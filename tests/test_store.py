@@ -3,7 +3,7 @@ import pytest
 
 from conftest import plan, rows
 from layerflow.sources import readers, sizes
-from layerflow.sources.tables import DAY
+from layerflow.sources.tables import DAY, VERSIONS, TableStore
 from layerflow.config import ConfigError, registry_from
 
 ROW = "k int, t string, v string"
@@ -61,7 +61,9 @@ def test_write_modes(spark, store, space):
     nullable = frame(spark, [(None, "2024-01-01 00:00:00", "n")])
     store.write(nullable, name, write_mode="merge", primary_key=["k"], partition_by="t")
     store.write(nullable, name, write_mode="merge", primary_key=["k"], partition_by="t")
-    assert rows(store.read(name), "k", "v") == [(1, "a"), (None, "n"), (None, "n")]
+    assert rows(store.read(name), "k", "v") == [(1, "a"), (None, "n")]  # a repeated batch adds nothing
+    store.write(nullable.withColumn("v", F.lit("m")), name, write_mode="merge", primary_key=["k"], partition_by="t")
+    assert rows(store.read(name), "k", "v") == [(1, "a"), (None, "m"), (None, "n")]
     store.replace(spark.range(2), name)
     assert store.read(name).columns == ["id"] and store.read(name).count() == 2
     with pytest.raises(ValueError):
@@ -161,13 +163,53 @@ def test_emptied_table_and_empty_changes(spark, store, space):
     assert store.read(name).count() == 0 and days(store, name) == []
 
 
-def test_old_versions_of_a_table_are_dropped(spark, store, space, tmp_path):
+def test_old_versions_of_a_table_are_dropped(spark, space, tmp_path):
     name = f"{space}_silver.versions"
-    for i in range(6):
-        store.merge_rows(spark.createDataFrame([(1, i)], "k int, v int"), name, ["k"], sequence=["v"])
-    assert rows(store.read(name)) == [(1, 5)]
-    folders = [p for p in (tmp_path / "tables" / f"{space}_silver" / "versions").iterdir()]
-    assert len(folders) == 3
+    patient = TableStore(spark, str(tmp_path / "tables"))
+    folder = tmp_path / "tables" / f"{space}_silver" / "versions" / VERSIONS
+    for i in range(4):
+        patient.merge_rows(spark.createDataFrame([(1, i)], "k int, v int"), name, ["k"], sequence=["v"])
+    assert len(list(folder.iterdir())) == 4  # within a day, readers may hold any of them
+    hasty = TableStore(spark, str(tmp_path / "tables"), keep_hours=0)
+    hasty.merge_rows(spark.createDataFrame([(1, 9)], "k int, v int"), name, ["k"], sequence=["v"])
+    assert rows(hasty.read(name)) == [(1, 9)] and len(list(folder.iterdir())) == 1
+
+
+def test_versions_of_one_table_leave_other_tables_alone(spark, space, tmp_path):
+    """A table and a namespace of one name share no directory."""
+    store = TableStore(spark, str(tmp_path / "tables"), keep_hours=0)
+    fact = f"{space}.fact"
+    store.overwrite(spark.range(10), fact)
+    for i in range(4):
+        store.merge_rows(spark.createDataFrame([(1, i)], "k int, v int"), space, ["k"], sequence=["v"])
+    assert store.read(fact).count() == 10 and rows(store.read(space)) == [(1, 3)]
+
+
+def test_replace_keeps_the_name_and_retires_the_old_files(spark, space, tmp_path):
+    store = TableStore(spark, str(tmp_path / "tables"), keep_hours=0)
+    name = f"{space}_gold.again"
+    store.replace(frame(spark, [(1, "2024-01-01 00:00:00", "a")]), name, partition_by="t")
+    store.replace(spark.range(3), name)
+    assert rows(store.read(name)) == [(0,), (1,), (2,)]
+    assert len(list((tmp_path / "tables" / f"{space}_gold" / "again" / VERSIONS).iterdir())) == 1
+    assert [t.name for t in spark.catalog.listTables(f"{space}_gold")] == ["again"]
+
+
+def test_create_lost_to_another_writer_appends(spark, store, space, monkeypatch):
+    name = f"{space}_audit.metrics"
+    store.append(spark.range(2), name)
+    answers = iter([False])
+    monkeypatch.setattr(TableStore, "exists", lambda self, n: next(answers, True))
+    store.append(spark.range(1), name)
+    assert store.read(name).count() == 3
+
+
+def test_updates_of_a_repeated_key_multiply_no_rows(spark, store, space):
+    name = f"{space}_silver.facts"
+    store.overwrite(spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k int, v string"), name)
+    updates = spark.createDataFrame([(1, "x"), (1, "x"), (1, "x")], "k int, v string")
+    store.update_rows(updates, name, ["k"], ["v"])
+    assert rows(store.read(name)) == [(1, "x"), (2, "b"), (3, "c")]
 
 
 def test_history_moves_between_days(spark, store, space):
