@@ -191,36 +191,48 @@ def lineage_depth(edges: DataFrame, root: str) -> DataFrame:
     return upstream_hops(edges, root).agg(F.max("hops").alias("depth"), F.count(F.lit(1)).alias("assets"))
 
 
-def _spec_rows(name: str, columns: Iterable[Mapping[str, Any]], masked: Iterable[str]) -> list[tuple]:
-    hidden = set(masked)
-    rows = []
-    for c in columns:
-        tags = list(c.get("classification") or [])
-        if c["name"] in hidden and "PII" not in tags:
-            tags.append("PII")
-        text = c.get("description") or f"Column read from {c.get('path', c['name'])}."
-        rows.append((name, c["name"], str(c.get("type", "string")), c.get("nullable") is False, text, tags))
-    return rows
-
-
 COLUMN_SCHEMA = (
     "asset string, column_name string, data_type string, required boolean, description string, tags array<string>"
 )
+CONTRACT_SCHEMA = "owner string, column_name string, data_type string, nullable boolean, path string, description string, tags array<string>"
+
+
+def _contracts(spark: SparkSession, specs: Iterable[FlowSpec | TableSpec]) -> DataFrame:
+    """Declared columns of flows or tables, with the tag PII where a mask hides them."""
+    specs = list(specs)
+    declared = [
+        (s.name, c["name"], c.get("type"), c.get("nullable"), c.get("path"), c.get("description"), list(c.get("classification") or ()))
+        for s in specs
+        for c in s.columns
+    ]
+    masks = [(s.name, column) for s in specs for column in s.masks]
+    hidden = spark.createDataFrame(masks, "owner string, column_name string").withColumn("hidden", F.array(F.lit("PII")))
+    columns = spark.createDataFrame(declared, CONTRACT_SCHEMA).join(hidden, ["owner", "column_name"], "left")
+    return columns.select(
+        "owner", "column_name", F.coalesce("data_type", F.lit("string")).alias("data_type"),
+        (~F.coalesce("nullable", F.lit(True))).alias("required"),
+        F.coalesce("description", F.format_string("Column read from %s.", F.coalesce("path", "column_name"))).alias("description"),
+        F.when(F.col("hidden").isNull(), F.col("tags")).otherwise(F.array_union("tags", "hidden")).alias("tags"),
+    )
 
 
 def asset_columns(spark: SparkSession, registry: Registry) -> DataFrame:
-    """Column inventory of every flow layer, with the embedded columns."""
-    rows: list[tuple] = []
-    for flow in registry.flows.values():
-        for layer in ("raw", "work", "silver", "quarantine"):
-            table = registry.runtime.ident(flow.table(layer))
-            rows += _spec_rows(table, flow.columns, flow.masks)
-            rows += [(table, n, "string", False, text, ["embedded"]) for n, text in EMBEDDED_COLUMNS.items()]
-    for spec in registry.tables.values():
-        for layer in ("raw", "work", "silver"):
-            table = registry.runtime.ident(f"{layer}.{spec.target_name}")
-            rows += _spec_rows(table, spec.columns, spec.masks)
-    return spark.createDataFrame(rows, COLUMN_SCHEMA)
+    """Column inventory of every flow and table layer; event flows carry the embedded columns too."""
+    ident, place = registry.runtime.ident, "owner string, asset string"
+    layers = [(f.name, ident(f.table(x))) for f in registry.flows.values() for x in ("raw", "work", "silver", "quarantine")]
+    flow_assets = spark.createDataFrame(layers, place)
+    stored = [(t.name, ident(f"{x}.{t.target_name}")) for t in registry.tables.values() for x in ("raw", "work", "silver")]
+    table_assets = spark.createDataFrame(stored, place)
+    embedded = F.array(*(F.struct(F.lit(n).alias("column_name"), F.lit(text).alias("description")) for n, text in EMBEDDED_COLUMNS.items()))
+    names = [part.split()[0] for part in COLUMN_SCHEMA.split(", ")]
+    parts = [
+        flow_assets.join(_contracts(spark, registry.flows.values()), "owner"),
+        table_assets.join(_contracts(spark, registry.tables.values()), "owner"),
+        flow_assets.select("asset", F.inline(embedded)).withColumns(
+            {"data_type": F.lit("string"), "required": F.lit(False), "tags": F.array(F.lit("embedded"))}
+        ),
+    ]
+    return reduce(DataFrame.unionByName, [p.select(*names) for p in parts])
 
 
 def refreshed_columns(written: DataFrame, asset: str, known: DataFrame) -> DataFrame:

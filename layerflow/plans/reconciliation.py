@@ -8,7 +8,7 @@ from typing import Any
 
 from layerflow.config import Registry
 from layerflow.operators.reconcile import late_matches, updated_columns
-from layerflow.plans.tables import as_primitive
+from layerflow.plans.tables import typed_rows
 from layerflow.sources.tables import TableStore
 
 STATUS_SCHEMA = (
@@ -34,8 +34,6 @@ def run_reconciliations(store: TableStore, registry: Registry, names: tuple[str,
     jobs = [j for j in registry.reconciliations if j.get("enabled", True) and (not names or j["name"] in names)]
     results = [reconcile(store, job) for job in jobs]
     if results:
-        fields = [part.split()[0] for part in STATUS_SCHEMA.split(", ")]
-        rows = [tuple(as_primitive(r.get(n)) for n in fields) for r in results]
         table = registry.runtime.ident(f"{registry.runtime.audit_namespace}.reconciliation_metrics")
-        store.append(store.spark.createDataFrame(rows, STATUS_SCHEMA).coalesce(1), table)
+        store.append(typed_rows(store.spark, results, STATUS_SCHEMA), table)
     return results

@@ -310,7 +310,7 @@ def test_compact_tables_and_summary(spark, store, space):
     assert TableJobs(store, registry).run_tables([table]) == {table.name: "SUCCESS"}
     silver = store.read(f"silver.payments_{space}")
     assert silver.count() == 1425 and silver.filter("card_number LIKE '4%'").count() == 0
-    assert summary(registry)[0]["dq_rules"] == 2 and len(summary(sales_registry())) == 8
+    assert summary(registry)[0]["rules"] == ["CARD", "UNIQUE"] and len(summary(sales_registry())) == 10
 
 
 def test_command_line(tmp_path, capsys):
