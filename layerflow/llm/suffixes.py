@@ -167,7 +167,7 @@ _SHARD = pa.schema(
     [("mini", pa.int64()), ("body", pa.int64()), ("repeats", pa.list_(pa.int32())), ("g", pa.int64()), ("slice", pa.int64()), ("strings", pa.binary())]
 )
 SHARD = "mini long, body long, repeats array<int>, g long, slice long, strings binary"
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 
 
 def _pieces(table: pa.Table, key: np.ndarray, size: np.ndarray) -> Iterator[pa.Table]:
