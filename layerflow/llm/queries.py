@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from layerflow.llm import buckets, language, mixture, repetition, sketches, suffixes, tokens, toxicity, vectors, warc
+from layerflow.llm.common import materialize
 
 
 def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -17,7 +19,8 @@ def op1_toxicity(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def op2_repetition_rules(spark: SparkSession, directory: str) -> DataFrame:
-    return repetition.judged(_table(spark, directory, "documents"))
+    judged = repetition.judged(_table(spark, directory, "documents"))
+    return judged.drop("longest_repeat")  # which has no SQL form; the verdict has
 
 
 def op3_embedding_near_dedup(spark: SparkSession, directory: str) -> DataFrame:
@@ -43,7 +46,9 @@ def op7_packing(spark: SparkSession, directory: str) -> DataFrame:
 
 def op8_source_mixing(spark: SparkSession, directory: str) -> DataFrame:
     docs = mixture.with_domain(_table(spark, directory, "documents"))
-    mixed = mixture.select(docs, mixture.WEIGHTS, share=0.6, epochs=2)
+    # Texts are read once, for their lengths.
+    sized = materialize(docs.select("doc_id", "domain", "lang", "source", mixture.words().alias("size")), "sized")
+    mixed = mixture.select(sized, mixture.WEIGHTS, share=0.6, epochs=2, tokens=F.col("size"))
     return mixed.select("doc_id", "domain", "lang", "source", "n_tokens", "copies", "tokens_taken")
 
 
@@ -66,4 +71,58 @@ QUERIES = {
     )
 }
 
-SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_REACH = """
+  {links},
+  reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+  top AS (SELECT a, least(a, min(b)) AS component_id FROM reach GROUP BY a)
+"""
+
+SQL: dict[str, str] = {
+    "op2_repetition_rules": f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+  lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t),
+  dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+  place AS (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM t WHERE len(w) >= 8),
+  win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 7], ' ')) AS n FROM place),
+  rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM win WHERE n > 1) GROUP BY doc_id),
+  far AS (SELECT doc_id, w, unnest(range(1, len(w) - 99)) AS i FROM t WHERE len(w) > 100),
+  long AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, md5(array_to_string(w[i:i + 100], ' ')) AS h FROM far) GROUP BY doc_id, h HAVING count(*) > 1),
+  base AS (
+    SELECT t.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+      length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,
+      coalesce(rep.n, 0)::BIGINT AS n_repeat_words, long.doc_id IS NOT NULL AS is_long
+    FROM t LEFT JOIN dup ON dup.doc_id = t.doc_id LEFT JOIN rep ON rep.doc_id = t.doc_id LEFT JOIN long ON long.doc_id = t.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  CASE WHEN n_words > 0 THEN n_repeat_words::DOUBLE / n_words ELSE 0.0::DOUBLE END AS covered_share,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_repeat_words::DOUBLE / n_words <= 0.25 AND NOT is_long AS kept
+FROM base""",
+    "op3_embedding_near_dedup": f"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+  ok AS (SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(e, lambda x: x * x)) > 0),
+  {_REACH.format(links="link AS (SELECT p.vec_id AS a, q.vec_id AS b FROM ok p JOIN ok q ON p.vec_id <> q.vec_id AND len(p.e) = len(q.e) WHERE list_cosine_similarity(p.e, q.e) >= 0.95)")}
+SELECT v.vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component_id, v.vec_id) AS component_id, coalesce(component_id, v.vec_id) = v.vec_id AS kept
+FROM v LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) d ON d.a = v.vec_id LEFT JOIN top ON top.a = v.vec_id""",
+    "op5_warc_salvage": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, '')))::BIGINT AS n FROM pages),
+  f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, n AS payload_bytes, sha256(h) AS payload_digest,
+  CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to
+FROM f""",
+    "op10_minhash_near_dedup": f"""
+WITH RECURSIVE t AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
+  s AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS sh
+    FROM t),
+  n AS (SELECT doc_id, len(sh)::BIGINT AS n_shingles FROM s),
+  e AS (SELECT doc_id, unnest(sh) AS g FROM s),
+  both_ AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS c FROM e p JOIN e q ON p.g = q.g AND p.doc_id <> q.doc_id GROUP BY 1, 2),
+  {_REACH.format(links="link AS (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n_shingles + y.n_shingles - c))")}
+SELECT n.doc_id, n_shingles, coalesce(component_id, n.doc_id) AS component_id, coalesce(component_id, n.doc_id) = n.doc_id AS kept
+FROM n LEFT JOIN top ON top.a = n.doc_id""",
+}
