@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from layerflow.operators import history, keys, reconcile, upsert
 from layerflow.plans.layers import history_of, raw_to_work
 from layerflow.queries.base import REGISTRY, decoded_changes, decoded_orders, flow, moment, query, text
-from layerflow.session import materialize
+from layerflow.session import materialize, scratch_dir
+from layerflow.sources.tables import TableStore
 
 
 @query(
@@ -113,19 +116,44 @@ def upsert_hard_delete(src):
     return _customer_state(_upserted(src, "hard_delete"))
 
 
+_SOME_KEYS = "CASE WHEN customer_id % 10 = 0 THEN NULL ELSE customer_id END"
+
+
 @query(
-    "SELECT customer_id, province, customer_segment FROM "
-    "(SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY seq DESC) AS r FROM customer_changes WHERE seq < 3) s WHERE r = 1",
+    "SELECT k AS customer_id, province, customer_segment FROM (SELECT *, CASE WHEN k IS NULL THEN 1 ELSE "
+    "row_number() OVER (PARTITION BY k ORDER BY seq DESC) END AS r FROM "
+    f"(SELECT *, {_SOME_KEYS} AS k FROM customer_changes) c) s WHERE r = 1",
     ("customer_changes",),
 )
 def keyed_upsert(src):
-    """Upsert without deletes on a plain key, where a NULL key never matches."""
-    changes = src["customer_changes"].drop("op")
-    target = changes.filter("seq = 0")
-    merged = upsert.upsert(target, changes.filter("seq IN (1, 2)"), ["customer_id"], sequence=["seq"], null_safe=False)
+    """Upsert without deletes on a plain key: all changes, replays included. A
+    NULL key, that of every tenth customer, never matches."""
+    changes = src["customer_changes"].drop("op").withColumn("customer_id", F.expr(_SOME_KEYS))
+    merged = upsert.upsert(
+        changes.filter("seq = 0"), changes.filter("seq > 0"), ["customer_id"], sequence=["seq"], null_safe=False
+    )
     return merged.select("customer_id", "province", "customer_segment")
 
 
+@query(
+    "SELECT k AS customer_id, province, customer_segment FROM (SELECT *, CASE WHEN k IS NULL THEN 1 ELSE "
+    "row_number() OVER (PARTITION BY k ORDER BY seq DESC) END AS r FROM "
+    f"(SELECT *, {_SOME_KEYS} AS k FROM customer_changes) c) s WHERE r = 1",
+    ("customer_changes",),
+)
+def stored_upsert_replayed(src):
+    """The same in a stored table, with each batch written twice."""
+    changes = src["customer_changes"].drop("op").withColumn("customer_id", F.expr(_SOME_KEYS))
+    space = f"m{uuid.uuid4().hex[:12]}"
+    store = TableStore(src.spark, f"{scratch_dir(src.spark)}/{space}")
+    name = f"{space}.customers"
+    for _ in range(2):
+        store.overwrite(changes.filter("seq = 0"), name)
+    for _ in range(2):
+        store.merge_rows(changes.filter("seq > 0"), name, ["customer_id"], sequence=["seq"], null_safe=False)
+    return store.read(name).select("customer_id", "province", "customer_segment")
+
+
 # The version chain in SQL: one event per key and start, repeats dropped, then
 # the next remaining event closes a version.
 SCD2_CTES = (

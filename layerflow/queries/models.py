@@ -64,25 +64,26 @@ def kpi_daily_revenue_no_fanout(src):
 
 _PRODUCTS = (
     "SELECT category, product_id, product_name, CAST(sum(quantity) AS BIGINT) AS qty_sold, "
-    "CAST(sum(line_amount) AS DOUBLE) AS net_sales FROM src_order_line {how} JOIN {products} p USING (product_id) "
-    "GROUP BY category, product_id, product_name"
+    "CAST(sum(line_amount) AS DOUBLE) AS net_sales FROM (SELECT quantity, line_amount, "
+    "CASE WHEN product_id % 89 = 0 THEN -product_id ELSE product_id END AS product_id FROM src_order_line) l "
+    "{how} JOIN src_product p USING (product_id) GROUP BY category, product_id, product_name"
 )
-_SOME = "(SELECT * FROM src_product WHERE sku IS NOT NULL)"
 
 
-def _some_products(src):
-    """Products with a stock number; left and inner differ by the others."""
-    return src["src_product"].filter("sku IS NOT NULL")
+def _lines(src):
+    """All order lines; those of every 89th product name one that is not listed."""
+    key = F.col("product_id")
+    return src["src_order_line"].withColumn("product_id", F.when(key % 89 == 0, -key).otherwise(key))
 
 
-@query(_PRODUCTS.format(how="LEFT", products=_SOME), ("src_order_line", "src_product"))
+@query(_PRODUCTS.format(how="LEFT"), ("src_order_line", "src_product"))
 def kpi_product_sales(src):
-    return _shown(models.product_sales(src["src_order_line"], _some_products(src)))
+    return _shown(models.product_sales(_lines(src), src["src_product"]))
 
 
-@query(_PRODUCTS.format(how="INNER", products=_SOME), ("src_order_line", "src_product"))
+@query(_PRODUCTS.format(how="INNER"), ("src_order_line", "src_product"))
 def kpi_product_sales_inner(src):
-    return _shown(models.product_sales(src["src_order_line"], _some_products(src), "inner"))
+    return _shown(models.product_sales(_lines(src), src["src_product"], "inner"))
 
 
 @query(

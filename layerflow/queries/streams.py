@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from layerflow.plans.layers import LayerJobs
-from layerflow.queries.base import order_log, query, text
+from layerflow.plans.tables import TableJobs
+from layerflow.queries.base import change_log, order_log, query, text
 from layerflow.sales.specs import DOCUMENT, sales_registry
 from layerflow.session import scratch_dir
 from layerflow.sources.tables import TableStore
@@ -52,6 +55,55 @@ def stream_log_to_raw(src):
     return rows.select("order_id", "order_status", *text("order_date"), F.col("_meta_layer").alias("layer"))
 
 
+@query(
+    "SELECT 'fact_order' AS flow, 'raw' AS layer, count(*) AS n FROM src_order UNION ALL "
+    "SELECT 'dim_customer', 'raw', count(*) FROM customer_changes UNION ALL "
+    "SELECT 'fact_order', 'silver', count(*) FROM src_order WHERE total_amount > 0 AND order_id % 101 <> 0",
+    ("src_order", "customer_changes"),
+)
+def stream_two_flows(src):
+    """Two flows started at once on fresh tables, every layer."""
+    log = order_log(src).unionByName(change_log(src))
+    registry, location = _isolated(src, log)
+    specs = [registry.flows["fact_order"], registry.flows["dim_customer"]]
+    FlowStreams(src.spark, registry, location).start_all(specs, style="full", once=True)
+    jobs = LayerJobs(TableStore(src.spark, location), registry)
+    read = [(s, layer) for s in specs for layer in ("raw", "silver") if (s.name, layer) != ("dim_customer", "silver")]
+    parts = [
+        jobs.store.read(jobs.name(s, layer)).agg(F.count(F.lit(1)).alias("n")).select(F.lit(s.name).alias("flow"), F.lit(layer).alias("layer"), "n")
+        for s, layer in read
+    ]
+    return reduce(DataFrame.unionAll, parts)
+
+
+@query(
+    "SELECT layer, n FROM (SELECT 'raw' AS layer, count(*) AS n FROM src_product UNION ALL "
+    "SELECT 'work', count(*) FROM src_product UNION ALL "
+    "SELECT 'silver', count(*) FROM src_product WHERE sku IS NOT NULL AND unit_price > 0 UNION ALL "
+    "SELECT 'quarantine', count(*) FROM src_product WHERE sku IS NULL OR NOT unit_price > 0) s",
+    ("src_product",),
+)
+def tables_rerun(src):
+    """A declared table run twice under one batch id: every layer holds it once."""
+    mark = f"t{uuid.uuid4().hex[:12]}"
+    src["src_product"].createOrReplaceTempView(f"source_{mark}")
+    entry = next(t for t in DOCUMENT["tables"] if t["name"] == "products")
+    entry = {**entry, "source": {"type": "table", "table": f"source_{mark}"}, "target": {**entry["target"], "table_name": f"products_{mark}"}}
+    runtime = {"audit_namespace": f"{mark}_audit", "quarantine_namespace": f"{mark}_quarantine"}
+    registry = sales_registry(flows=[], models=[], batch_sources=[], jobs=[], tables=[entry], runtime=runtime)
+    jobs = TableJobs(TableStore(src.spark, f"{scratch_dir(src.spark)}/{mark}"), registry)
+    table = registry.tables["products"]
+    for _ in range(2):
+        outcome = jobs.run_tables([table], batch_id="b1")
+        if outcome != {"products": "SUCCESS"}:
+            raise RuntimeError(f"table run: {outcome}")
+    parts = [
+        jobs.store.read(jobs.name(table, layer)).agg(F.count(F.lit(1)).alias("n")).select(F.lit(layer).alias("layer"), "n")
+        for layer in ("raw", "work", "silver", "quarantine")
+    ]
+    return reduce(DataFrame.unionAll, parts)
+
+
 @query(
     "SELECT order_id, upper(trim(order_status)) AS order_status, CAST(total_amount AS DOUBLE) AS total_amount, "
     "CAST(CAST(order_date AS DATE) AS STRING) AS order_ds FROM src_order WHERE total_amount > 0 AND order_id % 101 <> 0",

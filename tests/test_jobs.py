@@ -252,6 +252,19 @@ def test_incremental_load_takes_newer_rows_only(spark, store, space):
     src.createOrReplaceTempView(f"inc_{space}")
     second = jobs.run_raw(table, "two")
     assert first + second == 1500 and jobs.run_raw(table, "three") == 0
+    assert jobs.run_raw(table, "two") == second and store.read(jobs.name(table, "raw")).count() == 1500
+
+
+def test_a_repeated_batch_changes_nothing(spark, store, space):
+    registry = registry_from(table_document(space, ["products", "orders"]))
+    jobs = TableJobs(store, registry)
+    counts = []
+    for _ in range(2):
+        assert set(jobs.run_tables(registry.tables.values(), batch_id="b1").values()) == {"SUCCESS"}
+        counts.append([
+            store.read(jobs.name(t, layer)).count() for t in registry.tables.values() for layer in ("raw", "work", "silver", "quarantine")
+        ])
+    assert counts[0] == counts[1] and counts[0][:3] == [200, 200, 195] and counts[0][3] == 5
 
 
 def test_errors_continue_or_stop(store, space):
