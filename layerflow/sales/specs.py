@@ -51,26 +51,40 @@ PAYMENT_COLUMNS = [
     *_columns(amount="decimal(18,2)", paid_at="timestamp", updated_at="timestamp"),
 ]
 
+
+
+def _rule(rule_id, kind, column, severity="critical", **more):
+    return {"rule_id": rule_id, "type": kind, "column": column, "severity": severity, **more}
+
+
+def _text(**actions):
+    """Standardization per column: spaces go, then the named actions."""
+    return [{"column": c, "action": a} for c, then in actions.items() for a in ("trim", *then.split())]
+
+
+# Rules of the declared tables. The ids of these are compared by queries.
 CUSTOMER_RULES = [
-    {"rule_id": "CUST_EMAIL_PRESENT", "type": "not_null", "column": "email", "severity": "critical"},
-    {"rule_id": "CUST_EMAIL_FORMAT", "type": "regex", "column": "email", "pattern": EMAIL_RULE, "severity": "warning"},
-]
-PRODUCT_RULES = [
-    {"rule_id": "PROD_SKU_PRESENT", "type": "not_null", "column": "sku"},
-    {"rule_id": "PROD_PRICE_POSITIVE", "type": "positive", "column": "unit_price"},
+    _rule("CUST_EMAIL_PRESENT", "not_null", "email"),
+    _rule("CUST_EMAIL_FORMAT", "regex", "email", "warning", pattern=EMAIL_RULE),
 ]
 ORDER_RULES = [
-    {"rule_id": "ORDER_CUSTOMER_PRESENT", "type": "not_null", "column": "customer_id"},
-    {"rule_id": "ORDER_TOTAL_POSITIVE", "type": "positive", "column": "total_amount"},
-    {"rule_id": "ORDER_STATUS_KNOWN", "type": "in_set", "column": "order_status", "values": ORDER_STATES},
+    _rule("ORDER_CUSTOMER_PRESENT", "not_null", "customer_id"),
+    _rule("ORDER_TOTAL_POSITIVE", "positive", "total_amount"),
+    _rule("ORDER_STATUS_KNOWN", "in_set", "order_status", values=ORDER_STATES),
+]
+PRODUCT_RULES = [
+    _rule("LIST_PRICE_IN_RANGE", "range", "unit_price", min=0.01, max=1_000_000),
+    _rule("STOCK_NUMBER_SHAPE", "regex", "sku", pattern="^SKU-[0-9]{6,}$"),
+    _rule("STOCK_NUMBER_GIVEN", "not_null", "sku"),
 ]
 ITEM_RULES = [
-    {"rule_id": "ITEM_QUANTITY_POSITIVE", "type": "positive", "column": "quantity"},
-    {"rule_id": "ITEM_AMOUNT_POSITIVE", "type": "positive", "column": "line_amount"},
+    _rule("LINE_TOTAL_AGREES", "expr", "line_amount", "warning", expr="line_amount >= 0.01 * quantity"),
+    _rule("QUANTITY_IN_RANGE", "range", "quantity", min=1, max=10_000),
 ]
 PAYMENT_RULES = [
-    {"rule_id": "PAY_AMOUNT_POSITIVE", "type": "positive", "column": "amount"},
-    {"rule_id": "PAY_CARD_PRESENT", "type": "not_null", "column": "card_number", "severity": "warning"},
+    _rule("PAY_AMOUNT_POSITIVE", "positive", "amount"),
+    _rule("CARD_HAS_DIGITS", "regex", "card_number", "warning", pattern="[0-9]{4}$"),
+    _rule("PAID_BEFORE_CHANGED", "expr", "paid_at", "warning", expr="paid_at <= updated_at OR updated_at IS NULL"),
 ]
 
 
@@ -100,12 +114,8 @@ DOCUMENT = {
     "runtime": {"config_version": "2026.1", "source_system": "postgres"},
     "connections": {"event_log": {"type": "files", "path": "${EVENT_LOG_DIR:-event-log}", "format": "parquet"}},
     "rule_sets": {
-        "email_text": [{"column": "email", "action": "trim"}, {"column": "email", "action": "lower"}],
-        "person_text": [
-            {"column": "full_name", "action": "trim"},
-            {"column": "province", "action": "trim"},
-            {"column": "province", "action": "upper"},
-        ],
+        "reachable": _text(email="lower", telephone=""),
+        "written_names": _text(address="", full_name="", customer_segment="upper"),
     },
     "quality_rule_sets": {"not_empty": [{"rule_id": "MODEL_NOT_EMPTY", "type": "row_count_positive"}]},
     "flows": [
@@ -123,25 +133,20 @@ DOCUMENT = {
             "sequence_column": "updated_at",
             "schema_contract": {"columns": CUSTOMER_COLUMNS},
             "standardization": {
-                "use_rule_sets": ["email_text", "person_text"],
-                "rules": [
-                    {"column": "customer_segment", "action": "upper"},
-                    {"name": "customer_segment_norm", "action": "expr", "expr": "upper(customer_segment)"},
-                ],
+                "use_rule_sets": ["reachable", "written_names"],
+                "rules": [{"name": "mail_domain", "action": "expr", "expr": "substring_index(email, '@', -1)"}],
             },
             "business_logic": {
                 "derive_columns": [
-                    {
-                        "name": "customer_type",
-                        "expr": "CASE WHEN customer_segment_norm IN ('VIP', 'ENTERPRISE') "
-                        "THEN 'HIGH_VALUE' ELSE 'STANDARD' END",
-                    }
+                    {"name": "known_days", "expr": "datediff(updated_at, created_at)"},
+                    {"name": "area_code", "expr": "split_part(telephone, '-', 1)"},
                 ]
             },
             "data_quality": {
                 "rules": [
-                    {"rule_id": "CUST_ID_PRESENT", "type": "not_null", "column": "customer_id"},
-                    CUSTOMER_RULES[1],
+                    _rule("CUSTOMER_NUMBER_IN_RANGE", "range", "customer_id", min=1),
+                    _rule("MAIL_SHAPE", "regex", "email", pattern=EMAIL_RULE),
+                    _rule("CHANGED_AFTER_CREATED", "expr", "updated_at", "warning", expr="known_days >= 0"),
                 ]
             },
             "pii_policy": PERSON_MASKS,
@@ -166,12 +171,13 @@ DOCUMENT = {
             "sequence_column": "updated_at",
             "schema_contract": {"columns": PRODUCT_COLUMNS},
             "standardization": {
-                "rules": [
-                    {"column": c, "action": a} for c in ("sku", "category") for a in ("trim", "upper")
-                ]
+                "rules": _text(product_name="lower", category="")
             },
             "business_logic": {
-                "derive_columns": [{"name": "product_group", "expr": "coalesce(category, 'UNKNOWN')"}]
+                "derive_columns": [
+                    {"name": "price_band", "expr": "width_bucket(unit_price, 0, 2000, 8)"},
+                    {"name": "material", "expr": "substring_index(category, ' ', -1)"},
+                ]
             },
             "data_quality": {"rules": PRODUCT_RULES},
             "surrogate_key": {"column": "product_sk", "keys": ["product_id"], "scd_type": 1},
@@ -202,7 +208,10 @@ DOCUMENT = {
                 ]
             },
             "data_quality": {
-                "rules": [{"rule_id": "ORDER_ID_PRESENT", "type": "not_null", "column": "order_id"}, *ORDER_RULES]
+                "rules": [
+                    *ORDER_RULES,
+                    _rule("CHANGED_WITHIN_A_MONTH", "expr", "updated_at", "warning", expr="datediff(updated_at, order_date) <= 31"),
+                ]
             },
             "surrogate_key": {"column": "order_sk", "keys": ["order_id"], "scd_type": "none"},
             "foreign_keys": [
@@ -236,7 +245,7 @@ DOCUMENT = {
         for name, key, columns, partition_by, mode, work, rules, masks in [
             (
                 "customers", "customer_id", CUSTOMER_COLUMNS, "created_at", "append",
-                {"derive_columns": [{"name": "segment_code", "expr": "upper(customer_segment)"}]},
+                {"derive_columns": [{"name": "created_month", "expr": "trunc(created_at, 'MM')"}]},
                 [*CUSTOMER_RULES, {"rule_id": "CUST_ID_UNIQUE", "type": "unique", "columns": ["customer_id"]}],
                 PERSON_MASKS,
             ),

@@ -256,6 +256,8 @@ def test_incremental_load_takes_newer_rows_only(spark, store, space):
 
 
 def test_a_repeated_batch_changes_nothing(spark, store, space):
+    for name, view in (("products", "src_product"), ("orders", "src_order")):
+        SalesSource(spark, SMALL)[view].createOrReplaceTempView(f"source_{name}")
     registry = registry_from(table_document(space, ["products", "orders"]))
     jobs = TableJobs(store, registry)
     counts = []
