@@ -242,7 +242,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """
     signed = materialize(in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _sign, SIGNED), "signed")
     full = signed.where("n_shingles > 0")
-    classes = full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    # Written, so that the join reads it through an exchange that Spark can split.
+    classes = materialize(full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     member = materialize(
         full.select("doc_id", "d1", "d2", "n_shingles").join(classes, ["d1", "d2", "n_shingles"]).select("doc_id", "rep"), "member"
     )
