@@ -13,6 +13,11 @@ from layerflow.session import materialize, scratch_dir
 from layerflow.sources.tables import TableStore
 
 
+def stored_changes(src, **options):
+    """Decoded changes, written once: merges read them batch by batch."""
+    return materialize(decoded_changes(src, **options), "changes")
+
+
 @query(
     "SELECT count(*) AS total_rows, count(DISTINCT order_id) AS distinct_keys, CAST(0 AS BIGINT) AS negative_keys "
     "FROM src_order",
@@ -94,7 +99,7 @@ BATCHES = (
 
 
 def _upserted(src, delete_mode: str):
-    changes = decoded_changes(src)
+    changes = stored_changes(src)
     parts = [changes.filter(batch) for batch in BATCHES]
     options = {"sequence": ["updated_at"], "delete_mode": delete_mode}
     target = upsert.initial_rows(parts[0], ["customer_id"], **options)
@@ -201,7 +206,7 @@ def scd2_history(src):
 
 def _plain_events(src):
     return keys.add_version_columns(
-        keys.add_surrogate_key(decoded_changes(src), flow("dim_customer")), flow("dim_customer"), moment()
+        keys.add_surrogate_key(stored_changes(src), flow("dim_customer")), flow("dim_customer"), moment()
     )
 
 
