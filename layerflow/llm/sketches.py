@@ -273,6 +273,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """Rows of ``docs`` that stay when one document of each group is kept."""
-    keep = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(keep, docs["doc_id"].cast("long") == keep["_kept_id"], "left_semi")
+    """One row of ``docs`` for each document that stays when one of each group is kept.
+
+    Of several rows of a kept id the one with the least digest of its columns
+    stays, equal rows once: later stages would take them for repeats of each
+    other. Columns must have an order, so no maps.
+    """
+    kept = near_duplicates(docs, percent).where("kept").groupBy("doc_id").agg(F.count("*").alias("n"))
+    kept = materialize(kept.select(F.col("doc_id").alias("_id"), F.col("n").alias("_n")), "kept")
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    own = docs.toDF(*names)
+    rows = own.join(kept, own[names[docs.columns.index("doc_id")]].cast("long").eqNullSafe(kept["_id"]))
+    # Few ids have more rows than one; a minimum is combined before its shuffle, however many rows an id has.
+    least = rows.where("_n > 1").groupBy("_id").agg(F.min(F.struct(F.xxhash64(*names).alias("_digest"), *names)).alias("least"))
+    return rows.where("_n = 1").select(*names).union(least.select(*(f"least.{c}" for c in names))).toDF(*docs.columns)

@@ -84,3 +84,15 @@ def test_stages_take_odd_rows_and_empty_tables(spark, odd_documents, no_document
             docs = stage(spark, docs, SMALL)
             docs.collect()
     assert test_suffixes.brute([(1, None)])[1][0] == 0
+
+
+def test_a_row_stored_twice_stays_once(spark, documents):
+    """Neither row of a document of 200 bytes or more may be cut as the other's repeat."""
+    once = [r for r in documents.collect() if len((r.text or "").encode()) >= 400][:12]
+    docs = spark.createDataFrame([*once, *once[:5]], documents.schema)
+    stages = dict(corpus_pipeline.STAGES)
+    single = stages["near_dedup"](spark, docs, SMALL)
+    expected = stages["near_dedup"](spark, spark.createDataFrame(once, documents.schema), SMALL)
+    assert sorted(single.collect()) == sorted(expected.collect())
+    cut = {r.doc_id: r.text for r in stages["suffix_dedup"](spark, single, SMALL).collect()}
+    assert cut == plain_cut([(r.doc_id, r.text) for r in expected.collect()]) and len(cut) > 5

@@ -60,3 +60,13 @@ def test_components_of_paths_and_stars(spark):
     expected = brute.parts([(a, b) for a, b in path if a is not None and a != b], {*range(100, 141), 7, *range(20, 60)})
     assert {r.id: r.component for r in connected(df).collect()} == expected
     assert connected(df.where("a < 0")).count() == 0
+
+
+def test_one_row_of_each_kept_id_stays(spark):
+    rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (1, "a b c d e f", None), (2, "a b c d e f", "x"), (3, "g h i", "y"), (4, None, "z"), (4, None, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `component.id` string")
+    result = sketches.deduplicated(df)
+    assert result.columns == df.columns
+    found = sorted((r[0], r[1]) for r in result.collect())
+    assert found == [(1, "a b c d e f"), (3, "g h i"), (4, None)]
+    assert sorted(result.collect(), key=str) == sorted(sketches.deduplicated(df.repartition(3)).collect(), key=str)
