@@ -277,13 +277,17 @@ def deduplicated(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     Of several rows of a kept id the one with the least digest of its columns
     stays, equal rows once: later stages would take them for repeats of each
-    other. Columns must have an order, so no maps.
+    other. A row without an id is a document of its own, under a digest of its
+    columns. Columns must have an order, so no maps.
     """
-    kept = near_duplicates(docs, percent).where("kept").groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = materialize(kept.select(F.col("doc_id").alias("_id"), F.col("n").alias("_n")), "kept")
     names = [f"c{k}" for k in range(len(docs.columns))]
-    own = docs.toDF(*names)
-    rows = own.join(kept, own[names[docs.columns.index("doc_id")]].cast("long").eqNullSafe(kept["_id"]))
+    own, text = docs.toDF(*names), names[docs.columns.index("text")]
+    # Digests are not negative, so that rows with small ids represent their groups first.
+    digest = F.shiftrightunsigned(F.xxhash64(*names), 1)
+    own = own.withColumn("_key", F.coalesce(F.col(names[docs.columns.index("doc_id")]).cast("long"), digest))
+    kept = near_duplicates(own.select(F.col("_key").alias("doc_id"), F.col(text).alias("text")), percent).where("kept")
+    kept = materialize(kept.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")), "kept")
+    rows = own.join(kept, own["_key"] == kept["_id"])
     # Few ids have more rows than one; a minimum is combined before its shuffle, however many rows an id has.
     least = rows.where("_n > 1").groupBy("_id").agg(F.min(F.struct(F.xxhash64(*names).alias("_digest"), *names)).alias("least"))
     return rows.where("_n = 1").select(*names).union(least.select(*(f"least.{c}" for c in names))).toDF(*docs.columns)

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from layerflow.llm.common import chunks, in_arrow, materialize, over_groups, span_hashes, stacked, together
@@ -277,10 +277,11 @@ def _mark_hot(length: int):
     return lambda: apply
 
 
-def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, once: DataFrame | None = None) -> DataFrame:
     """(doc_id, at, repeats): per run of strings the starts of those that occur
     elsewhere, as from and to (exclusive), counted from ``at``. ``docs`` has
-    doc_id and text and unique ids."""
+    doc_id and text and unique ids, or ``once`` has one row of each of its ids,
+    and rows of one id have one text. Ids are not null."""
     cut = materialize(in_arrow(docs, _cut(length, gram), "doc_id long, at int, strings int, mini long, body long, twice boolean"), "runs")
     shared = cut.groupBy("mini").agg(F.count("*").alias("n"), F.max("twice").alias("t")).where("n > 1 OR t").select("mini")
     maybe = materialize(cut.join(shared, "mini").drop("twice"), "maybe")
@@ -292,7 +293,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
         "mini", "body", "copies", F.coalesce("spread", F.lit(1)).alias("spread"), "o.doc_id", "o.at", "o.strings"
     )
     raw = F.col("text").cast("binary")
-    bodies = one.join(docs, "doc_id").select(
+    bodies = one.join(docs if once is None else once, "doc_id").select(
         "mini", "body", "copies", "spread", F.xxhash64("mini", F.pmod("body", "spread")).alias("g"),
         F.substring(raw, F.col("at") + 1, F.col("strings") + (length - 1)).alias("bytes"),
     )
@@ -341,6 +342,12 @@ def _remove(length: int, kept: list[str]):
     return run
 
 
+def _key(id_: str | Column, text: str) -> Column:
+    """The id, or a hash of the text of a row without one; null if it has neither."""
+    named = F.col(id_) if isinstance(id_, str) else id_
+    return F.coalesce(named, F.when(F.col(text).isNotNull(), F.xxhash64(text)))
+
+
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``docs`` (doc_id, text, ...) with n_bytes, n_removed, n_spans, kept_sha256, kept_text.
 
@@ -348,18 +355,23 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     else, in this or another document, is removed; strings are judged on the
     input. Null texts count as empty and have no repeats, as have texts below
     ``length`` bytes. kept_text drops the parts of characters that a cut left.
-    Ids must be unique and not null; columns named like the added ones are
-    replaced. An empty table gives no rows.
+    Ids must be unique or null; a row without an id is a document of its own,
+    known by a hash of its text. Columns named like the added ones are replaced.
+    An empty table gives no rows.
     """
     if not 8 <= gram < length:
         raise ValueError("8 <= gram < length")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = repeated_runs(texts, length, gram)
+    source = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    texts = source.where("text IS NOT NULL").select(_key("id", "text").alias("doc_id"), "text")
+    # Rows without an id share a key if their texts are equal.
+    unnamed = source.where("id IS NULL AND text IS NOT NULL").select(_key("id", "text").alias("doc_id"), "text")
+    named = source.where("id IS NOT NULL AND text IS NOT NULL").select(F.col("id").alias("doc_id"), "text")
+    found = repeated_runs(texts, length, gram, named.union(unnamed.dropDuplicates(["doc_id"])))
     marks = found.groupBy("doc_id").agg(F.collect_list(F.struct("at", "repeats")).alias("marks"))
     kept = [c for c in docs.columns if c not in _CUT]
     own = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(kept)), F.col("text").cast("string").alias("__text"))
-    key = f"c{kept.index('doc_id')}"
-    joined = own.join(marks, own[key].cast("long") == marks["doc_id"], "left").drop("doc_id")
+    key = F.col(f"c{kept.index('doc_id')}").cast("long")
+    joined = own.join(marks, _key(key, "__text") == marks["doc_id"], "left").drop("doc_id")
     schema = docs.select(*(F.col(f"`{c}`") for c in kept)).schema
     for name, kind in zip(_CUT, ("long", "long", "long", "string", "string"), strict=True):
         schema = schema.add(name, kind)

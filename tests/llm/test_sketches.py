@@ -70,3 +70,11 @@ def test_one_row_of_each_kept_id_stays(spark):
     found = sorted((r[0], r[1]) for r in result.collect())
     assert found == [(1, "a b c d e f"), (3, "g h i"), (4, None)]
     assert sorted(result.collect(), key=str) == sorted(sketches.deduplicated(df.repartition(3)).collect(), key=str)
+
+
+def test_rows_without_an_id_are_documents(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(7, text, "a"), (None, text, "a"), (None, "p q r s t u", "a"), (None, "p q r s t u", "a"), (None, "p q r s t u", "b"), (None, "", "a"), (None, None, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = sorted(((r.doc_id, r.text) for r in sketches.deduplicated(df).collect()), key=str)
+    assert found == sorted([(7, text), (None, "p q r s t u"), (None, ""), (None, None)], key=str)

@@ -66,3 +66,17 @@ def test_suffix_ranks():
     assert [text[k:] for k in order] == sorted(text[k:] for k in range(len(text)))
     _, rank = suffixes.suffix_ranks(data, 3)
     assert rank[0] == rank[15] and rank[0] == rank[7] and rank[1] != rank[8]
+
+
+def test_rows_without_an_id_hide_no_repeats(spark):
+    """Passages shared with a row without an id, by it and by others, and texts stored twice without one."""
+    rng = np.random.default_rng(11)
+    make = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    shared, other, twice = make(90), make(90), make(120)
+    docs = [(1, make(50) + shared + make(20)), (None, make(30) + shared + make(40) + other), (2, make(9) + other + make(8)),
+            (3, shared + make(60)), (None, twice), (None, twice), (None, None), (None, ""), (42, make(70))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    expected = brute(list(enumerate(t for _, t in docs)), 40)
+    rows = suffixes.without_repeats(df, 40, 8).collect()
+    found = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows]
+    assert sorted(found, key=str) == sorted([(i, *expected[k]) for k, (i, _) in enumerate(docs)], key=str)
