@@ -7,7 +7,8 @@ that each file is a valid multi-member gzip file.
 The reader checks each member (its checksum) and each record (its length, its
 end and its block digest). After a failed check it searches the next gzip magic
 or WARC version line that begins a valid record, goes on there, and logs the
-bytes between as a gap. A file is one task's work; ``FILE_RECORDS`` bounds it.
+bytes between as a gap. A file is one task's work; ``FILE_RECORDS`` and
+``FILE_BYTES`` bound it, but a file has one record at least.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from layerflow.llm.common import in_arrow, materialize, scratch_dir, stacked
 
 LEAST_BYTES = 100  # smaller payloads are never revisited
 FILE_RECORDS = 2000
+FILE_BYTES = 64 << 20  # compressed, besides the last record
 BATCH = 8 << 20
 DATE = "2024-01-01T00:00:00Z"
 
@@ -73,13 +75,22 @@ def planned(pages: DataFrame) -> DataFrame:
 
 
 def write(records: DataFrame, path: str, file_records: int = FILE_RECORDS) -> None:
-    """Write rows of ``planned`` as WARC files under ``path``."""
-    schema = pa.schema([("member", pa.binary())])
+    """Write rows of ``planned`` as WARC files under ``path``.
+
+    The sink counts rows. So a member that is longer than its share of
+    ``FILE_BYTES`` is preceded by empty rows, which are empty members in the file.
+    """
+    schema, share = pa.schema([("member", pa.binary())]), max(1, FILE_BYTES // file_records)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
-            yield stacked({"member": [gzip.compress(record(*row), 6, mtime=0) for row in rows]}, schema)
+            members = []
+            for row in rows:
+                member = gzip.compress(record(*row), 6, mtime=0)
+                members += [b""] * (len(member) // share)
+                members.append(member)
+            yield stacked({"member": members}, schema)
 
     members = in_arrow(records.select("page_id", "url", "payload", "refers_to"), run, "member binary")
     members.select(F.col("member").cast("string")).write.option("lineSep", _EMPTY.decode("latin-1")).option("encoding", "ISO-8859-1").option(
@@ -107,6 +118,7 @@ def _inflate(data: memoryview, at: int) -> tuple[bytes, int]:
 
 
 _HEAD = re.compile(rb"WARC/1\.[01]\r?\n")
+_LINE_END = re.compile(rb"\r\n")
 
 
 def parse(data: bytes | memoryview, at: int) -> tuple[dict[str, str], bytes, int]:
@@ -114,16 +126,20 @@ def parse(data: bytes | memoryview, at: int) -> tuple[dict[str, str], bytes, int
     match = _HEAD.match(data, at)
     if not match:
         raise Broken("no version line")
-    upto, fields = match.end(), {}
-    end = bytes(data[upto : upto + 65536]).find(b"\r\n\r\n")
-    if end < 0:
-        raise Broken("header has no end")
-    for line in bytes(data[upto : upto + end]).split(b"\r\n"):
+    begin, fields = match.end(), {}
+    # Line by line, so that a header may be of any length and what is none is soon left.
+    while True:
+        stop = _LINE_END.search(data, begin)
+        if not stop:
+            raise Broken("header has no end")
+        line, begin = bytes(data[begin : stop.start()]), stop.end()
+        if not line:
+            break
         name, colon, value = line.partition(b":")
         if not colon:
             raise Broken("header line without name")
         fields[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
-    begin, size = upto + end + 4, fields.get("content-length", "")
+    size = fields.get("content-length", "")
     if not size.isdigit():
         raise Broken("no content length")
     block = bytes(data[begin : begin + int(size)])

@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import random
 import uuid
 
 from layerflow.llm import warc
@@ -83,3 +84,25 @@ def test_salvage_recovers_later_records_and_logs_gaps(spark):
     rows = warc.read(spark, path, payloads=True).collect()
     assert [r.page_id for r in rows if r.gap is None] == list(range(6)) and rows[0].gap and (rows[0].start, rows[0].end) == (0, 2)
     assert bytes(rows[1].payload) == b"payload 0" * 20 and rows[1].stated_digest == rows[1].payload_digest
+
+
+def test_long_urls_are_read_back(spark):
+    rows = [(1, "data:" + "u" * 100_000, "a" * 500), (2, "u", "a" * 500), (3, "u", "b" * 500)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert got(warc.round_trip(pages)) == plain([(r[0], r[2]) for r in rows])
+    path = f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(warc.planned(pages), path)
+    assert {r.page_id: r.url for r in warc.read(spark, path).collect()} == {r[0]: r[1] for r in rows}
+
+
+def test_files_are_bound_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 100_000)
+    rows = [(k, "u", random.Random(k).randbytes(10_000 if k % 3 else 100).hex()) for k in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(warc.planned(pages).coalesce(1), path)
+    sizes = [len(f.content) for f in spark.read.format("binaryFile").load(path).collect()]
+    largest = max(len(gzip.compress(warc.record(k, u, h.encode()), 6)) for k, u, h in rows)
+    # Rows end with an empty member each.
+    assert len(sizes) > 3 and max(sizes) <= 100_000 + largest + warc.FILE_RECORDS * len(warc._EMPTY)
+    assert sorted(r.page_id for r in warc.read(spark, path).collect()) == list(range(60))
