@@ -9,8 +9,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from layerflow.session import build_session  # noqa: E402
 from layerflow.sources.tables import TableStore  # noqa: E402
 
-SMALL = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -41,13 +39,3 @@ def store(spark, tmp_path):
 def space():
     """A name prefix no other test uses."""
     return f"t{uuid.uuid4().hex[:10]}"
-
-
-def rows(df, *order):
-    """Rows as plain tuples, sorted."""
-    picked = df.select(*order) if order else df
-    return sorted([tuple(r) for r in picked.collect()], key=repr)
-
-
-def plan(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()

@@ -5,7 +5,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from layerflow.functions import hashing, masking
 from layerflow.functions.conditions import rule_condition
 

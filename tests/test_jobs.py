@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SMALL, rows
+from helpers import SMALL, rows
 from layerflow.__main__ import arguments, run
 from layerflow.config import ConfigError, chosen, expand_env, load_registry, registry_from, summary
 from layerflow.plans.layers import LayerJobs

@@ -4,7 +4,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import plan, rows
+from helpers import plan, rows
 from layerflow.operators import envelope, ranks
 from layerflow.plans import governance
 from layerflow.plans.models import REVENUE_BY_CHANNEL

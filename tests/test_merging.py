@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import plan, rows
+from helpers import plan, rows
 from layerflow.operators import history, keys, neighbors, reconcile, upsert
 from layerflow.session import materialize
 

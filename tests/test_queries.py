@@ -5,7 +5,7 @@ import decimal
 import duckdb
 import pytest
 
-from conftest import SMALL, plan
+from helpers import SMALL, plan
 from layerflow.queries import QUERIES
 from layerflow.sales.views import BASE_TABLES
 

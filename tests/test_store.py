@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 import pytest
 
-from conftest import plan, rows
+from helpers import plan, rows
 from layerflow.sources import readers, sizes
 from layerflow.sources.tables import DAY, VERSIONS, TableStore
 from layerflow.config import ConfigError, registry_from
