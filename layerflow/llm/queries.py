@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from layerflow.llm import buckets, language, mixture, repetition, sketches, suffixes, tokens, toxicity, vectors, warc
+from layerflow.llm import buckets, language, mixture, negatives, repetition, sketches, suffixes, tokens, toxicity, vectors, warc
 from layerflow.llm.common import materialize
 
 
@@ -60,6 +60,10 @@ def op10_minhash_near_dedup(spark: SparkSession, directory: str) -> DataFrame:
     return sketches.near_duplicates(_table(spark, directory, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, directory: str) -> DataFrame:
+    return negatives.mine(_table(spark, directory, "embeddings"), label=negatives.shifted_label())
+
+
 def pipeline(spark: SparkSession, directory: str) -> DataFrame:
     return corpus_pipeline.run(spark, directory)
 
@@ -67,7 +71,8 @@ def pipeline(spark: SparkSession, directory: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_toxicity, op2_repetition_rules, op3_embedding_near_dedup, op4_language_id, op5_warc_salvage, op6_suffix_array_dedup, op7_packing, op8_source_mixing, op9_token_packing, op10_minhash_near_dedup, pipeline,
+        op1_toxicity, op2_repetition_rules, op3_embedding_near_dedup, op4_language_id, op5_warc_salvage, op6_suffix_array_dedup, op7_packing, op8_source_mixing, op9_token_packing, op10_minhash_near_dedup,
+        op11_hard_negatives, pipeline,
     )
 }
 
@@ -125,4 +130,19 @@ WITH RECURSIVE t AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents)
   {_REACH.format(links="link AS (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n_shingles + y.n_shingles - c))")}
 SELECT n.doc_id, n_shingles, coalesce(component_id, n.doc_id) AS component_id, coalesce(component_id, n.doc_id) = n.doc_id AS kept
 FROM n LEFT JOIN top ON top.a = n.doc_id""",
+    "op11_hard_negatives": """
+WITH r AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (
+    SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label, list_inner_product(a.v, b.v)::BIGINT AS score
+    FROM r a JOIN r b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+  p AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE label = own
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank,
+  s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> s.own AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+QUALIFY rank <= 3""",
 }
