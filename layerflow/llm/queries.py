@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from layerflow.llm import buckets, language, mixture, negatives, repetition, sketches, suffixes, tokens, toxicity, vectors, warc
+from layerflow.llm import buckets, language, mixture, negatives, repetition, sketches, spelling, suffixes, tokens, toxicity, vectors, warc
 from layerflow.llm.common import materialize
 
 
@@ -64,6 +64,10 @@ def op11_hard_negatives(spark: SparkSession, directory: str) -> DataFrame:
     return negatives.mine(_table(spark, directory, "embeddings"), label=negatives.shifted_label())
 
 
+def op12_spelling_variants(spark: SparkSession, directory: str) -> DataFrame:
+    return spelling.variants(_table(spark, directory, "documents"))
+
+
 def pipeline(spark: SparkSession, directory: str) -> DataFrame:
     return corpus_pipeline.run(spark, directory)
 
@@ -72,7 +76,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_repetition_rules, op3_embedding_near_dedup, op4_language_id, op5_warc_salvage, op6_suffix_array_dedup, op7_packing, op8_source_mixing, op9_token_packing, op10_minhash_near_dedup,
-        op11_hard_negatives, pipeline,
+        op11_hard_negatives, op12_spelling_variants, pipeline,
     )
 }
 
@@ -145,4 +149,30 @@ SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, po
   s.vec_id AS negative_id, positive_score, s.score AS negative_score
 FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> s.own AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
 QUALIFY rank <= 3""",
+    "op12_spelling_variants": """
+WITH RECURSIVE tab AS (
+    SELECT list(c ORDER BY i) AS t
+    FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) r(i))),
+  run AS (
+    SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r FROM documents),
+  times AS (SELECT doc_id, r, count(*) AS n FROM run WHERE length(r) >= 7 GROUP BY doc_id, r),
+  byte_ AS (
+    SELECT doc_id, r, n, flatten(list_transform(string_split(doc_id || ':' || r, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [195, 128 + unicode(x) % 64] END)) AS b FROM times),
+  crc AS (
+    SELECT r, n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(b, lambda x: x::BIGINT)), lambda c, x: xor(c // 256, t[xor(c, x) % 256 + 1])), 4294967295) AS h FROM byte_, tab),
+  cut AS (SELECT CASE WHEN h % 31 = 0 THEN left(r, (h % length(r))::INT) || substring(r, (h % length(r))::INT + 2) ELSE r END AS word, n FROM crc),
+  w AS (SELECT word, sum(n)::BIGINT AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+  gap AS (SELECT word, n, i, left(word, i - 1) || substring(word, i + 1) AS g FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+  one AS (
+    SELECT DISTINCT a.word, b.word AS other, b.n FROM gap a JOIN gap b ON a.g = b.g AND a.i = b.i AND a.word <> b.word
+    UNION SELECT DISTINCT g.word, w.word, w.n FROM gap g JOIN w ON w.word = g.g
+    UNION SELECT DISTINCT w.word, g.word, g.n FROM gap g JOIN w ON w.word = g.g),
+  best AS (SELECT word, count(*) AS n_near, max(n) AS top, arg_min(other, (-n, other)) AS other FROM one GROUP BY word),
+  f AS (
+    SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN top >= 10 * w.n THEN other END AS form, CASE WHEN top >= 10 * w.n THEN top END::BIGINT AS form_n
+    FROM w LEFT JOIN best ON best.word = w.word),
+  chain(word, root, step) AS (
+    SELECT word, form, 1 FROM f WHERE form IS NOT NULL UNION ALL SELECT c.word, f.form, step + 1 FROM chain c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL),
+  top AS (SELECT word, arg_max(root, step) AS root FROM chain GROUP BY word)
+SELECT f.word, form, coalesce(root, f.word) AS root, n, n_near, form_n FROM f LEFT JOIN top ON top.word = f.word""",
 }
