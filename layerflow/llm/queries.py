@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from layerflow.llm import buckets, language, mixture, negatives, repetition, sketches, spelling, suffixes, tokens, toxicity, vectors, warc
+from layerflow.llm import buckets, language, mixture, negatives, repetition, rules, sketches, spelling, suffixes, tokens, toxicity, vectors, warc
 from layerflow.llm.common import materialize
 
 
@@ -68,6 +68,10 @@ def op12_spelling_variants(spark: SparkSession, directory: str) -> DataFrame:
     return spelling.variants(_table(spark, directory, "documents"))
 
 
+def op13_quality_rules(spark: SparkSession, directory: str) -> DataFrame:
+    return rules.predictions(_table(spark, directory, "documents"), _table(spark, directory, "labels"))
+
+
 def pipeline(spark: SparkSession, directory: str) -> DataFrame:
     return corpus_pipeline.run(spark, directory)
 
@@ -76,7 +80,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_repetition_rules, op3_embedding_near_dedup, op4_language_id, op5_warc_salvage, op6_suffix_array_dedup, op7_packing, op8_source_mixing, op9_token_packing, op10_minhash_near_dedup,
-        op11_hard_negatives, op12_spelling_variants, pipeline,
+        op11_hard_negatives, op12_spelling_variants, op13_quality_rules, pipeline,
     )
 }
 
