@@ -48,6 +48,19 @@ def letter_counts(codes: np.ndarray) -> np.ndarray:
     return np.bincount((place + row).ravel(), minlength=len(codes) * LETTERS).reshape(-1, LETTERS).astype(np.int32)
 
 
+_LETTER = np.random.Generator(np.random.PCG64(31)).integers(0, 1 << 63, LETTERS, dtype=np.uint64)
+_SLOT = np.uint64(64 - 20)
+_STEP = [np.zeros(1 << 20, bool), np.zeros(1 << 20, bool)]
+_STEP[0][_LETTER >> _SLOT] = True  # one letter more
+_STEP[1][((_LETTER[:, None] - _LETTER[None, :]) >> _SLOT)[~np.eye(LETTERS, dtype=bool)]] = True  # one more and one less
+
+
+def marks(counts: np.ndarray) -> np.ndarray:
+    """A sum over a word's letters: marks of words whose letter counts are one
+    edit apart differ by a value whose first bits ``_STEP`` has."""
+    return (counts.astype(np.uint64) * _LETTER).sum(1, dtype=np.uint64)
+
+
 @dataclass
 class Tree:
     """K-d tree. Node k parts its box at ``axis[k]``: counts up to ``cut[k]`` go
@@ -179,28 +192,33 @@ class Cell:
     """The points of one cell, of one length, and the questions to them."""
 
     def __init__(self, words: list[str], n: np.ndarray):
-        self.words, self.n = words, n
-        self.codes = _codes(words)
-        self.tree = plant(letter_counts(self.codes), LEAF)
+        counts = letter_counts(_codes(words))
+        self.tree = plant(counts, LEAF)
+        order = np.concatenate(self.tree.leaves)  # the points of a leaf lie together
+        self.words, self.n = [words[k] for k in order.tolist()], n[order]
+        self.codes, self.marks = _codes(self.words), marks(counts[order])
         self.size = np.array([len(x) for x in self.tree.leaves])
         self.start = np.concatenate([[0], np.cumsum(self.size)])[:-1]
-        self.order = np.concatenate(self.tree.leaves)
 
     def ask(self, words: list[str], n: np.ndarray) -> Iterator[pa.RecordBatch]:
         """What words of one length, this one's or one less, and points are to each other."""
         codes = _codes(words)
         equal = codes.shape[1] == self.codes.shape[1]
-        row, leaf = self.tree.meets(letter_counts(codes), 1 if equal else 0)
-        row = row[order := np.argsort(row, kind="stable")]
-        leaf = leaf[order]
+        counts = letter_counts(codes)
+        row, leaf = self.tree.meets(counts, 1 if equal else 0)
+        order = np.argsort(row, kind="stable")
+        row, leaf, mark = row[order], leaf[order], marks(counts)
         upto = np.cumsum(self.size[leaf])
         low = 0
         while low < len(row):
-            end = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + PAIRS, side="right")))
-            size = self.size[leaf[low:end]]
-            a = np.repeat(row[low:end], size)
-            within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            b = self.order[np.repeat(self.start[leaf[low:end]], size) + within]
+            before = upto[low - 1] if low else 0
+            end = max(low + 1, int(np.searchsorted(upto, before + PAIRS, side="right")))
+            size, ends = self.size[leaf[low:end]], upto[low:end] - before
+            point = np.arange(ends[-1]) + np.repeat(self.start[leaf[low:end]] - (ends - size), size)
+            # Letter counts first: few pairs are left for the order of letters.
+            step = (self.marks[point] - np.repeat(mark[row[low:end]], size)) >> _SLOT
+            likely = np.flatnonzero(_STEP[equal][step])
+            a, b = row[low + np.searchsorted(ends, likely, side="right")], point[likely]
             low = end
             hit = near(codes[a], self.codes[b])
             a, b = a[hit], b[hit]
