@@ -52,7 +52,7 @@ def run(args: argparse.Namespace):
     if args.job == "tables":
         return TableJobs(store, registry).run_tables(chosen(registry.tables, args.names), args.stages or None, args.run_id)
     if args.job == "models":
-        runs = run_models(store, chosen(registry.models, args.names, args.layers), registry, args.run_id or "models")
+        runs = run_models(store, chosen(registry.models, args.names, args.layers), registry, args.run_id)
         return [asdict(r) for r in runs]
     if args.job == "reconcile":
         return run_reconciliations(store, registry, args.names)

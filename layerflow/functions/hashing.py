@@ -63,7 +63,8 @@ def joined_hash(columns: Iterable[str], null_safe: bool = True) -> Column:
 
 
 def surrogate_key(columns: Iterable[str]) -> Column:
-    """Repeatable non-negative 64-bit key of the column texts."""
-    hashed = F.xxhash64(*[F.col(c).cast("string") for c in columns])
+    """Repeatable non-negative 64-bit key of the column texts; a NULL part counts
+    as a text of its own, so that its place is told."""
+    hashed = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit(NULL_MARK)) for c in columns])
     # The lowest long has no positive counterpart.
     return F.when(hashed == F.lit(-(2**63)), F.lit(0)).otherwise(F.abs(hashed)).cast("long")

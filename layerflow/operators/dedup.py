@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+EVENT = "_meta_event_id"
+
+
 def latest_per_key(
     df: DataFrame, keys: Sequence[str], order_by: Sequence[str], *, need_order: bool = True
 ) -> DataFrame:
@@ -28,5 +31,7 @@ def latest_per_key(
     ranking = [F.col(c).desc_nulls_last() for c in order]
     if rest:
         ranking.append(F.xxhash64(*rest).desc())
+    if EVENT in df.columns:
+        ranking.append(F.col(EVENT).desc_nulls_last())  # equal rows of different events
     window = Window.partitionBy(*[F.col(k) for k in keys]).orderBy(*ranking)
     return df.withColumn("_rank", F.row_number().over(window)).filter("_rank = 1").drop("_rank")

@@ -11,17 +11,7 @@ from pyspark.sql import functions as F
 from layerflow.operators.contract import align_to, evolve
 from layerflow.operators.dedup import latest_per_key
 from layerflow.operators.envelope import is_delete
-from layerflow.operators.neighbors import (
-    CHUNK,
-    HOT_ROWS,
-    HOT_SHARE,
-    PIECES,
-    add_neighbors,
-    cut_hot_keys,
-    find_hot_keys,
-    same_key,
-)
-from layerflow.session import materialize
+from layerflow.operators.neighbors import RANGE, add_neighbors, in_ranges, same_key
 
 DEFAULT_ORDER = ("_meta_source_ts_ms", "_meta_kafka_partition", "_meta_kafka_offset")
 
@@ -38,24 +28,16 @@ class HistoryColumns:
     operation: str = "_meta_source_operation"
     event: str = "_meta_event_id"
     sequence: tuple[str, ...] = DEFAULT_ORDER
-    hot_rows: int = HOT_ROWS
-    hot_share: float = HOT_SHARE
-    pieces: int = PIECES
 
 
-def _chain(events: DataFrame, counted: DataFrame, c: HistoryColumns, now: Column) -> DataFrame:
+def _chain(events: DataFrame, c: HistoryColumns, now: Column) -> DataFrame:
     """Version rows of events that are unique per key and start.
 
     ``_gone`` marks delete events. A repeat of the state before it opens no
-    version; a delete only ends the version it meets. The keys of ``counted``,
-    the events before they were made unique, are counted in a job of its own;
-    only if it finds hot ones are the events written and cut.
+    version; a delete only ends the version it meets.
     """
-    hot = find_hot_keys(counted, c.keys, hot_rows=c.hot_rows, hot_share=c.hot_share)
-    if hot is not None:
-        stored = materialize(events, "events")
-        events = materialize(cut_hot_keys(stored, c.keys, c.start, hot, pieces=c.pieces), "events")
-    seen = add_neighbors(events, c.keys, c.start, previous={"_prev_hash": c.content, "_prev_gone": "_gone"})
+    ranged = in_ranges(events, [*c.keys, c.start])
+    seen = add_neighbors(ranged, c.keys, c.start, previous={"_prev_hash": c.content, "_prev_gone": "_gone"})
     alive_before = F.coalesce(~F.col("_prev_gone"), F.lit(False))
     unchanged = alive_before & F.col(c.content).eqNullSafe(F.col("_prev_hash"))
     changed = seen.filter(F.when(F.col("_gone"), alive_before).otherwise(~unchanged))
@@ -87,7 +69,7 @@ def _chain(events: DataFrame, counted: DataFrame, c: HistoryColumns, now: Column
                 "_meta_closed_by_event_id": F.when(closed, F.col("_next_event")),
             }
         )
-        .drop("_gone", "_next_start", "_next_gone", "_next_event", CHUNK)
+        .drop("_gone", "_next_start", "_next_gone", "_next_event", RANGE)
     )
 
 
@@ -115,7 +97,7 @@ def build_history(events: DataFrame, c: HistoryColumns, now: Column | None = Non
     """Version table from events alone (first load)."""
     now = F.current_timestamp() if now is None else now
     marked = _prepare(events, c).withColumn("_gone", is_delete(F.col(c.operation)))
-    return _chain(_latest(marked, c), events.select(*c.keys), c, now)
+    return _chain(_latest(marked, c), c, now)
 
 
 def _as_events(versions: DataFrame, c: HistoryColumns) -> DataFrame:
@@ -162,8 +144,7 @@ def merge_history(
         & ~incoming["_gone"]
     )
     fresh = align_to(incoming.join(known, replayed, "left_anti"), stored.schema)
-    counted = touched.select(*c.keys).unionAll(events.select(*c.keys))
-    rebuilt = _chain(_latest(stored.unionByName(fresh), c), counted, c, now)
+    rebuilt = _chain(_latest(stored.unionByName(fresh), c), c, now)
     return align_to(rebuilt, schema), untouched
 
 

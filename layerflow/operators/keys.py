@@ -23,6 +23,19 @@ def add_surrogate_key(df: DataFrame, flow: FlowSpec) -> DataFrame:
     return df.withColumn(flow.surrogate_column, surrogate_key(inputs))
 
 
+def key_collisions(df: DataFrame, natural: Sequence[str], surrogate: str) -> DataFrame:
+    """Rows, different natural keys, and how many of these share their surrogate
+    with another one. Both counts are combined map-side."""
+    keys = df.groupBy(F.col(surrogate).alias("_sk"), F.struct(*natural).alias("_key")).agg(F.count(F.lit(1)).alias("_rows"))
+    per_surrogate = keys.groupBy("_sk").agg(F.sum("_rows").alias("_rows"), F.count(F.lit(1)).alias("_keys"))
+    none = F.lit(0).cast("long")
+    return per_surrogate.agg(
+        F.coalesce(F.sum("_rows"), none).alias("total_rows"),
+        F.coalesce(F.sum("_keys"), none).alias("natural_keys"),
+        F.coalesce(F.sum(F.when(F.col("_keys") > 1, F.col("_keys"))), none).alias("collisions"),
+    )
+
+
 def add_version_columns(df: DataFrame, flow: FlowSpec, at: Column | None = None) -> DataFrame:
     if not flow.is_scd2:
         return df

@@ -1,9 +1,11 @@
-"""Previous and next row of a key, also where one key holds most of the rows.
-
-``lag``/``lead`` over ``partitionBy(key)`` sorts a whole key in one task. That
-is fine for ordinary keys. Hot keys are first cut into chunks of their order
-column; windows then run per (key, chunk), and the chunk edges, a small table,
-supply the values across cuts.
+"""Previous and next row of a key, however many rows the key has.
+
+``lag``/``lead`` over ``partitionBy(key)`` sorts a whole key in one task. Here
+the rows are first put into ranges of key and order, all of about one size, so
+that a key with most of the rows lies in many of them. Windows then run per key
+and range. Only a key that ends one range and starts the next one can have
+neighbors elsewhere: there is at most one such key per range, and its edge rows,
+a table of two rows per range, supply the values across ranges.
 """
 
 from __future__ import annotations
@@ -15,15 +17,7 @@ from pyspark.sql import functions as F
 
 from layerflow.session import materialize
 
-CHUNK = "_chunk"
-COLD = -1
-
-# A key is hot above this many rows, and only if it also holds more than this
-# share of the frame: so there are never more than 1 / HOT_SHARE hot keys, which
-# bounds the broadcast list of cuts (10,000 x 255 longs, about 20 MB).
-HOT_ROWS = 1_000_000
-HOT_SHARE = 1 / 10_000
-PIECES = 256
+RANGE = "_range"
 
 
 def same_key(left: DataFrame, right: DataFrame, keys: Sequence[str], names: Sequence[str] | None = None) -> Column:
@@ -33,59 +27,22 @@ def same_key(left: DataFrame, right: DataFrame, keys: Sequence[str], names: Sequ
     return match
 
 
-def _hot_names(keys: Sequence[str]) -> list[str]:
-    return [f"_hot_{i}" for i in range(len(keys))]
-
-
-def find_hot_keys(
-    df: DataFrame, keys: Sequence[str], *, hot_rows: int = HOT_ROWS, hot_share: float = HOT_SHARE
-) -> DataFrame | None:
-    """Hot keys as a small stored frame, or None: the usual case.
+def in_ranges(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The frame, written once in ranges of ``columns``, with each row's range.
 
-    One job that reads the key columns only, counted map-side.
+    There are as many ranges as shuffle partitions, or fewer where AQE joins
+    small ones. Rows that are equal in all ``columns`` share a range.
     """
-    large = materialize(
-        df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, _hot_names(keys))])
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > hot_rows),
-        "large-keys",
-    )
-    if large.isEmpty():
-        return None
-    floor = df.count() * hot_share
-    hot = large.filter(F.col("_n") > floor).drop("_n")
-    return None if hot.isEmpty() else hot
-
-
-def _position(column: str, df: DataFrame) -> Column:
-    is_time = df.schema[column].dataType.typeName() in ("timestamp", "timestamp_ntz")
-    return F.unix_micros(F.col(column).cast("timestamp")) if is_time else F.col(column).cast("long")
+    ranged = df.repartitionByRange(*[F.col(c) for c in columns])
+    return materialize(ranged.withColumn(RANGE, F.spark_partition_id()), "ranges")
 
 
-def cut_hot_keys(
-    df: DataFrame, keys: Sequence[str], order: str, hot: DataFrame, *, pieces: int = PIECES
-) -> DataFrame:
-    """Add the chunk number: -1 for ordinary keys, else a run of ``order``.
-
-    Rows with the same key and order value always get the same chunk. The cuts
-    are quantiles of each hot key, sketched map-side. Both broadcasts are bound
-    by the number of hot keys, which ``find_hot_keys`` limits.
-    """
-    names = _hot_names(keys)
-    slim = df.select(*keys, _position(order, df).alias("_pos"))
-    cuts = materialize(
-        slim.join(F.broadcast(hot), same_key(slim, hot, keys, names), "inner")
-        .groupBy(*names)
-        .agg(F.percentile_approx("_pos", [i / pieces for i in range(1, pieces)]).alias("_cuts")),
-        "cuts",
-    )
-    wide = df.withColumn("_pos", _position(order, df))
-    passed = F.size(F.filter("_cuts", lambda cut: cut <= F.col("_pos")))
-    return (
-        wide.join(F.broadcast(cuts), same_key(wide, cuts, keys, names), "left")
-        .withColumn(CHUNK, F.when(F.col("_cuts").isNull(), F.lit(COLD)).otherwise(passed))
-        .drop("_cuts", "_pos", *names)
-    )
+def _spanning(df: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Keys that lie in more than one range: fewer than there are ranges."""
+    ends = df.groupBy(RANGE).agg(F.min(F.struct(*keys)).alias("_low"), F.max(F.struct(*keys)).alias("_high"))
+    before = F.lag("_high").over(Window.partitionBy(F.lit(0)).orderBy(RANGE))  # one row per range
+    met = ends.withColumn("_before", before).filter(F.col("_before").eqNullSafe(F.col("_low")))
+    return met.select(*[F.col(f"_low.{k}").alias(n) for k, n in zip(keys, names)]).distinct()
 
 
 def add_neighbors(
@@ -99,39 +56,32 @@ def add_neighbors(
     """Add values of the row before (``previous``) and after (``following``).
 
     Both map a new column to the column it is read from. Rows are unique per
-    key and ``order``. A frame from ``cut_hot_keys`` is windowed per chunk.
+    key and ``order``, and come from ``in_ranges`` of the keys and ``order``;
+    some may have been filtered out since.
     """
     previous, following = dict(previous or {}), dict(following or {})
-    chunked = CHUNK in df.columns
-    local = Window.partitionBy(*keys, *([CHUNK] if chunked else [])).orderBy(order)
-    near = {
-        **{new: F.lag(col).over(local) for new, col in previous.items()},
-        **{new: F.lead(col).over(local) for new, col in following.items()},
-    }
-    if not chunked:
-        return df.withColumns(near)
+    local = Window.partitionBy(*keys, RANGE).orderBy(order)
     step = df.withColumns(
         {
-            **near,
+            **{new: F.lag(col).over(local) for new, col in previous.items()},
+            **{new: F.lead(col).over(local) for new, col in following.items()},
             "_first": F.lag(F.lit(1)).over(local).isNull(),
             "_last": F.lead(F.lit(1)).over(local).isNull(),
         }
     )
     image = F.struct(*dict.fromkeys([*previous.values(), *following.values()]))
     names = [f"_edge_{i}" for i in range(len(keys))]
-    by_key = Window.partitionBy(*names).orderBy("_edge_chunk")
+    spanning = _spanning(df, keys, names)
+    by_key = Window.partitionBy(*names).orderBy("_edge_range")
     edges = (
-        df.filter(F.col(CHUNK) != COLD)
-        .groupBy(*[F.col(k).alias(a) for k, a in zip(keys, names)], F.col(CHUNK).alias("_edge_chunk"))
+        df.join(F.broadcast(spanning), same_key(df, spanning, keys, names))
+        .groupBy(*names, F.col(RANGE).alias("_edge_range"))
         .agg(F.min_by(image, order).alias("_head"), F.max_by(image, order).alias("_tail"))
-        .select(
-            *names,
-            "_edge_chunk",
-            F.lag("_tail").over(by_key).alias("_before"),
-            F.lead("_head").over(by_key).alias("_after"),
-        )
+        .select(*names, "_edge_range", F.lag("_tail").over(by_key).alias("_before"), F.lead("_head").over(by_key).alias("_after"))
+    )
+    joined = step.join(
+        F.broadcast(edges), same_key(step, edges, keys, names) & (step[RANGE] == edges["_edge_range"]), "left"
     )
-    joined = step.join(edges, same_key(step, edges, keys, names) & (step[CHUNK] == edges["_edge_chunk"]), "left")
     filled = {
         **{
             new: F.when(F.col("_first"), F.col("_before").getField(col)).otherwise(F.col(new))
@@ -142,4 +92,4 @@ def add_neighbors(
             for new, col in following.items()
         },
     }
-    return joined.withColumns(filled).drop("_first", "_last", "_before", "_after", "_edge_chunk", *names)
+    return joined.withColumns(filled).drop("_first", "_last", "_before", "_after", "_edge_range", *names)

@@ -7,16 +7,17 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PIECES = 256
+from layerflow.operators.neighbors import RANGE, in_ranges, same_key
 
 
-def cumulative_histogram(df: DataFrame, value: str, groups: Sequence[str] = (), pieces: int = PIECES) -> DataFrame:
+def cumulative_histogram(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
     """Distinct values with ``_upto``, the number of rows at or below each, and
     ``_total``; NULLs are left out.
 
     Counting per value is combined map-side, so repeated values cost nothing.
-    The distinct values are cut into at most ``pieces`` runs per group; running
-    sums are taken inside a run and shifted by the counts of the runs before.
+    The counts are put into ranges of group and value, whose number follows
+    their size; running sums are taken inside a range and shifted by the counts
+    of the group's ranges before it.
     """
     groups = list(groups)
     counts = (
@@ -24,27 +25,22 @@ def cumulative_histogram(df: DataFrame, value: str, groups: Sequence[str] = (),
         .groupBy(*groups, F.col(value).alias("_value"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    cuts = counts.groupBy(*groups).agg(
-        F.percentile_approx("_value", [i / pieces for i in range(1, pieces)]).alias("_cuts")
+    placed = in_ranges(counts, [*groups, "_value"])
+    names = [f"_of_{i}" for i in range(len(groups))]
+    per_range = placed.groupBy(*[F.col(g).alias(n) for g, n in zip(groups, names)], F.col(RANGE).alias("_in")).agg(
+        F.sum("_n").alias("_inside")
     )
-    if groups:
-        cut_counts = counts.join(cuts, groups)
-    else:
-        cut_counts = counts.withColumn("_cuts", cuts.scalar())
-    # Never NULL, so no null check of it is pushed down to the uncounted rows.
-    run = F.coalesce(F.size(F.filter("_cuts", lambda cut: cut < F.col("_value"))), F.lit(0))
-    placed = cut_counts.select(*groups, "_value", "_n", run.alias("_run"))
-    per_run = placed.groupBy(*groups, "_run").agg(F.sum("_n").alias("_in_run"))
-    # At most ``pieces`` rows per group are left here.
-    scope = [F.col(g) for g in groups] or [F.lit(0)]
-    runs = per_run.select(
-        *groups,
-        "_run",
-        (F.sum("_in_run").over(Window.partitionBy(*scope).orderBy("_run")) - F.col("_in_run")).alias("_before"),
-        F.sum("_in_run").over(Window.partitionBy(*scope)).alias("_total"),
+    # One row per group and range is left here.
+    scope = [F.col(n) for n in names] or [F.lit(0)]
+    offsets = per_range.select(
+        *names,
+        "_in",
+        (F.sum("_inside").over(Window.partitionBy(*scope).orderBy("_in")) - F.col("_inside")).alias("_before"),
+        F.sum("_inside").over(Window.partitionBy(*scope)).alias("_total"),
     )
-    inside = Window.partitionBy(*groups, "_run").orderBy("_value")
-    return placed.join(runs, [*groups, "_run"]).select(
+    inside = Window.partitionBy(*groups, RANGE).orderBy("_value")
+    of_group = same_key(placed, offsets, groups, names) & (placed[RANGE] == offsets["_in"])
+    return placed.join(offsets, of_group).select(
         *groups, "_value", (F.sum("_n").over(inside) + F.col("_before")).alias("_upto"), "_total"
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 from typing import Any
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 
 from layerflow.config import FlowSpec, ModelSpec, Registry, TableSpec
 from layerflow.operators.ranks import median
-from layerflow.session import materialize
+from layerflow.session import materialize, scratch_dir
 
 # The context columns every flow record carries, with their text.
 EMBEDDED_COLUMNS = {
@@ -158,33 +159,49 @@ def keyword_hits(assets: DataFrame, keywords: Sequence[str], fields: Sequence[st
     return counts.select(F.inline(rows))
 
 
+BUCKETS = 64  # by key hash, of the tables that a search reads in part
+
+
+def _bucketed(df: DataFrame, key: str) -> DataFrame:
+    return df.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
+
+
+def _of_buckets(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows in the buckets of the keys: a partition filter of at most ``BUCKETS`` values."""
+    wanted = [row[0] for row in _bucketed(keys.select(key), key).select("_bucket").distinct().collect()]
+    return df.filter(F.col("_bucket").isin(wanted)).drop("_bucket")
+
+
 def upstream_hops(edges: DataFrame, root: str, node: str = "asset", upstream: str = "upstream") -> DataFrame:
     """Fewest hops from ``root`` to every asset upstream of it.
 
-    Breadth first: each round is one equi-join of the last round's assets with
-    the edges, minus those seen before, so cycles end it and no depth is cut
-    off. Rounds are written to the scratch folder, which keeps the plan short.
+    Breadth first: a round joins the last round's assets with their edges and
+    drops those seen before, so cycles end it and no depth is cut off. Edges and
+    seen assets are tables partitioned by the hash of the asset, and a round
+    opens only the partitions that its assets fall in.
     """
     spark = edges.sparkSession
-    links = materialize(
-        edges.select(F.col(node).alias("_from"), F.col(upstream).alias("asset")).distinct(), "edges"
-    )
-    level = materialize(spark.range(1).select(F.lit(root).alias("asset"), F.lit(0).alias("hops")), "hops")
-    levels = [level]
-    while True:
-        seen = reduce(DataFrame.unionByName, levels)
-        step = (
-            level.select(F.col("asset").alias("_from"))
-            .join(links, "_from")
-            .select("asset")
-            .distinct()
-            .join(seen, "asset", "left_anti")
-            .withColumn("hops", F.lit(len(levels)))
-        )
-        level = materialize(step, "hops")
-        if level.isEmpty():
-            return seen
-        levels.append(level)
+    place = f"{scratch_dir(spark)}/hops-{uuid.uuid4().hex}"
+    links = edges.select(F.col(node).alias("_from"), F.col(upstream).alias("asset")).filter("_from IS NOT NULL AND asset IS NOT NULL")
+    _bucketed(links.distinct(), "_from").write.partitionBy("_bucket").parquet(f"{place}/links")
+    links = spark.read.schema("_from string, asset string, _bucket int").parquet(f"{place}/links")
+
+    def seen() -> DataFrame:
+        return spark.read.schema("asset string, hops int, _bucket int").parquet(f"{place}/seen")
+
+    def keep(df: DataFrame, hops: int) -> DataFrame:
+        row = _bucketed(df.select("asset", F.lit(hops).alias("hops")), "asset")
+        row.write.mode("append").partitionBy("hops", "_bucket").parquet(f"{place}/seen")
+        return seen().filter(F.col("hops") == hops).select("asset")
+
+    level, hops = keep(spark.range(1).select(F.lit(root).alias("asset")), 0), 0
+    while not level.isEmpty():
+        hops += 1
+        level = level.withColumnRenamed("asset", "_from")
+        found = materialize(_of_buckets(links, level, "_from").join(level, "_from").select("asset").distinct(), "found")
+        known = _of_buckets(seen().select("asset", "_bucket"), found, "asset")
+        level = keep(found.join(known, "asset", "left_anti"), hops)
+    return seen().select("asset", "hops")
 
 
 def lineage_depth(edges: DataFrame, root: str) -> DataFrame:
@@ -235,16 +252,18 @@ def asset_columns(spark: SparkSession, registry: Registry) -> DataFrame:
     return reduce(DataFrame.unionByName, [p.select(*names) for p in parts])
 
 
+def with_known_tags(current: DataFrame, known: DataFrame) -> DataFrame:
+    """Columns of assets, technical ones left out, with the tags that columns of
+    the same name had before."""
+    business = current.filter(~F.col("column_name").startswith("_"))
+    return business.join(known.select("asset", "column_name", "tags"), ["asset", "column_name"], "left")
+
+
 def refreshed_columns(written: DataFrame, asset: str, known: DataFrame) -> DataFrame:
-    """Inventory of a written table: technical columns left out, the tags of
-    columns known before carried over by name."""
-    rows = [
-        (asset, f.name, f.dataType.simpleString())
-        for f in written.schema.fields
-        if not f.name.startswith("_")
-    ]
+    """Inventory of a written table, from its schema and what was known before."""
+    rows = [(asset, f.name, f.dataType.simpleString()) for f in written.schema.fields]
     current = written.sparkSession.createDataFrame(rows, "asset string, column_name string, data_type string")
-    return current.join(known.select("asset", "column_name", "tags"), ["asset", "column_name"], "left")
+    return with_known_tags(current, known)
 
 
 EDGE_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in ("asset", "upstream", "job")])
@@ -278,6 +297,12 @@ def lineage_edges(spark: SparkSession, registry: Registry) -> DataFrame:
     return spark.createDataFrame(rows, EDGE_SCHEMA)
 
 
+def known_edges(declared: DataFrame, recorded: DataFrame) -> DataFrame:
+    """Declared edges and those of recorded lineage events, each once."""
+    seen = recorded.select(F.col("to_entity").alias("asset"), F.col("from_entity").alias("upstream"))
+    return declared.select("asset", "upstream").unionAll(seen).distinct()
+
+
 def asset_inventory(spark: SparkSession, registry: Registry) -> DataFrame:
     """One row per declared asset: description, owner, tags."""
     rows = []

@@ -16,11 +16,13 @@ from layerflow.operators.privacy import apply_masks
 from layerflow.operators.quality import annotate, metric_columns, split
 from layerflow.operators.shaping import LOG_COLUMNS, derive, final_projection, keep_where, standardize
 from layerflow.session import materialize, observed
-from layerflow.sources.readers import WORK_WINDOW, layer_window
-from layerflow.sources.tables import TableStore
+from layerflow.sources.tables import DAY, TableStore
 
 BATCH = "_meta_micro_batch_id"
 
+# Their dates are the days of the raw and the work tables.
+INGESTED, WORKED = "_meta_ingest_ts", "_meta_work_ts"
+
 # Partition column of work and quarantine tables: the run that wrote the rows.
 RUN = "_run_id"
 
@@ -117,16 +119,14 @@ class LayerRun:
 AUDIT_SCHEMA = "flow_name string, micro_batch_id bigint, target_table string, metric_name string, metric_value double"
 
 
-def write_metrics(store: TableStore, registry: Registry, run: LayerRun, step: str = "") -> None:
-    """Audit rows in long form; one small append per transition."""
+def write_metrics(store: TableStore, registry: Registry, run: LayerRun, step: str = "layer") -> None:
+    """Audit rows of a transition in long form; a repeated run replaces its own."""
     rows = [
-        (run.flow, run.run_id, run.target, f"{step}_{name}" if step else name, float(value))
+        {"flow_name": run.flow, "micro_batch_id": run.run_id, "target_table": run.target, "metric_name": name if step == "layer" else f"{step}_{name}", "metric_value": value}
         for name, value in run.metrics.items()
     ]
-    if not rows:
-        return
     name = registry.runtime.ident(f"{registry.runtime.audit_namespace}.batch_metrics")
-    store.append(store.spark.createDataFrame(rows, AUDIT_SCHEMA).coalesce(1), name)
+    store.record(rows, name, AUDIT_SCHEMA, f"{run.flow}.{run.run_id}.{step}")
 
 
 class LayerJobs:
@@ -141,7 +141,7 @@ class LayerJobs:
     def write_raw(self, decoded: DataFrame, flow: FlowSpec, batch_id: int) -> None:
         """A repeated micro-batch replaces its own partition."""
         self.store.append(
-            stamp_raw(decoded, batch_id), self.name(flow, "raw"), batch_column=BATCH,
+            stamp_raw(decoded, batch_id), self.name(flow, "raw"), partition_by=INGESTED, batch_column=BATCH, batch=batch_id,
             on_schema_change=flow.on_schema_change,
         )
 
@@ -152,11 +152,13 @@ class LayerJobs:
         """Work rows of a raw window; repeating a run id replaces its rows."""
         run_id = new_run() if run_id is None else run_id
         target = self.name(flow, "work")
-        raw = layer_window(self.store.read(self.name(flow, "raw")), from_ts, to_ts, limit) if raw is None else raw
+        raw = self.store.read_days(self.name(flow, "raw"), INGESTED, from_ts, to_ts, limit) if raw is None else raw.drop(DAY)
         work = raw_to_work(raw, flow, dimensions_of(self.store, flow, self.registry))
         watch = Observation()
         counted = stamp_run(work, run_id).observe(watch, F.count(F.lit(1)).alias("work_rows"))
-        self.store.append(counted, target, batch_column=RUN, on_schema_change=flow.on_schema_change)
+        self.store.append(
+            counted, target, partition_by=WORKED, batch_column=RUN, batch=run_id, on_schema_change=flow.on_schema_change
+        )
         run = LayerRun(flow.name, run_id, target, observed(watch, ["work_rows"]))
         if not run.metrics["work_rows"]:
             self.store.drop_batch(target, RUN, run_id)  # what an earlier try left
@@ -174,8 +176,7 @@ class LayerJobs:
         """
         run_id = new_run() if run_id is None else run_id
         target = self.name(flow, "silver")
-        if work is None:
-            work = layer_window(self.store.read(self.name(flow, "work")), from_ts, to_ts, limit, WORK_WINDOW)
+        work = self.store.read_days(self.name(flow, "work"), WORKED, from_ts, to_ts, limit) if work is None else work.drop(DAY)
         watch = Observation()
         counts = metric_columns(flow.rules, style="meta", enforce=flow.enforce)
         checked = materialize(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from layerflow.config import ModelSpec, Registry
 from layerflow.operators.quality import model_quality
+from layerflow.plans.tables import LINEAGE_SCHEMA
 from layerflow.session import materialize
 from layerflow.sources.tables import TableStore
 
@@ -72,13 +74,9 @@ def revenue_board(daily: DataFrame) -> DataFrame:
     )
 
 
-# Workload queries. ``{as_of}`` is a one-row frame holding the reporting day.
+# Workload queries; their inputs are cut to the reported days where they are read.
 CHANNEL_SCAN = """
-    SELECT channel, count(*) AS order_count, sum(total_amount) AS revenue
-    FROM {orders} WHERE order_date >= (SELECT as_of FROM {as_of}) - INTERVAL '90' DAY GROUP BY channel"""
-CHANNEL_SCAN_BY_DAY = """
-    SELECT channel, count(*) AS order_count, sum(total_amount) AS revenue
-    FROM {orders} WHERE p_date >= CAST((SELECT as_of FROM {as_of}) AS DATE) - INTERVAL '90' DAY GROUP BY channel"""
+    SELECT channel, count(*) AS order_count, sum(total_amount) AS revenue FROM {orders} GROUP BY channel"""
 
 # The theta join ON c.province IS NOT NULL pairs every KPI row with every such
 # customer only to count them. The count is one scalar, so it is taken once and
@@ -86,15 +84,13 @@ CHANNEL_SCAN_BY_DAY = """
 CROSS_LAYER = """
     SELECT business_date, channel, gross_revenue,
       count(*) * (SELECT count(customer_id) FROM {customers} WHERE province IS NOT NULL) AS customer_count
-    FROM {daily} WHERE business_date >= CAST((SELECT as_of FROM {as_of}) AS DATE) - INTERVAL '90' DAY
-    GROUP BY business_date, channel, gross_revenue"""
+    FROM {daily} GROUP BY business_date, channel, gross_revenue"""
 CROSS_LAYER_BASELINE = """
     WITH daily AS (
       SELECT CAST(o.order_date AS DATE) AS business_date, o.channel,
         sum(o.total_amount * coalesce(p.payments, 1)) AS gross_revenue
       FROM {orders} o
       LEFT JOIN (SELECT order_id, count(*) AS payments FROM {payments} GROUP BY order_id) p ON p.order_id = o.order_id
-      WHERE o.p_date >= CAST((SELECT as_of FROM {as_of}) AS DATE) - INTERVAL '90' DAY
       GROUP BY CAST(o.order_date AS DATE), o.channel)
     SELECT business_date, channel, gross_revenue,
       count(*) * (SELECT count(customer_id) FROM {customers} WHERE province IS NOT NULL) AS customer_count
@@ -151,12 +147,13 @@ def run_model(store: TableStore, model: ModelSpec, registry: Registry) -> ModelR
 
 
 def run_models(
-    store: TableStore, models: Iterable[ModelSpec], registry: Registry, batch_id: str = "models"
+    store: TableStore, models: Iterable[ModelSpec], registry: Registry, batch_id: str | None = None
 ) -> list[ModelRun]:
     """Run models in declared order, record runs, quality and lineage.
 
     A failing model leaves a FAILED row; ``on_error: fail_fast`` raises.
     """
+    batch_id = batch_id or uuid.uuid4().hex
     runs: list[ModelRun] = []
     records, edges = [], []
     failure: Exception | None = None
@@ -164,32 +161,25 @@ def run_models(
         target = registry.runtime.ident(model.table)
         try:
             run = run_model(store, model, registry)
-            edges += [(registry.runtime.ident(up), target, f"model-{model.name}", batch_id) for up in model.upstream]
+            edges += [
+                {"from_entity": registry.runtime.ident(up), "to_entity": target, "job_name": f"model-{model.name}", "batch_id": batch_id}
+                for up in model.upstream
+            ]
         except Exception as error:  # recorded below, raised when asked to
             run = ModelRun(model.name, target, "failed", error=str(error))
             failure = error
         runs.append(run)
         speed = run.rows / run.elapsed_seconds if run.elapsed_seconds else None
         records.append(
-            (batch_id, run.model, model.layer, ",".join(model.upstream), run.target, run.status,
-             run.rows, run.elapsed_seconds, speed, run.error)
+            {"batch_id": batch_id, "model": run.model, "layer": model.layer, "source": ",".join(model.upstream), "target": run.target,
+             "status": run.status, "row_count": run.rows, "elapsed_sec": run.elapsed_seconds, "rows_per_sec": speed, "error_message": run.error}
         )
         if failure is not None and registry.on_error == "fail_fast":
             break
-    audit = registry.runtime.audit_namespace
-    quality = [tuple(q.values()) for run in runs for q in run.quality]
-    _append_rows(store, registry.runtime.ident(f"{audit}.model_runs"), records, RUN_SCHEMA)
-    _append_rows(store, registry.runtime.ident(f"{audit}.model_quality"), quality, QUALITY_SCHEMA)
-    _append_rows(
-        store, registry.runtime.ident(f"{audit}.lineage_events"), edges,
-        "from_entity string, to_entity string, job_name string, batch_id string",
-    )
+    # What an earlier try of the same batch recorded is replaced.
+    quality = [q for run in runs for q in run.quality]
+    for kind, rows, schema in (("model_runs", records, RUN_SCHEMA), ("model_quality", quality, QUALITY_SCHEMA), ("lineage_events", edges, LINEAGE_SCHEMA)):
+        store.record(rows, registry.runtime.ident(f"{registry.runtime.audit_namespace}.{kind}"), schema, f"{batch_id}.models")
     if failure is not None and registry.on_error == "fail_fast":
         raise failure
     return runs
-
-
-def _append_rows(store: TableStore, name: str, rows: list, schema: str) -> None:
-    if rows:
-        df = store.spark.createDataFrame(rows, schema).coalesce(1)
-        store.append(df.withColumn("created_at", F.current_timestamp()), name)

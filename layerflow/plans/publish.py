@@ -64,7 +64,7 @@ def publish(
     Rows go from the executors to the sink, none through the driver.
     """
     started = time.time()
-    run_id = new_run_id("snapshot", job["name"], run_id)
+    run_id = run_id or new_run_id(job["name"], job.get("mode", "snapshot"))
     events = snapshot_events(snapshot_rows(spark, registry, job, from_ts, to_ts), registry, job, run_id)
     result = {
         "job": job["name"], "flow_name": job.get("flow_name"), "topic": job["event"]["topic"],

@@ -8,7 +8,6 @@ from typing import Any
 
 from layerflow.config import Registry
 from layerflow.operators.reconcile import late_matches, updated_columns
-from layerflow.plans.tables import typed_rows
 from layerflow.sources.tables import TableStore
 
 STATUS_SCHEMA = (
@@ -33,7 +32,7 @@ def reconcile(store: TableStore, job: Mapping[str, Any]) -> dict[str, Any]:
 def run_reconciliations(store: TableStore, registry: Registry, names: tuple[str, ...] = ()) -> list[dict[str, Any]]:
     jobs = [j for j in registry.reconciliations if j.get("enabled", True) and (not names or j["name"] in names)]
     results = [reconcile(store, job) for job in jobs]
-    if results:
-        table = registry.runtime.ident(f"{registry.runtime.audit_namespace}.reconciliation_metrics")
-        store.append(typed_rows(store.spark, results, STATUS_SCHEMA), table)
+    table = registry.runtime.ident(f"{registry.runtime.audit_namespace}.reconciliation_metrics")
+    for result in results:
+        store.record([result], table, STATUS_SCHEMA, f"{result['job']}.{result['ts_ms']}")
     return results

@@ -3,6 +3,6 @@ say the same."""
 
 from layerflow.queries.base import QUERIES, Query
 
-from layerflow.queries import events, govern, merging, models, quality, scans, shaping, streams  # noqa: F401, E402
+from layerflow.queries import events, govern, merging, models, quality, scans, shaping, stored, streams  # noqa: F401, E402
 
 __all__ = ["QUERIES", "Query"]

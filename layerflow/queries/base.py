@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from layerflow.config import FlowSpec
 from layerflow.operators.envelope import build_events, decode_events
 from layerflow.sales.specs import sales_registry
 from layerflow.sales.views import SalesSource, as_ansi, view_chain
+from layerflow.session import scratch_dir
+from layerflow.sources.tables import TableStore
 
 REGISTRY = sales_registry()
 
@@ -124,3 +128,16 @@ def decoded_orders(src: SalesSource, **options) -> DataFrame:
 def decoded_changes(src: SalesSource, **options) -> DataFrame:
     """Customer changes, decoded from their log likewise."""
     return decode_events(change_log(src), flow("dim_customer"), REGISTRY.runtime, at=moment(), **options)
+
+
+def apart(src) -> tuple[str, str, TableStore]:
+    """A mark for names, a folder, and a store in it that no other run uses."""
+    mark = f"d{uuid.uuid4().hex[:12]}"
+    folder = f"{scratch_dir(src.spark)}/{mark}"
+    return mark, folder, TableStore(src.spark, f"{folder}/tables")
+
+
+def counted(frames: dict[str, DataFrame], name: str) -> DataFrame:
+    """One row per frame: its name and its rows."""
+    parts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias(name), "n") for k, df in frames.items()]
+    return reduce(DataFrame.unionAll, parts)

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from layerflow.functions.hashing import surrogate_key as hashed_key
 from layerflow.operators import history, keys, reconcile, upsert
 from layerflow.plans.layers import history_of, raw_to_work
 from layerflow.queries.base import REGISTRY, decoded_changes, decoded_orders, flow, moment, query, text
@@ -32,6 +33,23 @@ def surrogate_key(src):
     )
 
 
+@query(
+    "SELECT 'order' AS of_keys, count(*) AS total_rows, count(DISTINCT order_id) AS natural_keys, CAST(0 AS BIGINT) AS collisions FROM src_order "
+    "UNION ALL SELECT 'halves', 2 * count(*), 2 * count(DISTINCT customer_id), CAST(0 AS BIGINT) FROM src_order",
+    ("src_order",),
+)
+def surrogate_collisions(src):
+    """Natural keys that share a surrogate: none of the orders, and none of keys
+    of two parts of which one is NULL, on either side."""
+    orders = keys.add_surrogate_key(src["src_order"], flow("fact_order"))
+    number, none = F.col("customer_id"), F.lit(None).cast("long")
+    halves = src["src_order"].select(F.explode(F.array(F.struct(number.alias("a"), none.alias("b")), F.struct(none.alias("a"), number.alias("b")))).alias("k"))
+    halves = halves.select("k.*").withColumn("sk", hashed_key(["a", "b"]))
+    found = (("order", keys.key_collisions(orders, ["order_id"], "order_sk")), ("halves", keys.key_collisions(halves, ["a", "b"], "sk")))
+    parts = [df.select(F.lit(name).alias("of_keys"), "total_rows", "natural_keys", "collisions") for name, df in found]
+    return parts[0].unionAll(parts[1])
+
+
 # Customers the dimension already has; the building segment arrives late.
 KNOWN = "customer_segment <> 'building'"
 

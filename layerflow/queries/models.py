@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from layerflow.operators.shaping import derive, standardize
-from layerflow.plans import models
+from layerflow.plans import governance, models, workload
 from layerflow.queries.base import flow, query
 from layerflow.sales.specs import DAILY_REVENUE_SQL, LIVE_ONLY, SUCCESS_RATIO_SQL
+from layerflow.session import scratch_dir
+from layerflow.sources.tables import TableStore
 
 _DAY = "CAST(CAST({0} AS DATE) AS STRING) AS {0}"
 
@@ -167,12 +171,28 @@ def mart_success_ratio(src):
 _AS_OF = "(SELECT max(order_date) FROM src_order)"
 
 
-def _as_of(src):
-    return src["src_order"].agg(F.max("order_date").alias("as_of"))
+# The layouts of a directory, written by the first query that asks for them.
+_WRITTEN: dict[tuple, workload.Layouts] = {}
+
+
+def _layouts(src) -> workload.Layouts:
+    """Both stored layouts of the given tables, written once per application."""
+    views = {
+        "orders": "src_order", "payments": "src_payment", "customers": "src_customer", "items": "src_order_line", "products": "src_product",
+    }
+    files = tuple(sorted(f for base in ("orders", "customer", "lineitem", "part") for f in src[base].inputFiles()))
+    mark = (src.spark.sparkContext.applicationId, files)
+    if mark not in _WRITTEN:
+        space = f"w{uuid.uuid4().hex[:12]}"
+        folder = f"{scratch_dir(src.spark)}/{space}"
+        sources = {name: src[view] for name, view in views.items()}
+        _WRITTEN[mark] = workload.write_layouts(TableStore(src.spark, f"{folder}/tables"), space, f"{folder}/baseline", sources)
+    return _WRITTEN[mark]
 
 
-def _by_day(src):
-    return src["src_order"].withColumn("p_date", F.to_date("order_date"))
+def _workload(src, name: str, layout: str):
+    case = next(c for c in workload.cases(_layouts(src)) if (c.query, c.layout) == (name, layout))
+    return _shown(case.result(case.inputs()), "business_date")
 
 
 _CHANNEL_90D = (
@@ -183,12 +203,12 @@ _CHANNEL_90D = (
 
 @query(_CHANNEL_90D, ("src_order",))
 def q_channel_90d(src):
-    return _shown(src.sql(models.CHANNEL_SCAN, orders=src["src_order"], as_of=_as_of(src)))
+    return _workload(src, "channel_scan", workload.LAYERED)
 
 
 @query(_CHANNEL_90D, ("src_order",))
 def q_channel_90d_baseline(src):
-    return _shown(src.sql(models.CHANNEL_SCAN_BY_DAY, orders=_by_day(src), as_of=_as_of(src)))
+    return _workload(src, "channel_scan", workload.BASELINE)
 
 
 _THETA = (
@@ -201,21 +221,12 @@ _THETA = (
 
 @query(_THETA, ("src_order", "src_payment", "src_customer"), (("daily", _CHANNEL),))
 def q_theta_join(src):
-    daily = src.sql(models.REVENUE_BY_CHANNEL, **_inputs(src))
-    return _shown(
-        src.sql(models.CROSS_LAYER, daily=daily, customers=src["src_customer"], as_of=_as_of(src)), "business_date"
-    )
+    return _workload(src, "cross_layer", workload.LAYERED)
 
 
 @query(_THETA, ("src_order", "src_payment", "src_customer"), (("daily", _CHANNEL),))
 def q_theta_join_baseline(src):
-    return _shown(
-        src.sql(
-            models.CROSS_LAYER_BASELINE, orders=_by_day(src), payments=src["src_payment"],
-            customers=src["src_customer"], as_of=_as_of(src),
-        ),
-        "business_date",
-    )
+    return _workload(src, "cross_layer", workload.BASELINE)
 
 
 _CATEGORY = (
@@ -226,10 +237,16 @@ _CATEGORY = (
 
 @query(_CATEGORY, ("src_order_line", "src_product"))
 def q_gold_category(src):
-    sales = models.product_sales(src["src_order_line"], src["src_product"])
-    return _shown(src.sql(models.CATEGORY_ROLLUP, product_sales=sales))
+    return _workload(src, "category_rollup", workload.LAYERED)
 
 
 @query(_CATEGORY, ("src_order_line", "src_product"))
 def q_gold_category_baseline(src):
-    return _shown(models.category_rollup_baseline(src["src_order_line"], src["src_product"]))
+    return _workload(src, "category_rollup", workload.BASELINE)
+
+
+@query()
+def scan_reduction_stored(src):
+    """Bytes that each workload query reads in both layouts, and the saving."""
+    runs = workload.measured(src.spark, workload.cases(_layouts(src)), repeats=1)
+    return governance.scan_reduction(runs).select("query", "layered_bytes", "baseline_bytes", "reduction_pct")

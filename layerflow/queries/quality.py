@@ -47,7 +47,7 @@ def dq_non_negative(src):
 )
 def dq_in_set(src):
     orders = src["src_order"].withColumn("order_status", F.upper(F.trim("order_status")))
-    return _failures(orders, "order_id", ORDER_RULES[2])
+    return _failures(orders, "order_id", next(r for r in ORDER_RULES if r["rule_id"] == "ORDER_STATUS_KNOWN"))
 
 
 @query("SELECT product_id FROM src_product WHERE unit_price < 1 OR unit_price > 1000", ("src_product",))
@@ -84,9 +84,10 @@ def dq_expr(src):
 
 
 _ORDER_ERRORS = (
-    "concat_ws(',', CASE WHEN customer_id IS NULL THEN 'ORDER_CUSTOMER_PRESENT' END, "
-    "CASE WHEN NOT total_amount > 0 THEN 'ORDER_TOTAL_POSITIVE' END, "
-    "CASE WHEN upper(trim(order_status)) NOT IN ('CREATED', 'PAID', 'SHIPPED', 'CANCELLED') THEN 'ORDER_STATUS_KNOWN' END)"
+    "concat_ws(',', CASE WHEN NOT updated_at >= order_date THEN 'ORDER_CHANGED_LATER' END, "
+    "CASE WHEN channel NOT IN ('agent', 'api', 'mobile', 'web') THEN 'ORDER_CHANNEL_KNOWN' END, "
+    "CASE WHEN upper(trim(order_status)) NOT IN ('CREATED', 'PAID', 'SHIPPED', 'CANCELLED') THEN 'ORDER_STATUS_KNOWN' END, "
+    "CASE WHEN NOT total_amount > 0 THEN 'ORDER_TOTAL_POSITIVE' END)"
 )
 
 
@@ -106,14 +107,14 @@ def dq_split_errors(src):
 
 
 _METRIC = (
-    "SELECT '{rule}' AS rule_id, 'critical' AS severity, count(*) AS total_rows, "
+    "SELECT '{rule}' AS rule_id, '{severity}' AS severity, count(*) AS total_rows, "
     "count(*) FILTER (WHERE errors = '') AS passed_rows, count(*) FILTER (WHERE errors LIKE '%{rule}%') AS failed_rows, "
     "count(*) FILTER (WHERE errors <> '') AS total_failed_rows FROM checked"
 )
 
 
 @query(
-    " UNION ALL ".join(_METRIC.format(rule=r["rule_id"]) for r in ORDER_RULES),
+    " UNION ALL ".join(_METRIC.format(rule=r["rule_id"], severity=r["severity"]) for r in ORDER_RULES),
     ("src_order",),
     (("checked", f"SELECT {_ORDER_ERRORS} AS errors FROM src_order"),),
 )

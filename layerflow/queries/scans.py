@@ -6,9 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from layerflow.plans.layers import BATCH, INGESTED
 from layerflow.queries.base import money, moment, query, text
 from layerflow.session import scratch_dir
 from layerflow.sources import readers, sizes
+from layerflow.sources.tables import TableStore
 
 
 @query(
@@ -17,8 +19,12 @@ from layerflow.sources import readers, sizes
     ("src_app_event",),
 )
 def layer_window_scan(src):
-    layer = src["src_app_event"].withColumnRenamed("ingest_ts", "_meta_ingest_ts")
-    window = readers.layer_window(layer, "2024-01-08 00:00:00", "2024-01-22 00:00:00")
+    """Two weeks of a layer kept by ingest day and batch, as jobs read it."""
+    mark = f"l{uuid.uuid4().hex[:12]}"
+    store = TableStore(src.spark, f"{scratch_dir(src.spark)}/{mark}")
+    layer = src["src_app_event"].withColumnsRenamed({"ingest_ts": INGESTED}).withColumn(BATCH, F.lit(1).cast("long"))
+    store.append(layer, f"{mark}_events", partition_by=INGESTED, batch_column=BATCH, batch=1)
+    window = store.read_days(f"{mark}_events", INGESTED, "2024-01-08 00:00:00", "2024-01-22 00:00:00")
     return window.select("event_id", F.col("_meta_ingest_ts").cast("string").alias("ingest_ts"))
 
 

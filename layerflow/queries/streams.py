@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from layerflow.plans.layers import LayerJobs
 from layerflow.plans.tables import TableJobs
 from layerflow.queries.base import change_log, order_log, query, text
+from layerflow.queries.merging import SCD2_CTES
 from layerflow.sales.specs import DOCUMENT, sales_registry
 from layerflow.session import scratch_dir
 from layerflow.sources.tables import TableStore
@@ -24,10 +25,9 @@ def _isolated(src, log):
     log.write.partitionBy("partition").parquet(f"{base}/log")
     flows = []
     for item in DOCUMENT["flows"]:
-        target = {
-            k: f"{mark}_{v}" if k.endswith("_table") else v for k, v in item["target"].items() if k != "partition_by"
-        }
-        flows.append({**item, "target": target, "foreign_keys": []})
+        target = {k: f"{mark}_{v}" if k.endswith("_table") else v for k, v in item["target"].items()}
+        keys = [{**fk, "lookup_table": f"{mark}_{fk['lookup_table']}"} for fk in item.get("foreign_keys", [])]
+        flows.append({**item, "target": target, "foreign_keys": keys})
     registry = sales_registry(
         flows=flows,
         models=[],
@@ -58,8 +58,10 @@ def stream_log_to_raw(src):
 @query(
     "SELECT 'fact_order' AS flow, 'raw' AS layer, count(*) AS n FROM src_order UNION ALL "
     "SELECT 'dim_customer', 'raw', count(*) FROM customer_changes UNION ALL "
-    "SELECT 'fact_order', 'silver', count(*) FROM src_order WHERE total_amount > 0 AND order_id % 101 <> 0",
+    "SELECT 'fact_order', 'silver', count(*) FROM src_order WHERE total_amount > 0 AND order_id % 101 <> 0 UNION ALL "
+    "SELECT 'dim_customer', 'silver', count(*) FROM linked WHERE op <> 'd' AND customer_id % 50 <> 1",
     ("src_order", "customer_changes"),
+    SCD2_CTES,
 )
 def stream_two_flows(src):
     """Two flows started at once on fresh tables, every layer."""
@@ -68,7 +70,7 @@ def stream_two_flows(src):
     specs = [registry.flows["fact_order"], registry.flows["dim_customer"]]
     FlowStreams(src.spark, registry, location).start_all(specs, style="full", once=True)
     jobs = LayerJobs(TableStore(src.spark, location), registry)
-    read = [(s, layer) for s in specs for layer in ("raw", "silver") if (s.name, layer) != ("dim_customer", "silver")]
+    read = [(s, layer) for s in specs for layer in ("raw", "silver")]
     parts = [
         jobs.store.read(jobs.name(s, layer)).agg(F.count(F.lit(1)).alias("n")).select(F.lit(s.name).alias("flow"), F.lit(layer).alias("layer"), "n")
         for s, layer in read

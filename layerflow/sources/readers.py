@@ -117,6 +117,18 @@ def backfill(df: DataFrame, column: str, from_ts: str | None, to_ts: str | None)
     )
 
 
+def kafka_options(flow: FlowSpec, connection: Mapping[str, Any]) -> dict[str, str]:
+    """Reader options of a flow's topics; a trigger may be limited in offsets."""
+    options = {
+        "kafka.bootstrap.servers": connection["bootstrap_servers"],
+        "subscribe": ",".join(flow.topics),
+        "startingOffsets": connection.get("starting_offsets", "latest"),
+        "failOnDataLoss": str(connection.get("fail_on_data_loss", False)).lower(),
+    }
+    limit = connection.get("max_offsets_per_trigger")
+    return {**options, "maxOffsetsPerTrigger": str(limit)} if limit else options
+
+
 def read_log_stream(spark: SparkSession, flow: FlowSpec, connection: Mapping[str, Any]) -> DataFrame:
     """Event log of a flow's topics as a stream.
 
@@ -124,14 +136,7 @@ def read_log_stream(spark: SparkSession, flow: FlowSpec, connection: Mapping[str
     Parquet or JSON log records and keeps the flow's topics.
     """
     if connection.get("type", "kafka") == "kafka":
-        return (
-            spark.readStream.format("kafka")
-            .option("kafka.bootstrap.servers", connection["bootstrap_servers"])
-            .option("subscribe", ",".join(flow.topics))
-            .option("startingOffsets", connection.get("starting_offsets", "latest"))
-            .option("failOnDataLoss", str(connection.get("fail_on_data_loss", False)).lower())
-            .load()
-        )
+        return spark.readStream.format("kafka").options(**kafka_options(flow, connection)).load()
     reader = spark.readStream.schema(LOG_SCHEMA).format(connection.get("format", "parquet"))
     if connection.get("max_files_per_trigger"):
         reader = reader.option("maxFilesPerTrigger", int(connection["max_files_per_trigger"]))

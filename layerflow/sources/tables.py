@@ -5,24 +5,28 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 from operator import and_
+from typing import Any
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from layerflow.operators.contract import align_to, evolve, new_columns
 from layerflow.operators.history import HistoryColumns, build_history, merge_history
-from layerflow.operators.neighbors import same_key
 from layerflow.operators.upsert import apply_images, change_images, initial_rows, update_columns
-from layerflow.session import materialize
+from layerflow.session import materialize, observed
+from layerflow.sources.day_index import DayIndex
 
 DAY = "p_date"
 VERSIONS = "table-versions"  # holds the directories of one table and nothing else
 RETIRED = "layerflow.retired"
 NO_DAY = "__HIVE_DEFAULT_PARTITION__"
+AUDIT_KEY = "_audit_key"  # partition of audit tables
+WRITERS = 8  # at once, that may add columns to one table
 WRITE_MODES = ("append", "overwrite", "merge")
 
 
@@ -31,6 +35,14 @@ def with_day(df: DataFrame, column: str | None) -> DataFrame:
     return df.withColumn(DAY, F.to_date(F.col(column))) if column and column in df.columns else df
 
 
+def typed_rows(spark: SparkSession, rows: Sequence[Mapping[str, Any]], schema: str) -> DataFrame:
+    """Rows given by name as a frame of ``schema``; names that a row lacks are null."""
+    kind = T.StructType.fromDDL(schema)
+    doubles = {f.name for f in kind if isinstance(f.dataType, T.DoubleType)}
+    data = [{n: float(v) if n in doubles and v is not None else v for n, v in row.items() if n in kind.names} for row in rows]
+    return spark.createDataFrame(data, kind).coalesce(1)
+
+
 class TableStore:
     """Parquet tables of the session catalog with keyed merges.
 
@@ -57,24 +69,23 @@ class TableStore:
     def read_optional(self, name: str) -> DataFrame | None:
         return self.read(name) if self.exists(name) else None
 
-    def read_days(self, name: str, column: str, from_ts: str | None, to_ts: str | None) -> DataFrame:
-        """Time window on the partitioning column, with the matching day filter.
+    def read_days(
+        self, name: str, column: str, from_ts: str | None = None, to_ts: str | None = None, limit: int | None = None
+    ) -> DataFrame:
+        """Half-open time window on the column whose date is the table's day.
 
-        The table's day is the date of ``column``, so the day bounds follow and
-        prune partitions before any file is opened.
+        The day bounds follow and prune partitions before any file is opened.
+        The day itself is left out; a table without days is filtered row by row.
         """
         df = self.read(name)
-        stamp = F.col(column)
-        if from_ts:
-            df = df.filter(stamp >= F.lit(from_ts).cast("timestamp"))
-        if to_ts:
-            df = df.filter(stamp < F.lit(to_ts).cast("timestamp"))
-        if DAY in df.columns:
-            if from_ts:
-                df = df.filter(F.col(DAY) >= F.to_date(F.lit(from_ts).cast("timestamp")))
-            if to_ts:
-                df = df.filter(F.col(DAY) <= F.to_date(F.lit(to_ts).cast("timestamp")))
-        return df
+        for bound, is_from in ((from_ts, True), (to_ts, False)):
+            if bound and column in df.columns:
+                at = F.lit(bound).cast("timestamp")
+                df = df.filter(F.col(column) >= at if is_from else F.col(column) < at)
+                if DAY in df.columns:
+                    df = df.filter(F.col(DAY) >= F.to_date(at) if is_from else F.col(DAY) <= F.to_date(at))
+        df = df.drop(DAY)
+        return df.limit(limit) if limit else df
 
     def partition_columns(self, name: str) -> list[str]:
         return [c.name for c in self.spark.catalog.listColumns(name) if c.isPartition]
@@ -106,11 +117,18 @@ class TableStore:
     def _evolve(self, df: DataFrame, name: str, mode: str) -> DataFrame:
         known = self.read(name).schema
         aligned, _ = evolve(df, known, mode)
-        if mode == "add_columns":
-            added = new_columns(df, known)
-            if added:
-                columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in added)
+        added = new_columns(df, known) if mode == "add_columns" else []
+        # Another writer may add some of them at the same time.
+        while added:
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in added)
+            try:
                 self.spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({columns})")
+                break
+            except AnalysisException:
+                left = new_columns(df, self.read(name).schema)
+                if len(left) == len(added):
+                    raise
+                added = left
         return align_to(aligned, self.read(name).schema)
 
     def append(
@@ -121,43 +139,90 @@ class TableStore:
         partition_by: str | None = None,
         on_schema_change: str = "add_columns",
         batch_column: str | None = None,
+        batch: int | str | None = None,
     ) -> None:
         """Append rows by column name.
 
-        With ``batch_column`` the table is partitioned by it and the frame
-        replaces the partitions it brings, so a repeated batch adds nothing.
+        With ``batch_column`` the table is partitioned by it, inside the day if
+        there is one, and the frame replaces the partitions it brings, so a
+        repeated batch adds nothing; with its value in ``batch``, what an earlier
+        try left on other days goes as well. Each such write has a staging folder
+        of its own, so writers of different batches may run at the same time.
+        Without it, run one writer per table.
         """
-        df = df if batch_column else with_day(df, partition_by)
+        df = with_day(df, partition_by)
         if not self.exists(name):
-            partitions = [batch_column] if batch_column else [DAY] if DAY in df.columns else []
+            dated = DAY in df.columns and (partition_by or not batch_column)
+            partitions = [*([DAY] if dated else []), *([batch_column] if batch_column else [])]
             try:
-                self.create(self._spread(df, [] if batch_column else partitions), name, partitions)
+                self.create(self._spread(df, [DAY] if dated and not batch_column else []), name, partitions)
                 return
             except AnalysisException as error:
                 if error.getCondition() != "TABLE_OR_VIEW_ALREADY_EXISTS":
                     raise  # else another flow was first
-        df = self._evolve(df, name, on_schema_change)
+        # Another writer may add a column between the look at the schema and the
+        # analysis of the insert, which then refuses the frame as it is.
+        for left in range(WRITERS, -1, -1):
+            try:
+                self._insert(self._evolve(df, name, on_schema_change), name, batch_column, batch)
+                return
+            except AnalysisException as error:
+                if not left or not (error.getCondition() or "").startswith("INSERT_COLUMN_ARITY_MISMATCH"):
+                    raise
+
+    def _insert(self, df: DataFrame, name: str, batch_column: str | None, batch: int | str | None) -> None:
         partitions = self.partition_columns(name)
-        if batch_column:
-            self._insert_over(df, name)
-        else:
+        if not batch_column:
+            self._forget_days(name, partitions)
             self._spread(df, partitions).write.insertInto(name, overwrite=False)
+            return
+        left = self._batch_days(name, batch_column, batch) if DAY in partitions and batch is not None else []
+        if left:
+            watch = Observation()
+            on_day = [F.count_if(F.col(DAY).eqNullSafe(F.lit(None if d == NO_DAY else d).cast("date"))) for d in left]
+            df = df.observe(watch, *[n.alias(f"d{i}") for i, n in enumerate(on_day)])
+        self._insert_over(df, name)
+        if left:
+            found = observed(watch, [f"d{i}" for i in range(len(left))])
+            self._drop_partitions(name, [{DAY: d, batch_column: batch} for i, d in enumerate(left) if not found[f"d{i}"]])
+
+    def _batch_days(self, name: str, column: str, batch: int | str) -> list[str]:
+        """Days on which the table has rows of a batch, from the catalog."""
+        value = str(batch).replace("'", "''")
+        found = self.spark.sql(f"SHOW PARTITIONS {name} PARTITION (`{column}`='{value}')").collect()
+        return [part.split("=", 1)[1] for row in found for part in row[0].split("/") if part.startswith(f"{DAY}=")]
+
+    def _drop_partitions(self, name: str, specs: Iterable[Mapping[str, Any]]) -> None:
+        for spec in specs:
+            values = ", ".join("`{}`='{}'".format(c, str(v).replace("'", "''")) for c, v in spec.items())
+            self.spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({values})")
+
+    def record(self, rows: Sequence[Mapping[str, Any]], name: str, schema: str, key: str) -> None:
+        """Keep audit rows, given by column name, under a key of what they tell of.
+
+        The table is partitioned by the key: rows of one key replace each other,
+        so a retried batch adds nothing, and writers of different keys don't meet.
+        """
+        if rows:
+            kept = typed_rows(self.spark, rows, schema).withColumn("created_at", F.current_timestamp())
+            self.append(kept.withColumn(AUDIT_KEY, F.lit(key)), name, batch_column=AUDIT_KEY)
 
     def drop_batch(self, name: str, column: str, batch: int | str) -> None:
-        """Remove the partition of a batch, where the table has it."""
-        if self.exists(name) and column in self.partition_columns(name):
-            value = str(batch).replace("'", "''")
-            self.spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION (`{column}`='{value}')")
+        """Remove the partitions of a batch, where the table has any."""
+        partitions = self.partition_columns(name) if self.exists(name) else []
+        if column in partitions:
+            days = [{DAY: d} for d in self._batch_days(name, column, batch)] if DAY in partitions else [{}]
+            self._drop_partitions(name, [{**day, column: batch} for day in days])
 
-    def _insert_over(self, df: DataFrame, name: str, mode: str = "dynamic") -> None:
-        """Replace the partitions the frame brings, or (static) all of them."""
+    def _insert_over(self, df: DataFrame, name: str) -> None:
+        """Replace the partitions the frame brings.
+
+        The session's overwrite mode is made dynamic and stays so: other threads
+        may share the session, and no write of the store relies on another mode."""
         conf, key = df.sparkSession.conf, "spark.sql.sources.partitionOverwriteMode"
-        before = conf.get(key)
-        conf.set(key, mode)
-        try:
-            df.write.insertInto(name, overwrite=True)
-        finally:
-            conf.set(key, before)
+        if conf.get(key).lower() != "dynamic":
+            conf.set(key, "dynamic")
+        df.write.insertInto(name, overwrite=True)
 
     def overwrite(self, df: DataFrame, name: str, *, partition_by: str | None = None) -> None:
         """Replace all rows; the table, its grants and its name stay. A frame
@@ -191,8 +256,11 @@ class TableStore:
     def _replace_all(self, df: DataFrame, name: str) -> None:
         df = self._evolve(df, name, "add_columns")
         partitions = self.partition_columns(name)
+        self._forget_days(name, partitions)
         if partitions:
-            self._insert_over(self._spread(df, partitions), name, "static")
+            writer = self._spread(df, partitions).write.mode("overwrite").option("partitionOverwriteMode", "static")
+            writer.partitionBy(*partitions).parquet(self._location_of(name))
+            self.spark.sql(f"MSCK REPAIR TABLE {name} SYNC PARTITIONS")
         else:
             path, left = self._version_path(name), self._location_of(name)
             df.write.parquet(path)
@@ -247,19 +315,29 @@ class TableStore:
             self.append(df, name, partition_by=partition_by, on_schema_change=on_schema_change)
 
     # -- merging -------------------------------------------------------------
-    def _touched_days(
-        self, name: str, changes: DataFrame, keys: Sequence[str], slots: Sequence[str], own: DataFrame
-    ) -> list:
-        """Days of the stored rows with a changed key, and of the changes.
+    def day_index(self, name: str) -> DayIndex:
+        return DayIndex(self.spark, name, f"{self._version_path(name).rsplit('/', 2)[0]}/day-index", DAY)
+
+    def _forget_days(self, name: str, partitions: Sequence[str], columns: Sequence[str] | None = None) -> None:
+        """Rows change other than by a merge: what is known of their days goes."""
+        if DAY in partitions:
+            self.day_index(name).forget(columns)
+
+    def _touched_days(self, name: str, changed: DataFrame, keys: Sequence[str], own: DataFrame | None) -> list:
+        """Days of the stored rows with a changed key, and of the ``own`` rows,
+        those to be written.
 
+        The days come from the table's index, which then learns the own rows.
         Only partition values reach the driver: one per day, whatever the rows.
         """
-        target = self.read(name)
-        slim = changes.select(*[F.col(s).alias(f"_c_{i}") for i, s in enumerate(slots)])
-        hit = target.select(*keys, DAY).join(
-            slim, same_key(target, slim, keys, [f"_c_{i}" for i in range(len(keys))]), "left_semi"
-        )
-        return [row[0] for row in hit.select(DAY).union(own.select(DAY)).distinct().collect()]
+        index = self.day_index(name)
+        days = index.days_of(changed, keys)
+        if own is not None:
+            days = days.union(own.select(DAY).distinct())
+        found = [row[0] for row in days.distinct().collect()]
+        if own is not None:
+            index.add(own)
+        return found
 
     def _of_days(self, df: DataFrame, days: Sequence) -> DataFrame:
         dated = [d for d in days if d is not None]
@@ -279,15 +357,13 @@ class TableStore:
         result = align_to(result, self.read(name).schema)
         left = {row[0] for row in result.select(DAY).distinct().collect()}
         self._insert_over(self._spread(result, [DAY]), name)
-        for day in set(days) - left:
-            value = NO_DAY if day is None else str(day)
-            self.spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({DAY}='{value}')")
+        self._drop_partitions(name, [{DAY: NO_DAY if day is None else day} for day in set(days) - left])
         self.spark.catalog.refreshTable(name)
 
-    def _merge_scope(self, name: str, changes: DataFrame, keys: Sequence[str]):
+    def _merge_scope(self, name: str, changes: DataFrame, keys: Sequence[str], own: DataFrame | None):
         if DAY not in self.partition_columns(name):
             return self.read(name), None
-        days = self._touched_days(name, changes, keys, keys, changes)
+        days = self._touched_days(name, changes, keys, own)
         return self._of_days(self.read(name), days), days
 
     def merge_rows(
@@ -324,11 +400,15 @@ class TableStore:
             stored = self.read(name).filter(~has_key)
             keyless = materialize(keyless.exceptAll(stored.select(*keyless.columns)), "keyless")
             if not keyless.isEmpty():
-                self.append(keyless, name)
+                partitions = self.partition_columns(name)
+                if DAY in partitions:
+                    self.day_index(name).add(keyless)
+                self._spread(align_to(keyless, self.read(name).schema), partitions).write.insertInto(name)
         slots = [f"_s_{i}" for i in range(len(keys))]
         days = None
         if DAY in self.partition_columns(name):
-            days = self._touched_days(name, images, keys, slots, images.select(f"_row.{DAY}").filter(F.col("_row").isNotNull()))
+            changed = images.select(*[F.col(s).alias(k) for s, k in zip(slots, keys)])
+            days = self._touched_days(name, changed, keys, images.filter(F.col("_row").isNotNull()).select("_row.*"))
         target = self.read(name) if days is None else self._of_days(self.read(name), days)
         self._rewrite(name, apply_images(target, images, keys, guard=guard, delete_mode=delete_mode), days)
 
@@ -348,7 +428,7 @@ class TableStore:
             self.create(self._spread(rows, [DAY] if DAY in rows.columns else []), name, [DAY] if DAY in rows.columns else [])
             return
         events = self._evolve(events, name, on_schema_change)
-        target, days = self._merge_scope(name, events, columns.keys)
+        target, days = self._merge_scope(name, events, columns.keys, events)
         rebuilt, untouched = merge_history(target, events, columns)
         self._rewrite(name, rebuilt.unionByName(untouched), days)
 
@@ -363,6 +443,7 @@ class TableStore:
         if added:
             spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in added)
             self.spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({spec})")
-        target, days = self._merge_scope(name, updates, keys)
+        self._forget_days(name, self.partition_columns(name), columns)
+        target, days = self._merge_scope(name, updates, keys, None)
         self._rewrite(name, update_columns(target, updates, keys, columns), days)
         return count

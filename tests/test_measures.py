@@ -43,6 +43,26 @@ def test_median_per_group(spark):
     assert got == want
 
 
+def test_ranks_over_many_ranges(spark):
+    """There are as many ranges as the shuffle has partitions; a NULL group is a group."""
+    changed = {"spark.sql.shuffle.partitions": "9", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in changed}
+    try:
+        for key, value in changed.items():
+            spark.conf.set(key, value)
+        data = [(None if k % 5 else "g", (k * 7919) % 1000) for k in range(1000)]
+        df = spark.createDataFrame(data, "g string, v long")
+        table = ranks.cumulative_histogram(df, "v", ["g"])
+        got = {(r.g, r._value): (r._upto, r._total) for r in table.collect()}
+        for g in (None, "g"):
+            values = sorted(v for k, v in data if k == g)
+            for v in values:
+                assert got[(g, v)] == (sum(x <= v for x in values), len(values))
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def test_envelope_round_trip_with_deletes_and_bad_text(spark):
     df = spark.createDataFrame([(1, "u", "12.50", "2024-01-01"), (2, "d", "bad", None)], "order_id long, op string, total_amount string, order_date string")
     events = envelope.build_events(

@@ -64,15 +64,30 @@ def random_events(seed, n, keys=4, days=12):
 
 
 ORDINARY = history.history_columns(["k"])
-# Every key with more than five events counts as hot and is cut in pieces.
-HOT = history.history_columns(["k"], hot_rows=5, hot_share=0.0, pieces=4)
+
+
+@pytest.fixture(params=[1, 7], ids=["one range", "seven ranges"])
+def ranges(request, spark):
+    """Runs with all rows in one range, and with keys cut into several."""
+    changed = {"spark.sql.shuffle.partitions": str(request.param), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in changed}
+    for key, value in changed.items():
+        spark.conf.set(key, value)
+    yield request.param
+    for key, value in before.items():
+        spark.conf.set(key, value)
 
 
 @pytest.mark.parametrize("seed", range(2))
-@pytest.mark.parametrize("columns", [ORDINARY, HOT], ids=["ordinary", "hot"])
-def test_history_equals_a_loop_over_the_events(spark, seed, columns):
+def test_history_equals_a_loop_over_the_events(spark, seed, ranges):
     data = random_events(seed, 60)
-    assert shown(history.build_history(events(spark, data), columns)) == brute_history(data)
+    assert shown(history.build_history(events(spark, data), ORDINARY)) == brute_history(data)
+
+
+def test_history_of_one_key_alone(spark, ranges):
+    """A single key, here the NULL one, holds every row."""
+    data = [(None, at, v, op, off) for _, at, v, op, off in random_events(7, 80, days=70)]
+    assert shown(history.build_history(events(spark, data), ORDINARY)) == brute_history(data)
 
 
 def merged_in(spark, batches, columns):
@@ -83,12 +98,11 @@ def merged_in(spark, batches, columns):
     return table
 
 
-@pytest.mark.parametrize("columns", [ORDINARY, HOT], ids=["ordinary", "hot"])
-def test_history_does_not_depend_on_batches(spark, columns):
+def test_history_does_not_depend_on_batches(spark, ranges):
     """Batches in time order, the last one twice, give the history of all events."""
     data = sorted(random_events(100, 45, days=60), key=lambda d: d[1])
     data = [(*d[:4], i) for i, d in enumerate(data)]
-    table = merged_in(spark, [data[:15], data[15:30], data[30:], data[30:]], columns)
+    table = merged_in(spark, [data[:15], data[15:30], data[30:], data[30:]], ORDINARY)
     assert shown(table) == brute_history(data)
 
 
@@ -130,22 +144,25 @@ def test_untouched_keys_are_not_rebuilt(spark):
     assert {r.k for r in rebuilt.collect()} == {2} and {r.k for r in untouched.collect()} == {1}
 
 
-def test_hot_keys_are_found_and_cut_evenly(spark):
+def test_a_key_with_most_rows_is_spread_over_ranges(spark, ranges):
     df = spark.range(1000).select(
-        F.when(F.col("id") % 3 > 0, F.lit(None).cast("int")).otherwise(F.col("id").cast("int")).alias("k"),
+        F.when(F.col("id") % 10 > 0, F.lit(None).cast("int")).otherwise(F.col("id").cast("int")).alias("k"),
         F.timestamp_seconds("id").alias("t"),
     )
-    assert neighbors.find_hot_keys(df, ["k"], hot_rows=900, hot_share=0) is None
-    hot = neighbors.find_hot_keys(df, ["k"], hot_rows=100, hot_share=0.1)
-    assert rows(hot) == [(None,)]
-    cut = neighbors.cut_hot_keys(df, ["k"], "t", hot, pieces=8)
-    sizes = {r[0]: r[1] for r in cut.groupBy(neighbors.CHUNK).count().collect()}
-    assert sizes.pop(neighbors.COLD) == 334
-    assert len(sizes) == 8 and max(sizes.values()) < 100
-    near = neighbors.add_neighbors(cut, ["k"], "t", previous={"p": "t"}, following={"n": "t"})
+    ranged = neighbors.in_ranges(df, ["k", "t"])
+    sizes = [r[0] for r in ranged.filter("k IS NULL").groupBy(neighbors.RANGE).count().select("count").collect()]
+    assert sum(sizes) == 900 and len(sizes) >= ranges - 1 and max(sizes) < 1.5 * 1000 / ranges
+    near = neighbors.add_neighbors(ranged, ["k"], "t", previous={"p": "t"}, following={"n": "t"})
     null_key = near.filter("k IS NULL")
     assert null_key.filter("p IS NULL").count() == 1 and null_key.filter("n IS NULL").count() == 1
-    assert null_key.filter("p >= t OR n <= t").count() == 0
+    want = sorted(k for k in range(1000) if k % 10)
+    assert rows(null_key.filter("p IS NOT NULL").select(F.unix_seconds("p"), F.unix_seconds("t"))) == sorted(zip(want, want[1:]), key=repr)
+    assert near.filter("k IS NOT NULL AND (p IS NOT NULL OR n IS NOT NULL)").count() == 0
+    few = ranged.filter("k IS NOT NULL OR unix_seconds(t) % 400 = 1")  # whole ranges are left empty
+    again = neighbors.add_neighbors(few, ["k"], "t", previous={"p": "t"}, following={"n": "t"}).filter("k IS NULL")
+    assert rows(again.select(F.unix_seconds("p"), F.unix_seconds("t"), F.unix_seconds("n"))) == [
+        (1, 401, 801), (401, 801, None), (None, 1, 401)
+    ]
 
 
 STATE = "k int, at int, v string, op string, off long"

@@ -1,3 +1,5 @@
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 import pytest
 
@@ -227,3 +229,52 @@ def test_history_moves_between_days(spark, store, space):
         (1, 1, 2, False, False), (1, 2, 3, False, False), (1, 3, None, True, False),
         (2, 1, 5, False, True), (3, 2, None, True, False),
     ]
+
+
+def test_writers_side_by_side_lose_nothing(spark, store, space):
+    """Three threads record batches at once, the first of them before there is a table."""
+    name = f"{space}_audit"
+    schema = "flow string, batch long, value double"
+
+    def keep(flow):
+        for batch in range(6):
+            store.record([{"flow": flow, "batch": batch, "value": batch}], name, schema, f"{flow}.{batch}")
+            if batch % 2:  # tried again
+                store.record([{"flow": flow, "batch": batch, "value": batch + 0.5}], name, schema, f"{flow}.{batch}")
+
+    with ThreadPoolExecutor(3) as pool:
+        for done in [pool.submit(keep, flow) for flow in ("a", "b", "c")]:
+            done.result()
+    want = [(f, b, b + 0.5 * (b % 2)) for f in "abc" for b in range(6)]
+    assert rows(store.read(name), "flow", "batch", "value") == sorted(want, key=repr)
+
+
+def test_writers_side_by_side_add_columns(spark, store, space):
+    name = f"{space}_wide"
+    store.record([{"k": 0}], name, "k long", "first")
+
+    def keep(letter):
+        store.record([{"k": 1, letter: 2.0, "shared": 3.0}], name, f"k long, {letter} double, shared double", letter)
+
+    with ThreadPoolExecutor(3) as pool:
+        for done in [pool.submit(keep, letter) for letter in ("x", "y", "z")]:
+            done.result()
+    assert rows(store.read(name), "x", "y", "z", "shared") == sorted(
+        [(None, None, None, None), (2.0, None, None, 3.0), (None, 2.0, None, 3.0), (None, None, 2.0, 3.0)], key=repr
+    )
+
+
+@pytest.mark.parametrize("session_mode", ["static", "dynamic"])
+def test_overwrite_mode_is_the_write_s_own(spark, store, space, session_mode):
+    """Whatever the session says, a batch replaces its own partition and an overwrite all."""
+    name, key = f"{space}_mode", "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(key)
+    spark.conf.set(key, session_mode)
+    try:
+        for batch in ("a", "b", "a"):
+            store.append(spark.range(2).withColumn("batch", F.lit(batch)), name, batch_column="batch")
+        assert store.read(name).count() == 4
+        store.overwrite(spark.range(3).withColumn("batch", F.lit("c")), name)
+        assert rows(store.read(name).select("batch").distinct()) == [("c",)]
+    finally:
+        spark.conf.set(key, before)
