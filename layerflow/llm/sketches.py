@@ -29,10 +29,9 @@ from layerflow.llm.common import (
 from layerflow.llm.components import connected
 
 WIDTH = 5  # words of a shingle
-BANDS, ROWS = 24, 5
-SAMPLES = 200  # the first BANDS * ROWS of them make the bands, all make the sketch
+ROWS = 5  # samples of a band
+SAMPLES = 200  # the first of them make the bands, all make the sketch
 SKETCH_BITS = 1024
-MARGIN = 0.13  # below the threshold, for candidates
 BLOCK = 512  # rows of a block of sketches
 TEXT_BLOCK = 256  # rows of a block of full sets
 
@@ -42,6 +41,17 @@ _SHIFT = _RANDOM.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
 _SALT = _RANDOM.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
 
 
+def bands_of(percent: int) -> int:
+    """Bands for a threshold: a pair at 85 % misses all 24 of them with a chance
+    of 8e-7, one at 80 % all 40 with 1e-7."""
+    return 24 if percent >= 85 else SAMPLES // ROWS
+
+
+def margin_of(percent: int) -> float:
+    """How far an estimate may lie below the threshold: about five standard errors."""
+    return 0.13 if percent >= 85 else 0.15
+
+
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each row, sorted within it, and their bounds."""
     data = lower_ascii(data)
@@ -103,31 +113,34 @@ _SIGNED = pa.schema(
 SIGNED = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sketch binary"
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row, end, data, bounds in chunks(batch.column(1)):
-            value, cut = shingle_sets(data, bounds)
-            n = end - row
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(value))])
-            other = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(value ^ np.uint64(0x5851F42D4C957F2D)))])
-            samples = np.stack([_samples(value[cut[k] : cut[k + 1]]) for k in range(n)])
-            band = np.zeros((n, BANDS), np.uint64)
-            for k in range(ROWS):
-                band = mixed(band + samples[:, k : BANDS * ROWS : ROWS] + np.arange(1, BANDS + 1, dtype=np.uint64))
-            sketch = odd_sketch(samples)
-            yield stacked(
-                {
-                    "doc_id": batch.column(0).slice(row, n),
-                    "n_shingles": np.diff(cut),
-                    "d1": (total[cut[1:]] - total[cut[:-1]]).view(np.int64),
-                    "d2": (other[cut[1:]] - other[cut[:-1]]).view(np.int64),
-                    "bands": pa.ListArray.from_arrays(
-                        np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32), band.view(np.int64).ravel()
-                    ),
-                    "sketch": [s.tobytes() for s in sketch],
-                },
-                _SIGNED,
-            )
+def _sign(bands: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, end, data, bounds in chunks(batch.column(1)):
+                value, cut = shingle_sets(data, bounds)
+                n = end - row
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(value))])
+                other = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(value ^ np.uint64(0x5851F42D4C957F2D)))])
+                samples = np.stack([_samples(value[cut[k] : cut[k + 1]]) for k in range(n)])
+                band = np.zeros((n, bands), np.uint64)
+                for k in range(ROWS):
+                    band = mixed(band + samples[:, k : bands * ROWS : ROWS] + np.arange(1, bands + 1, dtype=np.uint64))
+                sketch = odd_sketch(samples)
+                yield stacked(
+                    {
+                        "doc_id": batch.column(0).slice(row, n),
+                        "n_shingles": np.diff(cut),
+                        "d1": (total[cut[1:]] - total[cut[:-1]]).view(np.int64),
+                        "d2": (other[cut[1:]] - other[cut[:-1]]).view(np.int64),
+                        "bands": pa.ListArray.from_arrays(
+                            np.arange(0, n * bands + 1, bands, dtype=np.int32), band.view(np.int64).ravel()
+                        ),
+                        "sketch": [s.tobytes() for s in sketch],
+                    },
+                    _SIGNED,
+                )
+
+    return run
 
 
 def _least_label(linked: np.ndarray, name: np.ndarray) -> np.ndarray:
@@ -154,7 +167,7 @@ def _spans(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.concatenate([first, [len(key)]]))
 
 
-def _sketch_stars(threshold: float):
+def _sketch_stars(threshold: float, margin: float):
     def apply(table: pa.Table) -> Iterator[pa.RecordBatch]:
         name, size = table["doc_id"].to_numpy(), table["n_shingles"].to_numpy()
         sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(len(name), -1)
@@ -172,7 +185,7 @@ def _sketch_stars(threshold: float):
                     bits += np.bitwise_count(word[:, :, None] ^ word[:, None, :])
                 n = size[at].astype(float)
                 small = np.minimum(n[:, :, None], n[:, None, :]) >= threshold * np.maximum(n[:, :, None], n[:, None, :])
-                linked = small & (similarity(bits) >= threshold - MARGIN)
+                linked = small & (similarity(bits) >= threshold - margin)
                 yield _stars(name[at].ravel(), _least_label(linked, name[at]).ravel())
 
     return lambda: apply
@@ -240,7 +253,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     should be unique: rows of one id are all returned, with the least set class
     of that id. An empty table gives no rows.
     """
-    signed = materialize(in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _sign, SIGNED), "signed")
+    signed = materialize(in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _sign(bands_of(percent)), SIGNED), "signed")
     full = signed.where("n_shingles > 0")
     # Written, so that the join reads it through an exchange that Spark can split.
     classes = materialize(full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
@@ -252,7 +265,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     often = banded.groupBy("band").count().where("count > 1")
     crowded = block_pairs(banded.join(often, "band"), "band", "count", BLOCK).select("doc_id", "g")
     compared = crowded.join(signed.select("doc_id", "n_shingles", "sketch"), "doc_id")
-    maybe = over_groups(together(compared, "g"), "g", _sketch_stars(percent / 100), "a long, b long")
+    maybe = over_groups(together(compared, "g"), "g", _sketch_stars(percent / 100, margin_of(percent)), "a long, b long")
     groups = materialize(connected(maybe), "groups")
     sizes = groups.groupBy("component").count()
     asked = block_pairs(

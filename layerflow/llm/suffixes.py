@@ -342,10 +342,19 @@ def _remove(length: int, kept: list[str]):
     return run
 
 
-def _key(id_: str | Column, text: str) -> Column:
-    """The id, or a hash of the text of a row without one; null if it has neither."""
-    named = F.col(id_) if isinstance(id_, str) else id_
-    return F.coalesce(named, F.when(F.col(text).isNotNull(), F.xxhash64(text)))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` (id, text, ...) with ``key``: rows share one only if their texts
+    are equal. It is the id, or a hash of id and text where the id is null or has
+    different texts, and null where the text is."""
+    print_of = F.xxhash64("text")
+    several = docs.where("id IS NOT NULL AND text IS NOT NULL").groupBy("id").agg(F.min(print_of).alias("a"), F.max(print_of).alias("b"))
+    several = materialize(several.where("a <> b").select("id", F.lit(True).alias("several")), "several")
+    if several.isEmpty():
+        marked, hashed = docs, F.col("id").isNull()
+    else:
+        marked, hashed = docs.join(several, "id", "left"), F.col("id").isNull() | F.col("several")
+    key = F.when(F.col("text").isNotNull(), F.when(hashed, F.xxhash64("id", "text")).otherwise(F.col("id")))
+    return marked.withColumn("key", key).drop("several")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -355,23 +364,30 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     else, in this or another document, is removed; strings are judged on the
     input. Null texts count as empty and have no repeats, as have texts below
     ``length`` bytes. kept_text drops the parts of characters that a cut left.
-    Ids must be unique or null; a row without an id is a document of its own,
-    known by a hash of its text. Columns named like the added ones are replaced.
-    An empty table gives no rows.
+    Every row is a document, also where ids repeat or are null; rows of equal texts
+    are each other's repeats. Columns named like the added ones are replaced. An
+    empty table gives no rows.
     """
     if not 8 <= gram < length:
         raise ValueError("8 <= gram < length")
-    source = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    texts = source.where("text IS NOT NULL").select(_key("id", "text").alias("doc_id"), "text")
-    # Rows without an id share a key if their texts are equal.
-    unnamed = source.where("id IS NULL AND text IS NOT NULL").select(_key("id", "text").alias("doc_id"), "text")
-    named = source.where("id IS NOT NULL AND text IS NOT NULL").select(F.col("id").alias("doc_id"), "text")
-    found = repeated_runs(texts, length, gram, named.union(unnamed.dropDuplicates(["doc_id"])))
-    marks = found.groupBy("doc_id").agg(F.collect_list(F.struct("at", "repeats")).alias("marks"))
     kept = [c for c in docs.columns if c not in _CUT]
-    own = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(kept)), F.col("text").cast("string").alias("__text"))
-    key = F.col(f"c{kept.index('doc_id')}").cast("long")
-    joined = own.join(marks, _key(key, "__text") == marks["doc_id"], "left").drop("doc_id")
+    names = [f"c{k}" for k in range(len(kept))]
+    own = docs.select(
+        *(F.col(f"`{c}`").alias(n) for c, n in zip(kept, names, strict=True)),
+        F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"),
+    )
+    own = _keyed(own)
+    texts = own.where("key IS NOT NULL").select(F.col("key").alias("doc_id"), "text")
+    # Rows of one key have equal texts: one of them is enough where bytes are read.
+    repeated = texts.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    repeated = materialize(repeated, "repeated")
+    once = texts
+    if not repeated.isEmpty():
+        several = texts.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        once = texts.join(repeated, "doc_id", "left_anti").union(several)
+    found = repeated_runs(texts, length, gram, once)
+    marks = found.groupBy("doc_id").agg(F.collect_list(F.struct("at", "repeats")).alias("marks")).withColumnRenamed("doc_id", "key")
+    joined = own.join(marks, "key", "left").select(*names, F.col("text").alias("__text"), "marks")
     schema = docs.select(*(F.col(f"`{c}`") for c in kept)).schema
     for name, kind in zip(_CUT, ("long", "long", "long", "string", "string"), strict=True):
         schema = schema.add(name, kind)

@@ -368,12 +368,20 @@ def near_vectors(rows: DataFrame, threshold: float = LINK) -> DataFrame:
     Pairs that are found and whose cosine, in double precision, is at least
     ``threshold`` are linked. Vectors that are null, empty, zero, or hold null or
     non-finite components link with nothing, as do vectors of different
-    dimensions. Ids must be unique. Other columns are ignored; an empty table
-    gives no rows.
+    dimensions. Of several vectors of one id the least that can be linked, by its
+    components, stands for it, and each of its rows has the id's result. A row
+    without an id has no links and no component, and is kept. Other columns are
+    ignored; an empty table gives no rows.
     """
     floor = threshold - SLACK
     named = rows.select(F.col("vec_id").cast("long").alias("doc_id"), F.col("embedding").cast("array<double>").alias("v"))
-    valid = named.where("doc_id IS NOT NULL AND v IS NOT NULL AND NOT exists(v, x -> x IS NULL)")
+    finite = "forall(v, x -> x IS NOT NULL AND abs(x) < double('infinity')) AND exists(v, x -> x <> 0)"
+    usable = named.where(f"doc_id IS NOT NULL AND v IS NOT NULL AND {finite}")
+    often = materialize(usable.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    valid = usable
+    if not often.isEmpty():
+        least = usable.join(often, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("v").alias("v"))
+        valid = usable.join(often, "doc_id", "left_anti").union(least)
     clean = materialize(in_arrow(valid, _clean, "doc_id long, dim int, unit binary").withColumn("class", F.sha2("unit", 256)), "clean")
     classes = materialize(clean.groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     member = materialize(clean.select("doc_id", "class").join(classes, "class").select("doc_id", "rep", "copies"), "member")

@@ -102,19 +102,28 @@ class Broken(ValueError):
     """A check that failed."""
 
 
-def _inflate(data: memoryview, at: int) -> tuple[bytes, int]:
-    """The member that begins at ``at`` and where it ends."""
+CUT_OFF = "member is cut off"
+
+
+def _inflate(data: memoryview, at: int) -> tuple[bytes, int, str | None]:
+    """What the member that begins at ``at`` inflates to, where it ends, and what
+    is wrong with it: then it is inflated as far as it goes, and has no end."""
     stream, parts, fed = zlib.decompressobj(31), [], at
-    try:
-        while not stream.eof:
-            if fed >= len(data):
-                raise Broken("member is cut off")
-            piece = data[fed : fed + 65536]
+    while not stream.eof:
+        if fed >= len(data):
+            return b"".join(parts), fed, CUT_OFF
+        piece, before = data[fed : fed + 65536], stream.copy()
+        try:
             parts.append(stream.decompress(piece))
-            fed += len(piece)
-    except zlib.error as error:
-        raise Broken(f"member: {error}") from error
-    return b"".join(parts), fed - len(stream.unused_data)
+        except zlib.error as error:
+            try:
+                while True:  # up to the byte that breaks it
+                    parts.append(before.decompress(data[fed : fed + 1]))
+                    fed += 1
+            except zlib.error:
+                return b"".join(parts), fed, f"member: {error}"
+        fed += len(piece)
+    return b"".join(parts), fed - len(stream.unused_data), None
 
 
 _HEAD = re.compile(rb"WARC/1\.[01]\r?\n")
@@ -151,33 +160,76 @@ def parse(data: bytes | memoryview, at: int) -> tuple[dict[str, str], bytes, int
     return fields, block, begin + len(block) + 4
 
 
-def records_at(data: memoryview, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int]:
-    """What the gzip member or plain record at ``at`` holds, and where it ends."""
-    if data[at : at + 2] != b"\x1f\x8b":
-        fields, block, end = parse(data, at)
-        return [(fields, block)], end
-    inner, end = _inflate(data, at)
-    found, place = [], 0
-    while place < len(inner):
-        fields, block, place = parse(inner, place)
-        found.append((fields, block))
-    return found, end
+_LINE = re.compile(rb"WARC/1\.[01]\r?\n")
+_START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r?\n")
 
 
-_START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r?\n")
+def _inside(inner: bytes) -> Iterator[tuple[dict[str, str], bytes] | str]:
+    """Valid records of inflated bytes, and the reason of each gap between them."""
+    at = 0
+    while at < len(inner):
+        try:
+            fields, block, at = parse(inner, at)
+            yield fields, block
+            continue
+        except Broken as error:
+            reason, start = str(error), at
+        while True:
+            match = _LINE.search(inner, at + 1)
+            at = match.start() if match else len(inner)
+            if not match:
+                break
+            try:
+                parse(inner, at)
+                break
+            except Broken:
+                continue
+        yield f"{reason} (bytes {start} to {at} of the member)"
+
+
+def records_at(data: memoryview, at: int) -> tuple[list[tuple[dict[str, str], bytes] | str], int, str | None]:
+    """What the gzip member or plain record at ``at`` holds: records and reasons of
+    gaps; where it ends; and what is wrong with it, if its end is not known."""
+    if data[at : at + 2] != b"\x1f\x8b":
+        fields, block, end = parse(data, at)
+        return [(fields, block)], end, None
+    inner, end, wrong = _inflate(data, at)
+    found = list(_inside(inner))
+    if wrong and wrong != CUT_OFF:  # any byte may be another one: only a digest tells
+        found = [x if isinstance(x, str) or x[0].get("warc-block-digest", "").startswith("sha256:") else "no digest in a broken member" for x in found]
+    if not any(isinstance(x, tuple) for x in found) and (wrong or found):
+        raise Broken(wrong or found[0])
+    return found, end, wrong
 
 
 def salvage(content: bytes) -> Iterator[tuple[int, int, object]]:
-    """(start, end, records) of what is valid, (start, end, reason) of gaps, in order."""
+    """(start, end, records) of what is valid, (start, end, reason) of gaps, in order.
+
+    Records of a member that is broken or cut off are valid as far as it inflates;
+    a bad record inside a member costs its neighbours nothing.
+    """
     data, at = memoryview(content), 0
+    # Records of a broken member, which may lie in it as they are: those are no others.
+    known, known_to = set(), 0
+
+    def told(start: int, end: int, found: list) -> Iterator[tuple[int, int, object]]:
+        yield start, end, [x for x in found if isinstance(x, tuple)]
+        for reason in found:
+            if isinstance(reason, str):
+                yield start, end, reason
+
     while at < len(data):
+        start, reason = at, None
         try:
-            found, end = records_at(data, at)
-            yield at, end, found
-            at = end
-            continue
+            found, end, reason = records_at(data, at)
+            if at < known_to:
+                found = [x for x in found if isinstance(x, str) or repr(x[0]) not in known]
+            if reason is None:
+                yield from told(at, end, found)
+                at = end
+                continue
         except Broken as error:
-            reason, start = str(error), at
+            found, reason = [], str(error)
         while True:
             match = _START.search(data, at + 1)
             at = match.start() if match else len(data)
@@ -188,6 +240,11 @@ def salvage(content: bytes) -> Iterator[tuple[int, int, object]]:
                 break
             except Broken:
                 continue
+        if found:
+            known, known_to = {repr(x[0]) for x in found if isinstance(x, tuple)} | known, max(known_to, end)
+            # What a cut left of its last record is part of the gap of the member.
+            yield start, at, [x for x in found if isinstance(x, tuple)]
+            yield from ((start, at, x) for x in found[:-1] if isinstance(x, str))
         yield start, at, reason
 
 

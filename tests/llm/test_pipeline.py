@@ -2,6 +2,7 @@ import sys
 from pathlib import Path
 
 import brute
+import numpy as np
 import test_suffixes
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
@@ -50,7 +51,7 @@ def test_each_stage_against_plain_versions(spark, documents, tmp_path):
     assert set(known) == {i for i, r in scored.items() if r.lang_pred != "und" and r.score >= 0.5}
     assert all(known[i] == every[i] for i in known) and len(known) >= 0.95 * len(every)
     # Near-duplicates: the first document of each group.
-    parts = brute.near_duplicates([(i, r.text) for i, r in known.items()])
+    parts = brute.near_duplicates([(i, r.text) for i, r in known.items()], 80)
     assert set(single) == {i for i, (_, top) in parts.items() if i == top} and len(single) < len(known)
     assert all(single[i] == known[i] for i in single)
     # Repeated strings: cut on what was left.
@@ -96,3 +97,30 @@ def test_a_row_stored_twice_stays_once(spark, documents):
     assert sorted(single.collect()) == sorted(expected.collect())
     cut = {r.doc_id: r.text for r in stages["suffix_dedup"](spark, single, SMALL).collect()}
     assert cut == plain_cut([(r.doc_id, r.text) for r in expected.collect()]) and len(cut) > 5
+
+
+def test_text_of_near_copies_stays_once(spark, documents):
+    """Copies alike to 80 to 85 %: one of them stays, with the whole of the text."""
+    rng = np.random.default_rng(8)
+    letters = list("abcdefghijklmnopqrst")
+    words = lambda n: ["".join(rng.choice(letters, 5)) for _ in range(n)]
+    rows, pairs = [], []
+    for k in range(20):
+        base = words(300)
+        other = list(base)
+        for at in range(8, 8 + 40 * (6 + k % 2), 40):
+            other[at] = "changed"
+        a, b = " ".join(base), " ".join(other)
+        shared = len(brute.shingles(a) & brute.shingles(b))
+        alike = shared / (2 * 296 - shared)
+        assert 0.78 < alike < 0.86
+        pairs.append((2 * k, 2 * k + 1, alike))
+        rows += [(2 * k, a, "en", "s", len(a)), (2 * k + 1, b, "en", "s", len(b))]
+    assert sum(0.8 <= alike < 0.85 for _, _, alike in pairs) > 5
+    docs = spark.createDataFrame(rows, documents.schema)
+    stages = dict(corpus_pipeline.STAGES)
+    single = stages["near_dedup"](spark, docs, SMALL)
+    single = {r.doc_id: r.text for r in stages["suffix_dedup"](spark, single, SMALL).collect()}
+    for a, b, alike in pairs:
+        if alike >= 0.8:
+            assert b not in single and single[a] == rows[a][1]

@@ -80,3 +80,16 @@ def test_rows_without_an_id_hide_no_repeats(spark):
     rows = suffixes.without_repeats(df, 40, 8).collect()
     found = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows]
     assert sorted(found, key=str) == sorted([(i, *expected[k]) for k, (i, _) in enumerate(docs)], key=str)
+
+
+def test_one_id_with_several_texts(spark):
+    """Each row is a document; one id may have any texts, the same one twice included."""
+    rng = np.random.default_rng(12)
+    make = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    shared, whole = make(90), make(150)
+    docs = [(1, make(50) + shared), (1, shared + make(70)), (1, None), (2, whole), (2, whole), (2, make(400)), (3, make(30) + whole[20:100]), (4, make(60))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    expected = brute(list(enumerate(t for _, t in docs)), 40)
+    rows = suffixes.without_repeats(df, 40, 8).collect()
+    found = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows]
+    assert sorted(found, key=str) == sorted([(i, *expected[k]) for k, (i, _) in enumerate(docs)], key=str)

@@ -72,3 +72,12 @@ def test_recall_of_the_graph_against_brute_force():
         assert all(len(set(n[h])) == h.sum() for n, h in zip(node, hit, strict=True))
         found += int(hit.sum())
     assert exact > 400 and found >= 0.9 * exact
+
+
+def test_rows_of_one_id_and_without_one(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [1.0, 0.01]), (3, [1.0, 0.01]), (None, [1.0, 0.0]), (4, [0.0, 0.0]), (4, [1.0, 0.0]), (4, None), (5, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((tuple(r) for r in vectors.near_vectors(df).collect()), key=str)
+    # Id 1 is (0, 1), the lesser of its two; id 4 is its only vector that has a direction.
+    expected = [(1, 1, 1, True)] * 2 + [(2, 1, 1, False)] + [(3, 1, 3, True)] * 2 + [(4, 1, 3, False)] * 3 + [(5, 0, 5, True), (None, 0, None, True)]
+    assert got == sorted(expected, key=str)
