@@ -159,17 +159,19 @@ def keyword_hits(assets: DataFrame, keywords: Sequence[str], fields: Sequence[st
     return counts.select(F.inline(rows))
 
 
-BUCKETS = 64  # by key hash, of the tables that a search reads in part
+BUCKET_ROWS, MOST_BUCKETS = 1_000_000, 4096  # of the tables that a search reads in part
 
 
-def _bucketed(df: DataFrame, key: str) -> DataFrame:
-    return df.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
+def _bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    return df.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
 
 
-def _of_buckets(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Rows in the buckets of the keys: a partition filter of at most ``BUCKETS`` values."""
-    wanted = [row[0] for row in _bucketed(keys.select(key), key).select("_bucket").distinct().collect()]
-    return df.filter(F.col("_bucket").isin(wanted)).drop("_bucket")
+def _of_buckets(df: DataFrame, keys: DataFrame, key: str, buckets: int) -> DataFrame:
+    """Rows in the buckets of the keys, by a partition filter."""
+    if buckets > 1:
+        wanted = [row[0] for row in _bucketed(keys.select(key), key, buckets).select("_bucket").distinct().collect()]
+        df = df.filter(F.col("_bucket").isin(wanted))
+    return df.drop("_bucket")
 
 
 def upstream_hops(edges: DataFrame, root: str, node: str = "asset", upstream: str = "upstream") -> DataFrame:
@@ -177,29 +179,31 @@ def upstream_hops(edges: DataFrame, root: str, node: str = "asset", upstream: st
 
     Breadth first: a round joins the last round's assets with their edges and
     drops those seen before, so cycles end it and no depth is cut off. Edges and
-    seen assets are tables partitioned by the hash of the asset, and a round
-    opens only the partitions that its assets fall in.
+    seen assets are tables partitioned by the hash of the asset, one part per
+    ``BUCKET_ROWS`` edges, and a round opens only the parts its assets fall in.
     """
     spark = edges.sparkSession
     place = f"{scratch_dir(spark)}/hops-{uuid.uuid4().hex}"
     links = edges.select(F.col(node).alias("_from"), F.col(upstream).alias("asset")).filter("_from IS NOT NULL AND asset IS NOT NULL")
-    _bucketed(links.distinct(), "_from").write.partitionBy("_bucket").parquet(f"{place}/links")
+    links = materialize(links.distinct(), "edges")
+    buckets = min(MOST_BUCKETS, links.count() // BUCKET_ROWS + 1)
+    _bucketed(links, "_from", buckets).hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{place}/links")
     links = spark.read.schema("_from string, asset string, _bucket int").parquet(f"{place}/links")
 
     def seen() -> DataFrame:
         return spark.read.schema("asset string, hops int, _bucket int").parquet(f"{place}/seen")
 
     def keep(df: DataFrame, hops: int) -> DataFrame:
-        row = _bucketed(df.select("asset", F.lit(hops).alias("hops")), "asset")
-        row.write.mode("append").partitionBy("hops", "_bucket").parquet(f"{place}/seen")
+        row = _bucketed(df.select("asset", F.lit(hops).alias("hops")), "asset", buckets)
+        row.hint("rebalance", "_bucket").write.mode("append").partitionBy("hops", "_bucket").parquet(f"{place}/seen")
         return seen().filter(F.col("hops") == hops).select("asset")
 
     level, hops = keep(spark.range(1).select(F.lit(root).alias("asset")), 0), 0
     while not level.isEmpty():
         hops += 1
         level = level.withColumnRenamed("asset", "_from")
-        found = materialize(_of_buckets(links, level, "_from").join(level, "_from").select("asset").distinct(), "found")
-        known = _of_buckets(seen().select("asset", "_bucket"), found, "asset")
+        found = materialize(_of_buckets(links, level, "_from", buckets).join(level, "_from").select("asset").distinct(), "found")
+        known = _of_buckets(seen().select("asset", "_bucket"), found, "asset", buckets)
         level = keep(found.join(known, "asset", "left_anti"), hops)
     return seen().select("asset", "hops")
 

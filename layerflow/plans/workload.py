@@ -1,7 +1,7 @@
 """The workload in two stored layouts, and what its scans read.
 
-The layered one has day-partitioned silver and gold tables; the baseline has the
-source tables as plain Parquet, by day, and computes the KPIs on the fly.
+The layered one has partitioned silver and gold tables; the baseline has the source
+tables as plain Parquet, orders partitioned, and computes the KPIs on the fly.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from layerflow.sources.tables import TableStore, typed_rows
 
 LAYERED, BASELINE = "layered", "baseline"
 SOURCES = ("orders", "payments", "customers", "items", "products")
-DAYS = {"orders": "order_date", "payments": "paid_at", "items": "updated_at"}  # the baseline's partitions
+MONTH = "order_month"  # partitions of orders and of daily revenue: a day has few rows
 REPORTED = 90  # days
 
 
@@ -45,12 +45,14 @@ def write_layouts(store: TableStore, space: str, folder: str, sources: Mapping[s
     """Store silver and gold tables, and the baseline's Parquet folders."""
     newest = sources["orders"].agg(F.max("order_date")).first()[0]
     made = Layouts(store, space, folder, str(newest - timedelta(days=REPORTED)))
+    orders = sources["orders"].withColumn(MONTH, F.trunc("order_date", "MM"))
     for table in SOURCES:
-        write_day_partitioned(sources[table], f"{folder}/{table}", DAYS.get(table))
-    store.overwrite(sources["orders"], made.name("orders"), partition_by="order_date")
+        rows = orders if table == "orders" else sources[table]
+        write_day_partitioned(rows, f"{folder}/{table}", MONTH if table == "orders" else None)
+    store.overwrite(orders, made.name("orders"), partition_by=MONTH)
     store.overwrite(sources["customers"], made.name("customers"))
     daily = store.spark.sql(models.REVENUE_BY_CHANNEL, orders=sources["orders"], payments=sources["payments"])
-    store.overwrite(daily, made.name("daily_revenue"), partition_by="business_date")
+    store.overwrite(daily.withColumn(MONTH, F.trunc("business_date", "MM")), made.name("daily_revenue"), partition_by=MONTH)
     store.overwrite(models.product_sales(sources["items"], sources["products"]), made.name("product_sales"))
     return made
 
@@ -68,11 +70,15 @@ class Case:
 def cases(made: Layouts) -> list[Case]:
     store, spark = made.store, made.store.spark
 
+    since = F.lit(made.since).cast("timestamp")
+
     def recent(table: str, column: str) -> DataFrame:
-        return store.read_days(made.name(table), column, made.since)
+        """Rows since the first day reported, from the partitions of its month on."""
+        return store.read_days(made.name(table), MONTH, made.since[:8] + "01").filter(F.col(column) >= since)
 
     def baseline_orders() -> DataFrame:
-        return made.baseline("orders").filter(F.col("p_date") >= F.lit(made.since).cast("timestamp").cast("date"))
+        of_months = made.baseline("orders").filter(F.col("p_date") >= F.trunc(since, "MM"))
+        return of_months.filter(F.col("order_date") >= since)
 
     return [
         Case("channel_scan", LAYERED, lambda: {"orders": recent("orders", "order_date")}, lambda i: spark.sql(models.CHANNEL_SCAN, **i)),

@@ -35,19 +35,19 @@ _WRITES = " UNION ALL ".join(
 
 @query(_WRITES, ("src_product",))
 def store_write_modes(src):
-    """Every write mode by day, dispatched as declared: an append with a new
+    """Every write mode by the week of the last change, dispatched as declared: an append with a new
     column, an overwrite, a merge that moves rows to other days, a replacement."""
     mark, _, store = apart(src)
-    products = src["src_product"]
+    products = src["src_product"].withColumn("week", F.date_trunc("week", "updated_at"))
     even, odd = products.filter("product_id % 2 = 0"), products.filter("product_id % 2 = 1")
     graded = odd.withColumn("grade", F.col("product_id") % 7)
-    by_day = {"partition_by": "updated_at"}
+    by_day = {"partition_by": "week"}
     store.write(even, f"{mark}.append", **by_day)
     store.write(graded, f"{mark}.append", **by_day)
     for rows in (even, odd):
         store.write(rows, f"{mark}.overwrite", write_mode="overwrite", **by_day)
     moved = products.filter("product_id % 3 = 0").withColumns(
-        {"category": F.lit("moved"), "updated_at": F.col("updated_at") + F.make_dt_interval(F.lit(40))}
+        {"category": F.lit("moved"), "week": F.col("week") + F.make_dt_interval(F.lit(42))}
     )
     for rows in (products, moved, moved):
         store.write(rows, f"{mark}.merge", write_mode="merge", primary_key=["product_id"], **by_day)
@@ -196,7 +196,7 @@ def model_runs_recorded(src):
     """Declared models over stored orders, run twice in one batch: their tables,
     and one batch's records of runs, checks and lineage."""
     mark, _, store = apart(src)
-    store.overwrite(_fact(src), f"{mark}_silver.fact_order", partition_by="order_date")
+    store.overwrite(_fact(src), f"{mark}_silver.fact_order", partition_by="order_month")
 
     def own(value):
         if isinstance(value, str):
@@ -231,7 +231,8 @@ def reconciliation_recorded(src):
     known = customers.filter("customer_segment <> 'building'").select("customer_id", F.col("customer_sk"))
     facts = src["src_order"].join(known, "customer_id", "left").withColumn("customer_sk", F.coalesce("customer_sk", F.lit(-1).cast("long")))
     store.overwrite(customers, f"{mark}_silver.dim_customer")
-    store.overwrite(facts, f"{mark}_silver.fact_order", partition_by="order_date")
+    facts = facts.withColumn("order_month", F.trunc("order_date", "MM"))
+    store.overwrite(facts, f"{mark}_silver.fact_order", partition_by="order_month")
     job = {**DOCUMENT["jobs"][0], "fact_table": f"{mark}_silver.fact_order", "lookup_table": f"{mark}_silver.dim_customer"}
     registry = sales_registry(flows=[], tables=[], batch_sources=[], models=[], jobs=[job], runtime={"audit_namespace": f"{mark}_audit"})
     run_reconciliations(store, registry)

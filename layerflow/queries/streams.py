@@ -59,7 +59,7 @@ def stream_log_to_raw(src):
     "SELECT 'fact_order' AS flow, 'raw' AS layer, count(*) AS n FROM src_order UNION ALL "
     "SELECT 'dim_customer', 'raw', count(*) FROM customer_changes UNION ALL "
     "SELECT 'fact_order', 'silver', count(*) FROM src_order WHERE total_amount > 0 AND order_id % 101 <> 0 UNION ALL "
-    "SELECT 'dim_customer', 'silver', count(*) FROM linked WHERE op <> 'd' AND customer_id % 50 <> 1",
+    "SELECT 'dim_customer', 'silver', count(*) FROM linked WHERE op <> 'd' AND customer_id % 50 <> 1 AND customer_id >= 1",
     ("src_order", "customer_changes"),
     SCD2_CTES,
 )
