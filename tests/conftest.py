@@ -18,7 +18,6 @@ def spark(tmp_path_factory):
         "local[4]",
         **{
             "spark.sql.shuffle.partitions": "2",
-            "spark.sql.codegen.wholeStage": "false",
             "spark.ui.enabled": "false",
             "spark.driver.memory": "4g",
             "spark.sql.warehouse.dir": str(base / "warehouse"),

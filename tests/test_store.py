@@ -278,3 +278,63 @@ def test_overwrite_mode_is_the_write_s_own(spark, store, space, session_mode):
         assert rows(store.read(name).select("batch").distinct()) == [("c",)]
     finally:
         spark.conf.set(key, before)
+
+
+def test_merges_look_up_days_instead_of_scanning_keys(spark, store, space):
+    """The index names the days of changed keys, follows rows that move, and is
+    made anew where rows changed otherwise."""
+    name = f"{space}_facts"
+    data = [(k, f"2024-01-{1 + k % 9:02d}", f"v{k}") for k in range(60)]
+    store.merge_rows(frame(spark, data), name, ["k"], partition_by="t")
+    moved = frame(spark, [(7, "2024-02-01", "moved"), (100, "2024-01-02", "new")])
+    for _ in range(2):
+        store.merge_rows(moved, name, ["k"], partition_by="t")
+    index = store.day_index(name)
+    keys = spark.createDataFrame([(7,), (8,), (100,)], "k long")  # of another type than the table's
+    looked_up = index.days_of(keys, ["k"])
+    assert "PartitionFilters: [_bucket" in plan(looked_up).replace("PartitionFilters: [isnotnull(_bucket#", "PartitionFilters: [_bucket")
+    # Day 8 of key 7 is an entry too many: it was there before it moved.
+    assert {str(r[0]) for r in looked_up.collect()} == {"2024-01-08", "2024-01-09", "2024-01-02", "2024-02-01"}
+    expected = {k: v for k, _, v in data} | {7: "moved", 100: "new"}
+    assert rows(store.read(name), "k", "v") == sorted(expected.items(), key=repr)
+    store.append(frame(spark, [(200, "2024-03-01", "appended")]), name, partition_by="t")
+    assert not store.day_index(name).known
+    store.merge_rows(frame(spark, [(200, "2024-03-02", "later")]), name, ["k"], partition_by="t")
+    assert rows(store.read(name).filter("k = 200"), "v") == [("later",)]
+
+
+def test_index_is_folded(spark, store, space, monkeypatch):
+    monkeypatch.setattr("layerflow.sources.day_index.FOLD_AFTER", 2)
+    name = f"{space}_folded"
+    for day in range(1, 7):
+        store.merge_rows(frame(spark, [(1, f"2024-01-{day:02d}", f"v{day}"), (day, "2024-02-01", "other")][: 1 + (day > 1)]), name, ["k"], partition_by="t")
+    known = store.day_index(name).known["k"]
+    assert known["runs"] <= 2
+    assert rows(store.read(name).filter("k = 1"), "v") == [("v6",)] and store.read(name).count() == 6
+
+
+def test_windows_of_layers_prune_days(spark, store, space):
+    name = f"{space}_layer"
+    df = spark.createDataFrame([(k, f"2024-01-{1 + k % 9:02d} 12:00:00", k % 3) for k in range(90)], "k int, t string, b long")
+    df = df.withColumn("t", F.col("t").cast("timestamp"))
+    for batch in range(3):
+        store.append(df.filter(F.col("b") == batch), name, partition_by="t", batch_column="b", batch=batch)
+    window = store.read_days(name, "t", "2024-01-03 12:00:00", "2024-01-05 00:00:00")
+    text = plan(window)
+    assert "PartitionFilters: [isnotnull(p_date" in text and ">= 2024-01-03" in text and "<= 2024-01-05" in text
+    assert DAY not in window.columns and window.count() == 20
+    # A batch that is tried again on another day leaves nothing behind.
+    again = df.filter("b = 1").withColumn("t", F.col("t") + F.make_dt_interval(F.lit(30)))
+    store.append(again, name, partition_by="t", batch_column="b", batch=1)
+    assert store.read(name).count() == 90 and store.read(name).filter("b = 1 AND t < '2024-01-20'").count() == 0
+    store.drop_batch(name, "b", 2)
+    assert store.read(name).count() == 60
+
+
+def test_kafka_options_limit_a_trigger():
+    flow = registry_from({"connections": {"l": {}}, "flows": [{
+        "name": "f", "source": {"connection": "l", "topics": ["a", "b"]},
+        "target": {"raw_table": "r", "work_table": "w", "silver_table": "s"}}]}).flows["f"]
+    plain = readers.kafka_options(flow, {"bootstrap_servers": "h:1"})
+    assert plain["subscribe"] == "a,b" and "maxOffsetsPerTrigger" not in plain
+    assert readers.kafka_options(flow, {"bootstrap_servers": "h:1", "max_offsets_per_trigger": 500})["maxOffsetsPerTrigger"] == "500"
