@@ -38,6 +38,16 @@ def timed(query, spark, directory: str) -> float:
     return time.perf_counter() - started
 
 
+def machine(spark) -> float:
+    """Seconds of a fixed job that reads nothing, to compare machines by."""
+    spent = []
+    for _ in range(RUNS + 1):
+        started = time.perf_counter()
+        spark.range(100_000_000).selectExpr("sum(xxhash64(id) % 1000)").collect()
+        spent.append(time.perf_counter() - started)
+    return round(statistics.median(spent[1:]), 3)
+
+
 def main() -> None:
     directory = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 4))
@@ -76,6 +86,7 @@ def main() -> None:
                 "unit": "sec",
                 "queries": figures,
                 "rows_per_sec": rates,
+                "machine_sec": machine(spark),
                 "sf": os.path.basename(directory.rstrip("/")).removeprefix("sf"),
                 "cpus": cpus,
             }
