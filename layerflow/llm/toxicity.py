@@ -37,7 +37,7 @@ MOST_ENTRIES = 2_000_000  # of the lists that are broadcast, 16 bytes each
 MOST_POINTS = 50_000  # labelled documents for the logistic curve
 STEM = 4  # bytes
 STEM_BITS, WORD_BITS = 28, 36  # of a word's key: its stem's hash, then its own
-DISCOUNT = 3.0  # of the smaller class; the larger one's is in proportion to its size
+DISCOUNT = 4.0  # of the smaller class; the larger one's is in proportion to its size
 EXPECTED = 2.0  # times the count expected from both classes that a discount takes besides
 TRUST = 20.0  # endings that each stem is taken to have besides those counted
 UNSEEN = 0.05  # share of the common probability that unseen stems have
