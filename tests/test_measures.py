@@ -4,12 +4,14 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import plan, rows
+from helpers import SMALL, plan, rows
 from layerflow.operators import envelope, ranks
 from layerflow.plans import governance
 from layerflow.plans.models import REVENUE_BY_CHANNEL
+from layerflow.queries import QUERIES
 from layerflow.queries.base import REGISTRY, flow, moment
 from layerflow.sales.specs import sales_registry
+from layerflow.sales.views import SalesSource
 
 QUANTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 
@@ -110,6 +112,13 @@ def test_upstream_hops_are_shortest_and_stop_on_cycles(spark):
     assert rows(governance.lineage_depth(edges, "alone")) == [(0, 1)]
 
 
+def test_edges_per_asset_cover_the_edge_table(spark):
+    found = dict(rows(QUERIES["lineage_edges"].run(spark, SMALL)))
+    stored = dict(rows(SalesSource(spark, SMALL)["asset_edge"].groupBy("asset").agg(F.countDistinct("upstream"))))
+    assert len(stored) > 1000 and stored.items() <= found.items()
+    assert found["raw.orders"] > 1 and found["mart.sales_board"] == 1
+
+
 def test_declared_inventory_and_edges(spark):
     registry = sales_registry()
     columns = governance.asset_columns(spark, registry)
