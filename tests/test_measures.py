@@ -112,6 +112,21 @@ def test_upstream_hops_are_shortest_and_stop_on_cycles(spark):
     assert rows(governance.lineage_depth(edges, "alone")) == [(0, 1)]
 
 
+def test_rounds_read_the_edges_where_they_lie(spark, monkeypatch):
+    edges = spark.range(300).selectExpr("concat('n', id div 3) AS asset", "concat('n', id) AS upstream")
+    plans = []
+    kept = governance.materialize
+    monkeypatch.setattr(governance, "materialize", lambda df, label: (plans.append(plan(df)), kept(df, label))[1])
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert rows(governance.upstream_hops(edges, "n0").groupBy("hops").count()) == [(0, 1), (1, 2), (2, 6), (3, 18), (4, 54), (5, 162), (6, 57)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    rounds = [text for text in plans if "Join" in text]
+    assert rounds and all(text.count("Exchange hashpartitioning(_from") <= 1 for text in rounds)
+
+
 def test_edges_per_asset_cover_the_edge_table(spark):
     found = dict(rows(QUERIES["lineage_edges"].run(spark, SMALL)))
     stored = dict(rows(SalesSource(spark, SMALL)["asset_edge"].groupBy("asset").agg(F.countDistinct("upstream"))))
