@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from layerflow.functions.hashing import NULL_MARK
 from layerflow.operators.contract import align_to, evolve
 from layerflow.operators.dedup import latest_per_key
 from layerflow.operators.envelope import is_delete
@@ -30,13 +31,16 @@ class HistoryColumns:
     sequence: tuple[str, ...] = DEFAULT_ORDER
 
 
-def _chain(events: DataFrame, c: HistoryColumns, now: Column) -> DataFrame:
-    """Version rows of events that are unique per key and start.
+def _chain(
+    events: DataFrame, c: HistoryColumns, now: Column, within: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """Version rows of events that are unique per key and start, at least after
+    ``within``, which sees all rows of a key and start together.
 
     ``_gone`` marks delete events. A repeat of the state before it opens no
     version; a delete only ends the version it meets.
     """
-    ranged = in_ranges(events, [*c.keys, c.start])
+    ranged = in_ranges(events, [*c.keys, c.start], within)
     seen = add_neighbors(ranged, c.keys, c.start, previous={"_prev_hash": c.content, "_prev_gone": "_gone"})
     alive_before = F.coalesce(~F.col("_prev_gone"), F.lit(False))
     unchanged = alive_before & F.col(c.content).eqNullSafe(F.col("_prev_hash"))
@@ -131,20 +135,20 @@ def merge_history(
     on_key = same_key(target, changed, c.keys, names)
     touched, untouched = target.join(changed, on_key, "left_semi"), target.join(changed, on_key, "left_anti")
 
-    stored = _as_events(touched, c)
-    known = touched.select(
-        *[F.col(k).alias(n) for k, n in zip(c.keys, names)],
-        F.col(c.start).alias("_known_start"),
-        F.col(c.content).alias("_known_hash"),
-    )
-    replayed = (
-        same_key(incoming, known, c.keys, names)
-        & (incoming[c.start] == known["_known_start"])
-        & incoming[c.content].eqNullSafe(known["_known_hash"])
-        & ~incoming["_gone"]
-    )
-    fresh = align_to(incoming.join(known, replayed, "left_anti"), stored.schema)
-    rebuilt = _chain(_latest(stored.unionByName(fresh), c), c, now)
+    stored = _as_events(touched, c).withColumn("_new", F.lit(False))
+    both = stored.unionByName(align_to(incoming.withColumn("_new", F.lit(True)), stored.schema))
+
+    def settled(df: DataFrame) -> DataFrame:
+        """The latest of a key and start; an incoming repeat of what is stored goes."""
+        version = ~F.col("_new") & ~F.col("_gone")
+        at = Window.partitionBy(*c.keys, c.start)
+        content = F.coalesce(F.col(c.content).cast("string"), F.lit(NULL_MARK))
+        known = F.collect_set(F.when(version, content)).over(at)
+        repeat = F.col("_new") & ~F.col("_gone") & F.col(c.start).isNotNull() & F.array_contains("_known", content)
+        left = df.withColumn("_known", known).filter(~repeat).drop("_known", "_new")
+        return _latest(left, c)
+
+    rebuilt = _chain(both, c, now, settled)
     return align_to(rebuilt, schema), untouched
 
 

@@ -10,7 +10,7 @@ a table of two rows per range, supply the values across ranges.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,13 +27,19 @@ def same_key(left: DataFrame, right: DataFrame, keys: Sequence[str], names: Sequ
     return match
 
 
-def in_ranges(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def in_ranges(
+    df: DataFrame, columns: Sequence[str], within: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """The frame, written once in ranges of ``columns``, with each row's range.
 
+    ``within`` may thin out rows that are equal in all ``columns`` before they are
+    written: its windows over these columns need no shuffle of their own.
+
     There are as many ranges as shuffle partitions, or fewer where AQE joins
     small ones. Rows that are equal in all ``columns`` share a range.
     """
     ranged = df.repartitionByRange(*[F.col(c) for c in columns])
+    ranged = within(ranged) if within else ranged
     return materialize(ranged.withColumn(RANGE, F.spark_partition_id()), "ranges")
 
 
