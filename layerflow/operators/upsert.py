@@ -25,13 +25,49 @@ def change_images(
     sequence: Sequence[str] = (),
     guard: str | None = None,
     operation: str = "_meta_source_operation",
+    stored: bool = False,
 ) -> DataFrame:
     """One row per key: its newest live row, and whether a delete came after.
 
     Columns: ``_s_0..`` the key, ``_row`` the live row or NULL, ``_gone``, and
     the guard values ``_row_guard`` and ``_gone_guard``. A hot key is cut to
-    two candidates per map task before anything is shuffled.
+    two candidates per map task before anything is shuffled. Of changes that are
+    ``stored``, so that reading their keys is cheap, a row whose key has no other
+    row is its image as it is, and only the rest is shuffled whole.
     """
+    options = {"sequence": sequence, "guard": guard, "operation": operation}
+    names = [f"_s_{i}" for i in range(len(keys))]
+    if not stored:
+        return _ranked_images(changes, keys, **options)
+    counted = changes.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(F.count(F.lit(1)).alias("_times"))
+    repeated = materialize(counted.filter("_times > 1"), "repeated")
+    held = repeated.agg(F.sum("_times")).first()[0] or 0
+    if held == 0:
+        return _plain_images(changes, keys, guard, operation)
+    if 4 * held > changes.count():  # the joins would move more than the ranking does
+        return _ranked_images(changes, keys, **options)
+    on_key = same_key(changes, repeated, keys, names)
+    once, several = changes.join(repeated, on_key, "left_anti"), changes.join(repeated, on_key, "left_semi")
+    return _plain_images(once, keys, guard, operation).unionByName(_ranked_images(several, keys, **options))
+
+
+def _plain_images(changes: DataFrame, keys: Sequence[str], guard: str | None, operation: str) -> DataFrame:
+    """Images of changes of which no two have one key."""
+    columns = changes.columns
+    gone = is_delete(F.col(operation)) if operation in columns else F.lit(False)
+    value = F.col(guard) if guard in columns else F.lit(None).cast("timestamp")
+    return changes.select(
+        *[F.col(k).alias(f"_s_{i}") for i, k in enumerate(keys)],
+        F.when(~gone, F.struct(*columns)).alias("_row"),
+        F.when(~gone, value).alias("_row_guard"),
+        F.when(gone, value).alias("_gone_guard"),
+        gone.alias("_gone"),
+    )
+
+
+def _ranked_images(
+    changes: DataFrame, keys: Sequence[str], *, sequence: Sequence[str], guard: str | None, operation: str
+) -> DataFrame:
     columns = changes.columns
     order = [c for c in (*sequence, *DEFAULT_ORDER) if c in columns]
     gone = is_delete(F.col(operation)) if operation in columns else F.lit(False)
@@ -136,6 +172,7 @@ def upsert(
     delete_mode: str = "soft_delete",
     null_safe: bool = True,
     now: Column | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """Target after the changes: updated, inserted and deleted rows applied.
 
@@ -154,7 +191,7 @@ def upsert(
         changes = changes.filter(_present(changes, keys))
 
     images = materialize(
-        change_images(changes, keys, sequence=sequence, guard=guard, operation=operation), "images"
+        change_images(changes, keys, sequence=sequence, guard=guard, operation=operation, stored=stored), "images"
     )
     result = apply_images(target, images, keys, guard=guard, delete_mode=delete_mode, now=now)
     return result if keyless is None else result.unionByName(keyless)
@@ -168,10 +205,11 @@ def initial_rows(
     operation: str = "_meta_source_operation",
     delete_mode: str = "soft_delete",
     now: Column | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """First write: what ``upsert`` into an empty table would give."""
     now = F.current_timestamp() if now is None else now
-    images = change_images(changes, keys, sequence=sequence, operation=operation)
+    images = change_images(changes, keys, sequence=sequence, operation=operation, stored=stored)
     return _new_rows(images, changes.columns, delete_mode == "hard_delete", now)
 
 

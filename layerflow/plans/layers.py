@@ -13,7 +13,7 @@ from layerflow.config import FlowSpec, Registry
 from layerflow.operators.history import HistoryColumns
 from layerflow.operators.keys import add_surrogate_key, add_version_columns, resolve_keys
 from layerflow.operators.privacy import apply_masks
-from layerflow.operators.quality import annotate, metric_columns, split
+from layerflow.operators.quality import annotate, enforced_condition, metric_columns, split
 from layerflow.operators.shaping import LOG_COLUMNS, derive, final_projection, keep_where, standardize
 from layerflow.session import materialize, observed
 from layerflow.sources.tables import DAY, TableStore
@@ -79,7 +79,8 @@ def history_of(flow: FlowSpec) -> HistoryColumns:
 
 
 def write_silver(store: TableStore, silver: DataFrame, flow: FlowSpec, registry: Registry, run_id: int) -> None:
-    """Type-2 dimensions get a history merge, other entities an upsert. Rows that
+    """Type-2 dimensions get a history merge, other entities an upsert; the rows
+    come from files, as those of ``work_to_silver`` do. Rows that
     are only appended are kept by run, so that a repeated run replaces its own."""
     name = registry.runtime.ident(flow.table("silver"))
     sequence = [flow.sequence_column] if flow.sequence_column else []
@@ -90,7 +91,7 @@ def write_silver(store: TableStore, silver: DataFrame, flow: FlowSpec, registry:
     elif flow.entity_type in ("dimension", "fact"):
         store.merge_rows(
             silver, name, flow.merge_keys, partition_by=flow.partition_by, sequence=sequence,
-            guard=flow.sequence_column, delete_mode=flow.delete_mode, on_schema_change=flow.on_schema_change,
+            guard=flow.sequence_column, delete_mode=flow.delete_mode, on_schema_change=flow.on_schema_change, stored=True,
         )
     elif (flow.target.get("write_mode") or "append").lower() == "append":
         store.append(stamp_run(silver, run_id), name, batch_column=RUN, on_schema_change=flow.on_schema_change)
@@ -172,16 +173,18 @@ class LayerJobs:
     ) -> LayerRun:
         """Check once, write the checked rows once, then silver and quarantine.
 
-        Every count comes from the single pass that writes the checked rows.
+        Every count comes from the single pass that writes the checked rows. They
+        keep the columns of the log only where they fail, as silver has none.
         """
         run_id = new_run() if run_id is None else run_id
         target = self.name(flow, "silver")
         work = self.store.read_days(self.name(flow, "work"), WORKED, from_ts, to_ts, limit) if work is None else work.drop(DAY)
         watch = Observation()
         counts = metric_columns(flow.rules, style="meta", enforce=flow.enforce)
-        checked = materialize(
-            check_work(work, flow).observe(watch, *[c.alias(n) for n, c in counts.items()]), "checked"
-        )
+        checked = check_work(work, flow).observe(watch, *[c.alias(n) for n, c in counts.items()])
+        good = enforced_condition(flow.rules, style="meta", enforce=flow.enforce)
+        of_log = {c: F.when(~good, F.col(c)) for c in LOG_COLUMNS if c in checked.columns}
+        checked = materialize(checked.withColumns(of_log), "checked")
         found = observed(watch, counts)
         passed, failed = split(checked, flow.rules, style="meta", enforce=flow.enforce)
         if found["failed_rows"]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from layerflow.functions.hashing import surrogate_key as hashed_key
 from layerflow.operators import history, keys, reconcile, upsert
+from layerflow.operators.shaping import LOG_COLUMNS
 from layerflow.plans.layers import history_of, raw_to_work
 from layerflow.queries.base import REGISTRY, decoded_changes, decoded_orders, flow, moment, query, text
 from layerflow.session import materialize, scratch_dir
@@ -15,8 +16,9 @@ from layerflow.sources.tables import TableStore
 
 
 def stored_changes(src, **options):
-    """Decoded changes, written once: merges read them batch by batch."""
-    return materialize(decoded_changes(src, **options), "changes")
+    """Decoded changes, written once: merges read them batch by batch. Like silver
+    they don't keep the text of the log."""
+    return materialize(decoded_changes(src, **options).drop(*LOG_COLUMNS), "changes")
 
 
 @query(
@@ -119,7 +121,7 @@ BATCHES = (
 def _upserted(src, delete_mode: str):
     changes = stored_changes(src)
     parts = [changes.filter(batch) for batch in BATCHES]
-    options = {"sequence": ["updated_at"], "delete_mode": delete_mode}
+    options = {"sequence": ["updated_at"], "delete_mode": delete_mode, "stored": True}
     target = upsert.initial_rows(parts[0], ["customer_id"], **options)
     for part in parts[1:]:
         target = upsert.upsert(

@@ -13,7 +13,7 @@ from layerflow.plans.tables import TableJobs
 from layerflow.queries.base import change_log, order_log, query, text
 from layerflow.queries.merging import SCD2_CTES
 from layerflow.sales.specs import DOCUMENT, sales_registry
-from layerflow.session import scratch_dir
+from layerflow.session import CODEC, scratch_dir
 from layerflow.sources.tables import TableStore
 from layerflow.streaming.flows import FlowStreams
 
@@ -22,7 +22,7 @@ def _isolated(src, log):
     """A registry whose tables and log live apart from every other run."""
     mark = f"s{uuid.uuid4().hex[:12]}"
     base = f"{scratch_dir(src.spark)}/{mark}"
-    log.write.partitionBy("partition").parquet(f"{base}/log")
+    log.write.option("compression", CODEC).partitionBy("partition").parquet(f"{base}/log")
     flows = []
     for item in DOCUMENT["flows"]:
         target = {k: f"{mark}_{v}" if k.endswith("_table") else v for k, v in item["target"].items()}

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from layerflow.session import CODEC
+
 
 def table_bytes(df: DataFrame) -> DataFrame:
     """Files and bytes behind a file-based scan, after partition pruning.
@@ -56,4 +58,4 @@ def write_day_partitioned(df: DataFrame, path: str, column: str | None) -> None:
         writer = dated.write.partitionBy("p_date")
     else:
         writer = df.write
-    writer.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
+    writer.mode("overwrite").option("partitionOverwriteMode", "static").option("compression", CODEC).parquet(path)

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from layerflow.operators.contract import align_to, evolve, new_columns
 from layerflow.operators.history import HistoryColumns, build_history, merge_history
 from layerflow.operators.upsert import apply_images, change_images, initial_rows, update_columns
-from layerflow.session import materialize, observed
+from layerflow.session import CODEC, materialize, observed
 from layerflow.sources.day_index import DayIndex
 
 DAY = "p_date"
@@ -101,7 +101,7 @@ class TableStore:
 
     def create(self, df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> None:
         self._ensure_namespace(name)
-        writer = df.write.format("parquet").option("path", self._version_path(name))
+        writer = df.write.format("parquet").option("compression", CODEC).option("path", self._version_path(name))
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.saveAsTable(name)
@@ -243,13 +243,13 @@ class TableStore:
         partitions = [DAY] if DAY in df.columns else []
         self._ensure_namespace(name)
         path, fresh = self._version_path(name), f"{name}__{uuid.uuid4().hex}"
-        writer = self._spread(df, partitions).write.format("parquet")
+        writer = self._spread(df, partitions).write.format("parquet").option("compression", CODEC)
         (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
         self.spark.catalog.createTable(fresh, path=path, source="parquet")
         if partitions:
             self.spark.catalog.recoverPartitions(fresh)
         if self.exists(name):
-            self._record_retired(fresh, self._retired(name), self._location_of(name))
+            self._record_retired(fresh, self._retired(name), self.location_of(name))
             self.spark.sql(f"DROP TABLE {name}")
         self.spark.sql(f"ALTER TABLE {fresh} RENAME TO {name}")
 
@@ -258,17 +258,17 @@ class TableStore:
         partitions = self.partition_columns(name)
         self._forget_days(name, partitions)
         if partitions:
-            writer = self._spread(df, partitions).write.mode("overwrite").option("partitionOverwriteMode", "static")
-            writer.partitionBy(*partitions).parquet(self._location_of(name))
+            writer = self._spread(df, partitions).write.mode("overwrite").option("compression", CODEC).option("partitionOverwriteMode", "static")
+            writer.partitionBy(*partitions).parquet(self.location_of(name))
             self.spark.sql(f"MSCK REPAIR TABLE {name} SYNC PARTITIONS")
         else:
-            path, left = self._version_path(name), self._location_of(name)
-            df.write.parquet(path)
+            path, left = self._version_path(name), self.location_of(name)
+            df.write.option("compression", CODEC).parquet(path)
             self.spark.sql(f"ALTER TABLE {name} SET LOCATION '{path}'")
             self._record_retired(name, self._retired(name), left)
         self.spark.catalog.refreshTable(name)
 
-    def _location_of(self, name: str) -> str:
+    def location_of(self, name: str) -> str:
         rows = self.spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Location'").collect()
         return rows[0]["data_type"] if rows else ""
 
@@ -378,13 +378,15 @@ class TableStore:
         delete_mode: str = "soft_delete",
         null_safe: bool = True,
         on_schema_change: str = "add_columns",
+        stored: bool = False,
     ) -> None:
         """Upsert with deletes. One image per changed key is written to the
         scratch folder: it is read several times, and its file size tells
-        Catalyst whether it may be broadcast."""
+        Catalyst whether it may be broadcast. ``stored`` tells that the changes
+        come straight from files, so that reading their keys first is cheap."""
         changes = with_day(changes, partition_by)
         if not self.exists(name):
-            rows = initial_rows(changes, keys, sequence=sequence, delete_mode=delete_mode)
+            rows = initial_rows(changes, keys, sequence=sequence, delete_mode=delete_mode, stored=stored)
             self.create(self._spread(rows, [DAY] if DAY in rows.columns else []), name, [DAY] if DAY in rows.columns else [])
             return
         changes = self._evolve(changes, name, on_schema_change)
@@ -393,7 +395,7 @@ class TableStore:
             changes = materialize(changes, "changes")
             has_key = reduce(and_, [F.col(k).isNotNull() for k in keys])
             keyless, changes = changes.filter(~has_key), changes.filter(has_key)
-        images = materialize(change_images(changes, keys, sequence=sequence, guard=guard), "images")
+        images = materialize(change_images(changes, keys, sequence=sequence, guard=guard, stored=stored), "images")
         if keyless is not None:
             # Rows without a key are told apart by all columns, so that a
             # repeated batch adds none of them again.

@@ -3,8 +3,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import plan, rows
+from helpers import SMALL, plan, rows
 from layerflow.operators import history, keys, neighbors, reconcile, upsert
+from layerflow.operators.shaping import LOG_COLUMNS
+from layerflow.queries.merging import stored_changes
+from layerflow.sales.views import SalesSource
 from layerflow.session import materialize
 
 EVENT = "k int, at int, v string, op string, off long"
@@ -250,3 +253,32 @@ def test_reconcile_updates_only_unknown_rows_with_a_match(spark):
     assert rows(updates, "id", "sk", "_meta_reconciled_by") == [(1, 100, "late"), (4, 9, "late")]
     fixed = upsert.update_columns(facts, updates, ["id"], reconcile.updated_columns(job))
     assert rows(fixed, "id", "sk") == [(1, 100), (2, -1), (3, 5), (4, 9)]
+
+
+def test_changes_with_keys_of_their_own_are_not_ranked(spark):
+    data = [(k, k % 7, f"v{k}", "d" if k % 5 == 0 else "u", k) for k in range(40)]
+    for extra in ([], [(3, 9, "w", "u", 90), (4, 9, "x", "d", 91)], [(k, 9, "z", "d" if k % 2 else "u", 90 + k) for k in range(30)]):
+        stored = materialize(events(spark, data + extra), "given")
+        options = {"sequence": ["effective_from"], "guard": "effective_from"}
+        quick, ranked = (upsert.change_images(stored, ["k"], stored=s, **options) for s in (True, False))
+        order = ["_s_0", "_row", "_gone", "_row_guard", "_gone_guard"]
+        assert rows(quick, *order) == rows(ranked, *order)
+        if not extra:
+            assert "Window" not in plan(quick) and "Exchange" not in plan(quick)
+
+
+def test_a_merge_settles_starts_where_the_ranges_put_them(spark, monkeypatch):
+    columns = history.history_columns(["k"], sequence=("_meta_kafka_offset",))
+    data = random_events(3, 60)
+    table = materialize(history.build_history(events(spark, data[:40]), columns), "versions")
+    plans = []
+    kept = neighbors.materialize
+    monkeypatch.setattr(neighbors, "materialize", lambda df, label: (plans.append(plan(df)), kept(df, label))[1])
+    rebuilt, untouched = history.merge_history(table, events(spark, data[20:]), columns)
+    assert shown(rebuilt.unionByName(untouched)) == brute_history(data)
+    last = plans[-1].index("Exchange rangepartitioning")
+    assert "Exchange" not in plans[-1][:last] and "Window" in plans[-1][:last]
+
+
+def test_the_queries_merge_no_text_of_the_log(spark):
+    assert not set(LOG_COLUMNS) & set(stored_changes(SalesSource(spark, SMALL)).columns)
