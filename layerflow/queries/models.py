@@ -10,7 +10,7 @@ from layerflow.operators.shaping import derive, standardize
 from layerflow.plans import governance, models, workload
 from layerflow.queries.base import flow, query
 from layerflow.sales.specs import DAILY_REVENUE_SQL, LIVE_ONLY, SUCCESS_RATIO_SQL
-from layerflow.session import path_exists, scratch_dir
+from layerflow.session import scratch_dir
 from layerflow.sources.tables import TableStore
 
 _DAY = "CAST(CAST({0} AS DATE) AS STRING) AS {0}"
@@ -171,24 +171,22 @@ def mart_success_ratio(src):
 _AS_OF = "(SELECT max(order_date) FROM src_order)"
 
 
-# The layouts of a directory, written by the first query that asks for them.
+# The layouts of a directory; their tables are written by the first query that asks for them.
 _WRITTEN: dict[tuple, workload.Layouts] = {}
 
 
 def _layouts(src) -> workload.Layouts:
-    """Both stored layouts of the given tables, written once per application, and
-    again where their folder was cleared."""
+    """Both stored layouts of the given tables, each table written once per application."""
     views = {
         "orders": "src_order", "payments": "src_payment", "customers": "src_customer", "items": "src_order_line", "products": "src_product",
     }
     files = tuple(sorted(f for base in ("orders", "customer", "lineitem", "part") for f in src[base].inputFiles()))
     mark = (src.spark.sparkContext.applicationId, files)
-    known = _WRITTEN.get(mark)
-    if known is None or not all(path_exists(src.spark, p) for p in (f"{known.folder}/orders", known.store.location)):
+    if mark not in _WRITTEN:
         space = f"w{uuid.uuid4().hex[:12]}"
         folder = f"{scratch_dir(src.spark)}/{space}"
         sources = {name: src[view] for name, view in views.items()}
-        _WRITTEN[mark] = workload.write_layouts(TableStore(src.spark, f"{folder}/tables"), space, f"{folder}/baseline", sources)
+        _WRITTEN[mark] = workload.Layouts(TableStore(src.spark, f"{folder}/tables"), space, f"{folder}/baseline", sources)
     return _WRITTEN[mark]
 
 

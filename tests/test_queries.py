@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from helpers import SMALL, plan
-from layerflow.queries import QUERIES
+from layerflow.queries import QUERIES, models
 from layerflow.sales.views import BASE_TABLES
 
 @pytest.fixture(scope="module")
@@ -51,3 +51,12 @@ def test_the_layered_scans_read_no_more(spark):
     assert set(found) == {"channel_scan", "cross_layer", "category_rollup"}
     assert all(0 < r.layered_bytes <= r.baseline_bytes for r in found.values())
     assert found["category_rollup"].layered_bytes < 0.5 * found["category_rollup"].baseline_bytes
+
+
+def test_a_query_writes_the_stored_tables_it_reads(spark, monkeypatch):
+    monkeypatch.setattr(models, "_WRITTEN", {})
+    QUERIES["q_channel_90d_baseline"].run(spark, SMALL).collect()
+    (made,) = models._WRITTEN.values()
+    assert list(made.written) == [f"{made.folder}/orders"]
+    QUERIES["q_gold_category_baseline"].run(spark, SMALL).collect()
+    assert list(made.written) == [f"{made.folder}/{t}" for t in ("orders", "items", "products")]
