@@ -14,6 +14,7 @@ from layerflow.operators.dedup import latest_per_key
 from layerflow.operators.envelope import is_delete
 from layerflow.operators.neighbors import RANGE, add_neighbors, in_ranges, same_key
 
+MANY = 1000  # events of one key and start that may meet in a task
 DEFAULT_ORDER = ("_meta_source_ts_ms", "_meta_kafka_partition", "_meta_kafka_offset")
 
 
@@ -98,10 +99,17 @@ def _latest(df: DataFrame, c: HistoryColumns) -> DataFrame:
 
 
 def build_history(events: DataFrame, c: HistoryColumns, now: Column | None = None) -> DataFrame:
-    """Version table from events alone (first load)."""
+    """Version table from events alone (first load), which are read twice: store them.
+
+    Events of one key and start are ranked where the shuffle into ranges puts them.
+    Only where some start has very many are they first cut down before a shuffle.
+    """
     now = F.current_timestamp() if now is None else now
     marked = _prepare(events, c).withColumn("_gone", is_delete(F.col(c.operation)))
-    return _chain(_latest(marked, c), c, now)
+    most = marked.groupBy(*c.keys, c.start).agg(F.count(F.lit(1)).alias("_times")).agg(F.max("_times")).first()[0]
+    if (most or 0) > MANY:
+        return _chain(_latest(marked, c), c, now)
+    return _chain(marked, c, now, lambda df: _latest(df, c))
 
 
 def _as_events(versions: DataFrame, c: HistoryColumns) -> DataFrame:

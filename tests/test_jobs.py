@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from helpers import SMALL, rows
 from layerflow.__main__ import arguments, run
 from layerflow.config import ConfigError, chosen, expand_env, load_registry, registry_from, summary
+from layerflow.plans import layers
 from layerflow.plans.layers import LayerJobs
 from layerflow.plans.models import run_models
 from layerflow.plans.publish import enabled_sources, publish
@@ -119,6 +120,18 @@ def test_flows_from_snapshot_to_mart_with_late_dimension(spark, project):
     assert store.read(f"{audit}.batch_metrics").filter("metric_name = 'dq_failed_ORDER_STATUS_KNOWN'").count() >= 1
 
 
+def test_checked_rows_keep_the_log_text_only_where_they_fail(spark, project, monkeypatch):
+    registry, store, log = project
+    publish_to_log(spark, registry, store, log, ["order_snapshot"])
+    seen = []
+    kept = layers.materialize
+    monkeypatch.setattr(layers, "materialize", lambda df, label: (seen.append(kept(df, label)), seen[-1])[1])
+    FlowStreams(spark, registry, store.location).start_all([registry.flows["fact_order"]], style="full", once=True)
+    counts = {r[0]: r[1:] for r in seen[0].groupBy("_meta_dq_passed").agg(F.count(F.lit(1)), F.count("_raw_event_json")).collect()}
+    assert counts[True][0] > 0 and counts[True][1] == 0
+    assert counts[False][0] > 0 and counts[False][0] == counts[False][1]
+
+
 def test_missing_tables_are_reported(project):
     registry, store, _ = project
     assert run_reconciliations(store, registry)[0]["status"] == "fact_missing"
