@@ -35,3 +35,12 @@ def latest_per_key(
         ranking.append(F.col(EVENT).desc_nulls_last())  # equal rows of different events
     window = Window.partitionBy(*[F.col(k) for k in keys]).orderBy(*ranking)
     return df.withColumn("_rank", F.row_number().over(window)).filter("_rank = 1").drop("_rank")
+
+
+def latest_of_stored(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
+    """``latest_per_key`` of rows that come from files: reading their keys first is
+    cheap, and where no key repeats the rows stay as they are, unshuffled."""
+    if not keys or not any(c in df.columns for c in order_by):
+        return df
+    repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_times")).filter("_times > 1")
+    return df if repeated.isEmpty() else latest_per_key(df, keys, order_by)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import SMALL, plan, rows
-from layerflow.operators import history, keys, neighbors, reconcile, upsert
+from layerflow.operators import dedup, history, keys, neighbors, reconcile, upsert
 from layerflow.operators.shaping import LOG_COLUMNS
 from layerflow.queries.merging import stored_changes
 from layerflow.sales.views import SalesSource
@@ -282,3 +282,22 @@ def test_a_merge_settles_starts_where_the_ranges_put_them(spark, monkeypatch):
 
 def test_the_queries_merge_no_text_of_the_log(spark):
     assert not set(LOG_COLUMNS) & set(stored_changes(SalesSource(spark, SMALL)).columns)
+
+
+def test_a_first_load_ranks_inside_its_ranges(spark, monkeypatch):
+    columns = history.history_columns(["k"], sequence=("_meta_kafka_offset",))
+    data = random_events(5, 80)
+    plans = []
+    kept = neighbors.materialize
+    monkeypatch.setattr(neighbors, "materialize", lambda df, label: (plans.append(plan(df)), kept(df, label))[1])
+    for many in (history.MANY, 1):
+        monkeypatch.setattr(history, "MANY", many)
+        assert shown(history.build_history(events(spark, data), columns)) == brute_history(data)
+    assert "hashpartitioning" not in plans[0] and "hashpartitioning" in plans[1]
+
+
+def test_stored_rows_with_keys_of_their_own_are_not_shuffled(spark):
+    stored = materialize(events(spark, [(k, 1, f"v{k}", "u", k) for k in range(20)]), "given")
+    assert "Exchange" not in plan(dedup.latest_of_stored(stored, ["k"], ["effective_from"]))
+    twice = stored.unionByName(events(spark, [(3, 5, "w", "u", 50)]))
+    assert rows(dedup.latest_of_stored(twice, ["k"], ["effective_from"])) == rows(dedup.latest_per_key(twice, ["k"], ["effective_from"]))
