@@ -6,7 +6,10 @@ and Ney: not how often an expression occurs, but after how many different words,
 so that copies of a text weigh no more than one. Both models take discounts and back off, endings to stems and stems to counts that both classes
 share. A discount is a constant, in proportion to the size of the class, and twice
 the count that is expected from both classes; the mass that is backed off is one
-for both. So an expression that is rare, or nearly as common in one class as in
+for both. A stem's endings have more contexts together than the stem has different
+ones, the more so the more text there is and in the larger class most; so an ending's
+count must also pass the discounts when compared with the sum over its stem's endings.
+So an expression that is rare, or nearly as common in one class as in
 the other, has the same probability in both and is no evidence. A document's evidence is
 the difference of the two log-likelihoods per different word; a logistic curve, fitted on
 labelled documents that the counts don't hold, turns it into a score.
@@ -135,12 +138,20 @@ def learn_counts(rows: DataFrame) -> Model:
     chance = [F.col(f"over_{n}") / size[c] + left[c] * common for c, n in enumerate("ab")]
     marked = kept.where("over_a > 0 OR over_b > 0").select(F.col("stem").alias("key"), F.lit(True).alias("is_stem"), F.ln(chance[1] / chance[0]).alias("evidence"))
 
-    inside = words.groupBy("stem").agg(F.sum(F.col("a") + F.col("b")).alias("inside"))
+    inside = words.groupBy("stem").agg(F.sum("a").alias("inside_a"), F.sum("b").alias("inside_b"))
+    number_inside = F.col("inside_a") + F.col("inside_b")
     whole = stems.join(inside, "stem").select(
-        "stem", F.col("a").alias("stem_a"), F.col("b").alias("stem_b"), F.greatest("inside", F.col("a") + F.col("b"), F.lit(1.0)).alias("whole")
+        "stem", F.col("a").alias("stem_a"), F.col("b").alias("stem_b"), "inside_a", "inside_b",
+        F.greatest(number_inside, F.col("a") + F.col("b"), F.lit(1.0)).alias("whole"),
     )
     of_stem = (F.col("a") + F.col("b")) / F.col("whole")
-    ending = [_over(F.col(n), F.col(f"stem_{n}"), of_stem, discount[c]) for c, n in enumerate("ab")]
+    ending = [
+        F.when(
+            _over(F.col(n), F.col(f"inside_{n}"), (F.col("a") + F.col("b")) / number_inside, discount[c]) > 0,
+            _over(F.col(n), F.col(f"stem_{n}"), of_stem, discount[c]),
+        ).otherwise(0.0)
+        for c, n in enumerate("ab")
+    ]
     deep = words.join(whole, "stem").withColumns({"end_a": ending[0], "end_b": ending[1]}).where("end_a > 0 OR end_b > 0")
     deep = materialize(deep, "endings")
     taken = deep.groupBy("stem").agg(F.sum(F.col("end_a") + F.col("end_b")).alias("taken"))

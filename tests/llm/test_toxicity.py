@@ -33,6 +33,20 @@ def test_rare_and_balanced_words_are_no_evidence(spark):
     assert list(count) == [5, 3, 0]
 
 
+def test_ordinary_endings_of_a_common_stem_are_no_evidence(spark):
+    """A stem with fewer different words before it than its endings have together."""
+    rng = np.random.default_rng(1)
+    ends = ["".join(rng.choice(list("abcdefghi"), 5)) for _ in range(100)]
+    pair = lambda: f"p{rng.integers(10)} comm{ends[rng.integers(100)]}"
+    make = lambda extra: " ".join(w for _ in range(60) for w in [pair(), *(["vile"] if rng.random() < extra else [])])
+    rows = [(make(0), False) for _ in range(100)] + [(make(0.06), True) for _ in range(12)]
+    model = toxicity.learn_counts(spark.createDataFrame(rows, "text string, toxic boolean"))
+    assert not len(model.words) and len(model.stems) == 1
+    text = [" ".join(f"comm{e}" for e in ends).encode(), b"vile"]
+    value, _ = toxicity.evidence(model, np.frombuffer(b"".join(text), np.uint8), np.cumsum([0, *map(len, text)]))
+    assert abs(value[0] - model.other) < 1e-9 and value[1] > 0.3
+
+
 def test_odd_rows(spark, odd_documents, no_documents):
     labels = spark.createDataFrame(
         [(k, k % 2, "x") for k in range(1, 12)] + [(3, None, "x"), (None, 1, "x"), (4, 1, "y"), (99, 1, "z")],
