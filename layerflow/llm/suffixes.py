@@ -10,7 +10,8 @@ A shard sorts its suffixes by Larsson and Sadakane's doubling: ranks of the
 first eight bytes are refined to 16, 32, ... bytes, and only suffixes that are
 not yet told apart are sorted again. Suffixes with a common prefix of ``length``
 bytes are repeats. A minimizer with many different runs is cut into several
-shards, whose sorted strings are merged in ranges by binary search.
+shards, whose sorted strings are merged in ranges by binary search. The runs of such
+shards are written beside the results, so that texts are read once for all shards.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from layerflow.llm.common import chunks, in_arrow, materialize, over_groups, span_hashes, stacked, together
 
@@ -207,6 +209,15 @@ def _sort_shards(length: int):
             hot = spread > 1
             if not hot.any():
                 continue
+            split = np.flatnonzero(hot)  # read again when the shards are merged
+            nothing = [None] * len(split)
+            yield stacked(
+                {
+                    "mini": mini[split], "body": body[split], "repeats": nothing, "g": g[split], "slice": nothing,
+                    "strings": piece["bytes"].combine_chunks().take(pa.array(split)).cast(pa.binary()),
+                },
+                _SHARD,
+            )
             print_of = span_hashes(data, place, place + length)
             for shard in np.unique(g[hot]):
                 mine = hot & (g == shard)
@@ -302,7 +313,9 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, once:
     slices = sorted_.where("slice IS NOT NULL").withColumn("m", F.xxhash64("mini", "slice"))
     if not slices.isEmpty():
         merged = over_groups(together(slices.select("m", "g", "strings"), "m"), "m", lambda: _merge_slices, "g long, strings binary")
-        again = bodies.where("spread > 1").select("g", "mini", "body", "bytes", F.lit(None).cast("binary").alias("strings"))
+        again = sorted_.where("repeats IS NULL AND slice IS NULL").select(
+            "g", "mini", "body", F.col("strings").alias("bytes"), F.lit(None).cast("binary").alias("strings")
+        )
         found = merged.select("g", F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("binary"), "strings")
         told = told.union(over_groups(together(again.union(found), "g"), "g", _mark_hot(length), SHARD))
     return maybe.join(told.where("size(repeats) > 0").select("mini", "body", "repeats"), ["mini", "body"]).select("doc_id", "at", "repeats")
@@ -311,11 +324,13 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, once:
 _CUT = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
 
 
-def _remove(length: int, kept: list[str]):
+def _remove(length: int, kept: list[str], place: int):
+    """``place`` is the text's column; the last one has the marks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = batch.column(len(kept) + 1).to_pylist()
-            texts = batch.column(len(kept)).cast(pa.large_binary())
+            marks = batch.column(batch.num_columns - 1).to_pylist()
+            texts = batch.column(place).cast(pa.large_binary())
             total, removed, spans, digest, rest = [], [], [], [], []
             for row, mark in enumerate(marks):
                 data = texts[row].as_py() or b""
@@ -387,11 +402,13 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
         once = texts.join(repeated, "doc_id", "left_anti").union(several)
     found = repeated_runs(texts, length, gram, once)
     marks = found.groupBy("doc_id").agg(F.collect_list(F.struct("at", "repeats")).alias("marks")).withColumnRenamed("doc_id", "key")
-    joined = own.join(marks, "key", "left").select(*names, F.col("text").alias("__text"), "marks")
+    # A kept text is shuffled once, not beside a copy of itself.
+    same = docs.schema["text"].dataType == StringType()
+    joined = own.join(marks, "key", "left").select(*names, *([] if same else ["text"]), "marks")
     schema = docs.select(*(F.col(f"`{c}`") for c in kept)).schema
     for name, kind in zip(_CUT, ("long", "long", "long", "string", "string"), strict=True):
         schema = schema.add(name, kind)
-    return in_arrow(joined, _remove(length, kept), schema)
+    return in_arrow(joined, _remove(length, kept, kept.index("text") if same else len(kept)), schema)
 
 
 def cut_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:

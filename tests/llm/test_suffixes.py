@@ -1,10 +1,14 @@
 import hashlib
+import re
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from layerflow.llm import suffixes
+from layerflow.llm.common import materialize
 
 
 def brute(docs, length=200):
@@ -93,3 +97,31 @@ def test_one_id_with_several_texts(spark):
     rows = suffixes.without_repeats(df, 40, 8).collect()
     found = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows]
     assert sorted(found, key=str) == sorted([(i, *expected[k]) for k, (i, _) in enumerate(docs)], key=str)
+
+
+def test_texts_are_read_and_shuffled_once_for_the_result(spark, documents, monkeypatch, capsys, tmp_path):
+    """Shards that were split take their strings from what was written, and no text goes beside its copy."""
+    monkeypatch.setattr(suffixes, "SHARD_RUNS", 3)
+    documents.write.parquet(str(tmp_path / "texts"))
+    docs = spark.read.parquet(str(tmp_path / "texts"))
+    result = suffixes.without_repeats(docs)
+    result.explain()
+    plan = capsys.readouterr().out
+    assert plan.count(f"{tmp_path.name}/texts") == 1 and "slice#" in plan
+    assert len(re.search(r"MapInArrow run\((.*?)\)", plan)[1].split(", ")) == len(docs.columns) + 1
+    expected = brute([(r.doc_id, r.text) for r in docs.collect()])
+    assert got(result) == expected
+    assert got(suffixes.without_repeats(docs.withColumn("text", F.col("text").cast("binary")))) == expected
+
+
+def test_a_written_stage_leaves_no_shuffle_files(spark):
+    files = lambda: {f for f in disk.getAllFiles().mkString("|").split("|") if "/shuffle_" in f}
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before, key = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    own = spark.conf.get(key, None)
+    written = materialize(spark.range(1000).withColumn("k", F.col("id") % 10).groupBy("k").count())
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and written.count() == 10 and spark.conf.get(key, None) == own
